@@ -47,16 +47,15 @@ def suspect_list(scored: DataFrame) -> DataFrame:
 
 
 def ranked_flagged(scored: DataFrame, k: int = 40) -> DataFrame:
-    """The k flagged entities to describe first, and how many are left out."""
+    """The k flagged entities to describe first."""
     flagged = scored.where(F.col("risk_tier").isin(*FLAGGED))
-    total = flagged.agg(F.count(F.lit(1)).alias("_n")).withColumn("_j", F.lit(1))
-    top = flagged.orderBy(tier_rank(F.col("risk_tier")), F.desc("n_rules"), "entity_id").limit(k)
-    # The total is one row; the equality on a constant keeps it an ordinary join.
-    return (
-        top.withColumn("_j", F.lit(1))
-        .join(total, "_j")
-        .withColumn("omitted", F.greatest(F.col("_n") - k, F.lit(0)).cast("bigint"))
-        .drop("_n", "_j")
+    return flagged.orderBy(tier_rank(F.col("risk_tier")), F.desc("n_rules"), "entity_id").limit(k)
+
+
+def omitted_flagged(scored: DataFrame, k: int = 40) -> DataFrame:
+    """How many flagged entities the list of k leaves out."""
+    return scored.agg(
+        F.greatest(F.count_if(F.col("risk_tier").isin(*FLAGGED)) - k, F.lit(0)).cast("bigint").alias("omitted")
     )
 
 
@@ -283,6 +282,7 @@ def run_digest(scored, events, entities, firings, edges, chains) -> dict[str, Da
         "event_span": event_span(events),
         "rule_firings": firings.groupBy("rule_id").agg(F.count(F.lit(1)).alias("firings")),
         "entities": ranked_flagged(scored),
+        "entities_omitted": omitted_flagged(scored),
         "ml_only": only_anomalous(scored),
         "layering_chains": chains,
         "money_flow": money_flow_totals(edges),

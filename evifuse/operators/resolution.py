@@ -239,7 +239,12 @@ def apply_mapping(events: DataFrame, id_map: DataFrame) -> DataFrame:
 
 
 def coverage(nodes: DataFrame, kyc: DataFrame, members: DataFrame) -> DataFrame:
-    """How much of the graph ownership records explain; one row."""
+    """How much of the graph ownership records explain, as (metric, value) rows."""
+
+    def long(df: DataFrame) -> DataFrame:
+        pairs = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("bigint").alias("value")) for c in df.columns]
+        return df.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
+
     known = kyc.select("identifier").distinct().withColumn("_k", F.lit(1))
     n = nodes.join(known, "identifier", "left").agg(
         F.count(F.lit(1)).alias("nodes"),
@@ -254,8 +259,7 @@ def coverage(nodes: DataFrame, kyc: DataFrame, members: DataFrame) -> DataFrame:
         F.count_if(F.col("n") > 1).alias("multi_identifier"),
         F.count_if(F.col("n") <= 1).alias("singletons"),
     )
-    # Two one-row aggregates side by side.
-    return n.withColumn("_j", F.lit(1)).join(m.withColumn("_j", F.lit(1)), "_j").drop("_j")
+    return long(n).unionByName(long(m))
 
 
 def identifier_index(members: DataFrame, kinds=("phone", "account", "vpa")) -> DataFrame:
