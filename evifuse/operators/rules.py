@@ -1,6 +1,6 @@
 """The seven named detection rules, each one job over all entities.
 
-A rule returns two frames:
+A rule writes its hits once (lineage is cut there) and returns two frames read from them:
 
 * firings  (entity_id, rule_id, severity, explanation), one row per entity;
 * evidence (entity_id, rule_id, ord_us, ord_ref, pos, token), one row per token, so the
@@ -179,7 +179,7 @@ def idr_limbs(
     hot_rows: int = HOT_ROWS,
 ) -> Found:
     """All limbs of the identity rule: (entity_id, limb, grade, description) and evidence."""
-    fan = device_fanout(events, min_numbers)
+    fan = cut(device_fanout(events, min_numbers), "fan")
     per_device = fan.groupBy("entity_id", "imei").agg(F.max("msisdn_count").alias("n"))
     few_numbers = (
         top_per_key(fan, ["entity_id", "imei"], [F.asc("msisdn")], 20, "_k")
@@ -218,6 +218,8 @@ def idr_limbs(
             .distinct()
             .join(many, "entity_id", "left_semi")
         )
+        own = cut(own, "held")
+        many = own.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
         few = (
             top_per_key(own, ["entity_id"], [F.asc("identifier")], 20, "_k")
             .groupBy("entity_id")
@@ -242,7 +244,7 @@ def idr_limbs(
     accounts = held("account", min_accounts, 2, "Account fan-out", "bank accounts", "account_fanout")
     imeis = held("imei", min_imeis, 3, "Device multiplicity", "IMEIs", "device_multiplicity")
 
-    swap = first_swaps(identifier_swaps(events, window_minutes, hot_rows))
+    swap = cut(first_swaps(identifier_swaps(events, window_minutes, hot_rows)), "swaps")
     mins = (F.col("us") - F.col("prev_us")) / MINUTE
     gap = F.when(mins < 120, F.format_string("%.1f mins", mins)).otherwise(F.format_string("%.1f hours", mins / 60.0))
     none = F.lit("N/A")
@@ -287,6 +289,7 @@ def idr_limbs(
 def idr1(events: DataFrame, identifiers: DataFrame, **limits) -> Found:
     """Identity fan-out: the limbs combined; two limbs lift MEDIUM to HIGH."""
     limbs, tokens = idr_limbs(events, identifiers, **limits)
+    limbs = cut(limbs, "limbs")
     best = F.max("grade")
     graded = limbs.groupBy("entity_id").agg(
         F.when((best == 2) | ((best == 1) & (F.count(F.lit(1)) > 1)), "HIGH")
@@ -325,7 +328,12 @@ def idr1(events: DataFrame, identifiers: DataFrame, **limits) -> Found:
 
 def tcs1(enriched: DataFrame) -> Found:
     """Temporal coincidence: a call and a session inside the window of a transaction."""
-    both = enriched.where("has_both_correlation")
+    both = cut(
+        enriched.where("has_both_correlation").select(
+            "entity_id", "us", "raw_row_ref", "amount", "call_row_ref", "session_row_ref"
+        ),
+        "tcs1",
+    )
     texts = _first_texts(
         both, [F.asc("us"), F.asc("raw_row_ref")],
         F.concat(F.lit("Transaction of "), _whole(F.abs("amount")), F.lit(" at "), _stamp(F.col("us"))),
@@ -413,7 +421,7 @@ def call_then_transfer(
 
 def tcs2(events: DataFrame, id_map: DataFrame, window_minutes: float = 15) -> Found:
     """Call-then-transfer."""
-    hits = call_then_transfer(events, id_map, window_minutes)
+    hits = cut(call_then_transfer(events, id_map, window_minutes), "tcs2")
     gap = (F.col("us") - F.col("last_call_us")) / MINUTE
     texts = _first_texts(
         hits, [F.asc("us"), F.asc("raw_row_ref"), F.asc("party")],
@@ -501,6 +509,7 @@ def str1(events: DataFrame, threshold: float = 50_000, **limits) -> Found:
     first = first_per_key(
         structuring_windows(events, threshold, **limits), "entity_id", ["us", "raw_row_ref"]
     )
+    first = cut(first, "str1")
     hours = (F.col("last_us") - F.col("us")) / HOUR
     amounts = F.array_join(F.transform(F.col("members.amount"), lambda a: F.format_string("%.0f", F.abs(a))), ", ")
     text = F.concat(
@@ -636,6 +645,7 @@ def lay1(events: DataFrame, id_map: DataFrame, max_hours: float = 12, min_skim:
         layering_paths(transfer_edges(events, id_map), max_hours=max_hours, min_skim=min_skim,
                        max_skim=max_skim, **limits)
     ).withColumnRenamed("origin", "entity_id")
+    best = cut(best, "lay1")
     hours = (F.element_at("hops", -1)["us"] - F.element_at("hops", 1)["us"]) / HOUR
     skims = F.transform(hop_skims(F.col("amounts")), lambda s: F.format_string("%.1f", s))
     shape = F.when(
@@ -761,6 +771,7 @@ def mul1(events: DataFrame, dormancy_days: float = 30, outflow_hours: float = 6,
         mule_credits(events, dormancy_days=dormancy_days, outflow_hours=outflow_hours, **limits),
         "entity_id", ["us", "raw_row_ref"],
     )
+    first = cut(first, "mul1")
     retained = F.col("amount") - F.col("outflow")
     text = F.concat(
         F.lit("Mule Signature detected: entity "), "entity_id", F.lit(f" had no activity for {dormancy_days:g} days, received "),
@@ -831,6 +842,7 @@ def loc1(placed: DataFrame, max_speed_kmh: float = 200.0, hot_rows: int = HOT_RO
     first = first_per_key(
         impossible_legs(placed, max_speed_kmh, hot_rows), "entity_id", ["us", "raw_row_ref"]
     )
+    first = cut(first, "loc1")
     mins = F.col("secs") / 60.0
     one = lambda c: F.format_string("%.1f", c)
     text = F.concat(

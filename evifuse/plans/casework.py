@@ -118,13 +118,21 @@ def _once(spark: SparkSession, sf: str, name: str, make) -> DataFrame:
 def forget() -> None:
     """Drop the references to written tables, so the next query builds them again."""
     _written.clear()
+    _runs.clear()
+
+
+_runs: dict[tuple, rules.Found] = {}
 
 
 def _found(spark: SparkSession, sf: str) -> rules.Found:
-    e = events(spark, sf)
-    return rules.run_rules(
-        e, members(spark, sf), enriched(spark, sf), place_events(e), id_map(spark, sf), limits=LIMITS
-    )
+    """All rules over the event table, each rule's hits written once."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _runs:
+        e = cut(events(spark, sf), "events")
+        ids, owners = cut(members(spark, sf), "members"), cut(id_map(spark, sf), "owners")
+        rows = temporal.enrich_transactions(e, WINDOW)
+        _runs[key] = rules.run_rules(e, ids, rows, place_events(e), owners, limits=LIMITS)
+    return _runs[key]
 
 
 def firings(spark: SparkSession, sf: str) -> DataFrame:
