@@ -7,31 +7,24 @@ from pyspark.sql import functions as F
 # Texts that mean "missing".
 MISSING_WORDS = ("", "nan", "none", "null", "nat", "<na>")
 
-# Accepted timestamp layouts in the order they are tried, each with
-# the shape a text must have before the layout is applied.
-TIMESTAMP_LAYOUTS = (
-    ("d-M-yyyy H:m:s", r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{1,2}:\d{1,2}$"),
-    ("yyyy/M/d H:m:s", r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"),
-    ("d/M/yy H:m:s", r"^\d{1,2}/\d{1,2}/\d{2} \d{1,2}:\d{1,2}:\d{1,2}$"),
-    ("d/M/yyyy H:m:s", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$"),
-    ("yyyy-M-d H:m:s", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"),
-    ("d-M-yyyy H:m", r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{1,2}$"),
-    ("yyyy/M/d H:m", r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}$"),
-    ("d/M/yyyy H:m", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}$"),
-    ("yyyy-M-d H:m", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}$"),
-    ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
-    ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
-    ("d/M/yy", r"^\d{1,2}/\d{1,2}/\d{2}$"),
-    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
-    ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
-    ("d-M-yy", r"^\d{1,2}-\d{1,2}-\d{2}$"),
-    ("d-MMM-yyyy", r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"),
-    ("d-MMM-yy", r"^\d{1,2}-[A-Za-z]{3}-\d{2}$"),
-    ("yyyyMMddHHmmss", r"^\d{14}$"),
-    # Month-first texts that no day-first layout could read.
-    ("M/d/yyyy H:m:s", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$"),
-    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+_TIME = r"(?: (\d{1,2}:\d{1,2}(?::\d{1,2})?))?"
+# Accepted timestamp shapes in the order they are tried, each with the
+# year-month-day text it stands for. Day comes before month; month-first texts are
+# only read that way when no day-first reading is a date.
+TIMESTAMP_SHAPES = (
+    (rf"^(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}}){_TIME}$", "$1-$2-$3 $4"),
+    (rf"^(\d{{1,2}})[-/](\d{{1,2}})[-/](\d{{4}}){_TIME}$", "$3-$2-$1 $4"),
+    # Two-digit years 69-99 belong to the last century.
+    (rf"^(\d{{1,2}})/(\d{{1,2}})/([0-5]\d|6[0-8]){_TIME}$", "20$3-$2-$1 $4"),
+    (rf"^(\d{{1,2}})/(\d{{1,2}})/(69|[7-9]\d){_TIME}$", "19$3-$2-$1 $4"),
+    (r"^(\d{1,2})-(\d{1,2})-([0-5]\d|6[0-8])$", "20$3-$2-$1"),
+    (r"^(\d{1,2})-(\d{1,2})-(69|[7-9]\d)$", "19$3-$2-$1"),
+    (r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:$5:$6"),
+    (rf"^(\d{{1,2}})[-/](\d{{1,2}})[-/](\d{{4}}){_TIME}$", "$3-$1-$2 $4"),
+    (rf"^(\d{{1,2}})[-/](\d{{1,2}})[-/](\d{{2}}){_TIME}$", "20$3-$1-$2 $4"),
 )
+# Month names as written in dates.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
@@ -49,24 +42,21 @@ def money(c: Column) -> Column:
 
 
 def moment(c: Column) -> Column:
-    """Timestamp text in any accepted layout to timestamp_ntz; null when unreadable.
+    """Timestamp text in any accepted shape to timestamp_ntz; null when unreadable.
 
-    The shape test in front of each layout means a row is parsed once or twice
-    instead of failing through the whole list.
+    Each shape is rewritten to year-month-day text by one pattern and cast; a row
+    that fits no earlier shape costs only the pattern tests.
     """
     t = F.regexp_replace(present(c), r"\s+", " ")
-    tries = []
-    for layout, shape in TIMESTAMP_LAYOUTS:
-        # MMM only reads "Jul"; bring the month to that case first.
-        text = F.initcap(F.replace(t, F.lit("-"), F.lit(" "))) if "MMM" in layout else t
-        pattern = layout.replace("-", " ") if "MMM" in layout else layout
-        ts = F.try_to_timestamp(text, F.lit(pattern))
-        if "yyyy" not in layout:
-            # Two-digit years 69-99 belong to the last century.
-            ts = F.when(F.year(ts) >= 2069, ts - F.expr("interval 100 years")).otherwise(ts)
-        tries.append(F.when(t.rlike(shape), ts))
-    tries.append(t.try_cast("timestamp"))
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    named = F.lower(t)
+    for n, month in enumerate(MONTHS, start=1):
+        named = F.replace(named, F.lit(f"-{month}-"), F.lit(f"-{n}-"))
+    t = F.when(t.rlike(r"^\d{1,2}-[A-Za-z]{3}-(\d{4}|\d{2})$"), named).otherwise(t)
+    tries = [
+        F.when(t.rlike(shape), F.trim(F.regexp_replace(t, shape, text)).try_cast("timestamp"))
+        for shape, text in TIMESTAMP_SHAPES
+    ]
+    return F.coalesce(*tries, t.try_cast("timestamp")).cast("timestamp_ntz")
 
 
 def micros(c: Column) -> Column:

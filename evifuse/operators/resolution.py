@@ -319,9 +319,8 @@ def mention_links(texts: DataFrame, members: DataFrame, names: DataFrame, limit:
     )
 
     def groups(text, n: int):
-        return F.array_distinct(
-            F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n))
-        )
+        # One pass over the text: a look-ahead yields the group at every position.
+        return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
     hits = None
     for n, which in ((4, (F.length("phrase") >= 4) & (F.length("phrase") < 8)), (8, F.length("phrase") >= 8)):

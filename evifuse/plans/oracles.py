@@ -126,7 +126,7 @@ CTE["walk"] = f"""SELECT src AS origin, dst AS cur, us, amt, [src, dst] AS path,
       AND h.amt >= w.amt * (1 - 0.20) AND h.amt <= w.amt * (1 - 0.03)
     WHERE NOT w.cycle AND w.depth < 6 AND (h.dst = w.origin OR NOT list_contains(w.path, h.dst))"""
 CTE["chains"] = "SELECT * FROM walk WHERE len(path) >= 3"
-CTE["best"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY cycle DESC, len(path) DESC, list_transform(list_zip(uss, refs), x -> struct_extract(x, 1) * 1), refs) AS rn FROM chains) WHERE rn = 1"
+CTE["best"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY cycle DESC, len(path) DESC, list_zip(uss, refs)) AS rn FROM chains) WHERE rn = 1"
 
 CTE["mulc"] = f"""SELECT c.entity_id, c.us, c.raw_row_ref, c.amount, sum(CAST(round(-d.amount * 10000) AS BIGINT)) / 10000.0 AS outflow, max(d.us) AS last_us
   FROM (SELECT * FROM ev WHERE event_type = 'transaction' AND amount >= 20) c
@@ -265,8 +265,8 @@ CTE["pref"] = """SELECT seq, entity_id, row_number() OVER (PARTITION BY seq ORDE
     UNION ALL SELECT t.seq, s.entity_id, 1, -s.n_rules FROM tru t JOIN fir f ON f.rule_id = t.typology JOIN sco s ON s.entity_id = f.entity_id)"""
 CTE["opts"] = """SELECT t.seq, coalesce(list(p.entity_id ORDER BY p.pos) FILTER (p.entity_id IS NOT NULL), []) AS opts FROM tru t LEFT JOIN pref p ON p.seq = t.seq GROUP BY t.seq"""
 CTE["greedy"] = """SELECT CAST(-1 AS BIGINT) AS seq, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCHAR) AS pick
-  UNION ALL SELECT o.seq, CASE WHEN len(list_filter(o.opts, x -> NOT list_contains(g.taken, x))) > 0 THEN list_append(g.taken, list_filter(o.opts, x -> NOT list_contains(g.taken, x))[1]) ELSE g.taken END,
-    list_filter(o.opts, x -> NOT list_contains(g.taken, x))[1] FROM greedy g JOIN opts o ON o.seq = g.seq + 1"""
+  UNION ALL SELECT o.seq, CASE WHEN len(list_filter(o.opts, lambda x: NOT list_contains(g.taken, x))) > 0 THEN list_append(g.taken, list_filter(o.opts, lambda x: NOT list_contains(g.taken, x))[1]) ELSE g.taken END,
+    list_filter(o.opts, lambda x: NOT list_contains(g.taken, x))[1] FROM greedy g JOIN opts o ON o.seq = g.seq + 1"""
 CTE["stat"] = """SELECT t.truth_id, t.typology, g.pick AS detected_as, CASE WHEN g.pick IS NULL THEN 'N/A' ELSE coalesce(s.risk_tier, 'LOW') END AS detected_tier,
   CASE WHEN s.risk_tier IN ('HIGH','CRITICAL') THEN 'DETECTED' WHEN coalesce(s.n_rules, 0) > 0 THEN 'MISSED (below HIGH)' ELSE 'MISSED' END AS status
   FROM tru t LEFT JOIN greedy g ON g.seq = t.seq LEFT JOIN sco s ON s.entity_id = g.pick"""
@@ -298,7 +298,11 @@ def sql(final: str) -> str:
             todo += _needs(n)
     if not want:
         return final
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTE[n]})" for n in CTE if n in want) + "\n" + final
+    loops = ("walk", "reach", "greedy")
+    parts = [f"{n} AS {'' if n in loops else 'MATERIALIZED '}({CTE[n]})" for n in CTE if n in want]
+    if final.startswith("WITH "):
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + final[len("WITH "):]
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + final
 
 
 def header_oracle() -> str:

@@ -29,15 +29,12 @@ def kyc_rows(text: DataFrame) -> DataFrame:
     as_text = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "v"))
     record = F.from_json("v", OWNED)
     boxed = F.col("v").startswith("{")
-    lists = F.concat(
-        *[
-            F.transform(
-                F.coalesce(record[many], F.array().cast("array<string>")),
-                lambda x, one=one: F.struct(F.lit(one).alias("id_type"), x.alias("identifier")),
-            )
-            for one, many in LISTS
-        ]
-    )
+
+    def tagged(one: str, many: str) -> Column:
+        held = F.coalesce(record[many], F.array().cast("array<string>"))
+        return F.transform(held, lambda x: F.struct(F.lit(one).alias("id_type"), x.alias("identifier")))
+
+    lists = F.concat(*[tagged(one, many) for one, many in LISTS])
     structured = (
         as_text.where(boxed)
         .select(F.col("key").alias("entry"), record["name"].alias("name"), F.explode(lists).alias("x"))
