@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 MISSING_WORDS = ("", "nan", "none", "null", "nat", "<na>")
 
 _TIME = r"(?: (\d{1,2}:\d{1,2}(?::\d{1,2})?))?"
-# Accepted timestamp shapes in the order they are tried, each with the
-# year-month-day text it stands for. Day comes before month; month-first texts are
-# only read that way when no day-first reading is a date.
-TIMESTAMP_SHAPES = (
+# Accepted timestamp shapes, each with the year-month-day text it stands
+# for. Day comes before month; a rewritten text fits no later shape.
+DAY_FIRST = (
     (rf"^(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}}){_TIME}$", "$1-$2-$3 $4"),
     (rf"^(\d{{1,2}})[-/](\d{{1,2}})[-/](\d{{4}}){_TIME}$", "$3-$2-$1 $4"),
     # Two-digit years 69-99 belong to the last century.
@@ -20,6 +19,9 @@ TIMESTAMP_SHAPES = (
     (r"^(\d{1,2})-(\d{1,2})-([0-5]\d|6[0-8])$", "20$3-$2-$1"),
     (r"^(\d{1,2})-(\d{1,2})-(69|[7-9]\d)$", "19$3-$2-$1"),
     (r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:$5:$6"),
+)
+# Shapes read month-first when no day-first reading is a date.
+MONTH_FIRST = (
     (rf"^(\d{{1,2}})[-/](\d{{1,2}})[-/](\d{{4}}){_TIME}$", "$3-$1-$2 $4"),
     (rf"^(\d{{1,2}})[-/](\d{{1,2}})[-/](\d{{2}}){_TIME}$", "20$3-$1-$2 $4"),
 )
@@ -44,19 +46,20 @@ def money(c: Column) -> Column:
 def moment(c: Column) -> Column:
     """Timestamp text in any accepted shape to timestamp_ntz; null when unreadable.
 
-    Each shape is rewritten to year-month-day text by one pattern and cast; a row
-    that fits no earlier shape costs only the pattern tests.
+    The shapes are rewritten to year-month-day text one after the other and cast
+    once, so the text is named once per reading and the expression stays small.
     """
     t = F.regexp_replace(present(c), r"\s+", " ")
-    named = F.lower(t)
     for n, month in enumerate(MONTHS, start=1):
-        named = F.replace(named, F.lit(f"-{month}-"), F.lit(f"-{n}-"))
-    t = F.when(t.rlike(r"^\d{1,2}-[A-Za-z]{3}-(\d{4}|\d{2})$"), named).otherwise(t)
-    tries = [
-        F.when(t.rlike(shape), F.trim(F.regexp_replace(t, shape, text)).try_cast("timestamp"))
-        for shape, text in TIMESTAMP_SHAPES
-    ]
-    return F.coalesce(*tries, t.try_cast("timestamp")).cast("timestamp_ntz")
+        t = F.regexp_replace(t, f"(?i)-{month}-", f"-{n}-")
+
+    def read(shapes) -> Column:
+        x = t
+        for shape, text in shapes:
+            x = F.regexp_replace(x, shape, text)
+        return F.trim(x).try_cast("timestamp")
+
+    return F.coalesce(read(DAY_FIRST), read(MONTH_FIRST)).cast("timestamp_ntz")
 
 
 def micros(c: Column) -> Column:

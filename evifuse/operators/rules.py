@@ -28,7 +28,7 @@ from evifuse.operators.keyed import (
     top_per_key,
 )
 from evifuse.operators.temporal import CALL_TYPES, linked_calls_before, nearest_within
-from evifuse.session import cut
+from evifuse.session import at_once, cut, cut_all
 
 RULES = ("IDR-1", "TCS-1", "TCS-2", "STR-1", "LAY-1", "MUL-1", "LOC-1")
 DAY = 24 * HOUR
@@ -179,7 +179,20 @@ def idr_limbs(
     hot_rows: int = HOT_ROWS,
 ) -> Found:
     """All limbs of the identity rule: (entity_id, limb, grade, description) and evidence."""
-    fan = cut(device_fanout(events, min_numbers), "fan")
+    def holders(id_type: str, least: int) -> DataFrame:
+        return (
+            identifiers.where(F.col("id_type") == id_type)
+            .select("entity_id", "identifier")
+            .distinct()
+            .join(identifier_fanout(identifiers, id_type, least), "entity_id", "left_semi")
+        )
+
+    fan, own_accounts, own_imeis, swap = cut_all(
+        device_fanout(events, min_numbers),
+        holders("account", min_accounts),
+        holders("imei", min_imeis),
+        first_swaps(identifier_swaps(events, window_minutes, hot_rows)),
+    )
     per_device = fan.groupBy("entity_id", "imei").agg(F.max("msisdn_count").alias("n"))
     few_numbers = (
         top_per_key(fan, ["entity_id", "imei"], [F.asc("msisdn")], 20, "_k")
@@ -210,15 +223,7 @@ def idr_limbs(
                 [F.concat(F.lit("msisdn_count:"), F.col("n").cast("string"))])
     )
 
-    def held(id_type: str, least: int, limb: int, name: str, noun: str, label: str) -> Found:
-        many = identifier_fanout(identifiers, id_type, least)
-        own = (
-            identifiers.where(F.col("id_type") == id_type)
-            .select("entity_id", "identifier")
-            .distinct()
-            .join(many, "entity_id", "left_semi")
-        )
-        own = cut(own, "held")
+    def held(own: DataFrame, id_type: str, least: int, limb: int, name: str, noun: str, label: str) -> Found:
         many = own.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
         few = (
             top_per_key(own, ["entity_id"], [F.asc("identifier")], 20, "_k")
@@ -241,10 +246,9 @@ def idr_limbs(
         )
         return Found(rows, tokens)
 
-    accounts = held("account", min_accounts, 2, "Account fan-out", "bank accounts", "account_fanout")
-    imeis = held("imei", min_imeis, 3, "Device multiplicity", "IMEIs", "device_multiplicity")
+    accounts = held(own_accounts, "account", min_accounts, 2, "Account fan-out", "bank accounts", "account_fanout")
+    imeis = held(own_imeis, "imei", min_imeis, 3, "Device multiplicity", "IMEIs", "device_multiplicity")
 
-    swap = cut(first_swaps(identifier_swaps(events, window_minutes, hot_rows)), "swaps")
     mins = (F.col("us") - F.col("prev_us")) / MINUTE
     gap = F.when(mins < 120, F.format_string("%.1f mins", mins)).otherwise(F.format_string("%.1f hours", mins / 60.0))
     none = F.lit("N/A")
@@ -638,14 +642,21 @@ def hop_skims(amounts: Column) -> Column:
     return F.zip_with(F.slice(amounts, 1, n), F.slice(amounts, 2, n), lambda a, b: (a - b) / a * 100)
 
 
-def lay1(events: DataFrame, id_map: DataFrame, max_hours: float = 12, min_skim: float = 0.03,
-         max_skim: float = 0.20, **limits) -> Found:
-    """Layering or circular flow: the best path of each origin."""
-    best = best_paths(
-        layering_paths(transfer_edges(events, id_map), max_hours=max_hours, min_skim=min_skim,
-                       max_skim=max_skim, **limits)
-    ).withColumnRenamed("origin", "entity_id")
-    best = cut(best, "lay1")
+def lay1(
+    events: DataFrame,
+    id_map: DataFrame,
+    max_hours: float = 12,
+    min_skim: float = 0.03,
+    max_skim: float = 0.20,
+    best: DataFrame | None = None,
+    **limits,
+) -> Found:
+    """Layering or circular flow: the best path of each origin (``best`` if it is there already)."""
+    if best is None:
+        edges = transfer_edges(events, id_map)
+        paths = layering_paths(edges, max_hours=max_hours, min_skim=min_skim, max_skim=max_skim, **limits)
+        best = cut(best_paths(paths), "lay1")
+    best = best.withColumnRenamed("origin", "entity_id")
     hours = (F.element_at("hops", -1)["us"] - F.element_at("hops", 1)["us"]) / HOUR
     skims = F.transform(hop_skims(F.col("amounts")), lambda s: F.format_string("%.1f", s))
     shape = F.when(
@@ -880,15 +891,16 @@ def run_rules(
 ) -> Found:
     """All seven rules; ``limits`` holds keyword overrides per rule id."""
     k = limits or {}
-    found = [
-        idr1(events, identifiers, **k.get("IDR-1", {})),
-        tcs1(enriched),
-        tcs2(events, id_map, **{"window_minutes": window_minutes, **k.get("TCS-2", {})}),
-        str1(events, **k.get("STR-1", {})),
-        lay1(events, id_map, **k.get("LAY-1", {})),
-        mul1(events, **k.get("MUL-1", {})),
-        loc1(placed, **k.get("LOC-1", {})),
-    ]
+    # Each rule writes its hits; the rules do not depend on each other.
+    found = at_once(
+        lambda: idr1(events, identifiers, **k.get("IDR-1", {})),
+        lambda: tcs1(enriched),
+        lambda: tcs2(events, id_map, **{"window_minutes": window_minutes, **k.get("TCS-2", {})}),
+        lambda: str1(events, **k.get("STR-1", {})),
+        lambda: lay1(events, id_map, **k.get("LAY-1", {})),
+        lambda: mul1(events, **k.get("MUL-1", {})),
+        lambda: loc1(placed, **k.get("LOC-1", {})),
+    )
     return Found(
         reduce(DataFrame.unionByName, [f.firings for f in found]),
         reduce(DataFrame.unionByName, [f.evidence for f in found]),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from evifuse.functions.fields import micros
 from evifuse.functions.geo import ADDRESS_PREFIXES, TOWERS
 from evifuse.operators import graph, rules, scoring, temporal
-from evifuse.session import cut
+from evifuse.session import cut, cut_all
 from evifuse.sources.reference import place_events
 
 WINDOW = 240
@@ -128,10 +128,10 @@ def _found(spark: SparkSession, sf: str) -> rules.Found:
     """All rules over the event table, each rule's hits written once."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _runs:
-        e = cut(events(spark, sf), "events")
-        ids, owners = cut(members(spark, sf), "members"), cut(id_map(spark, sf), "owners")
+        e, ids, owners = cut_all(events(spark, sf), members(spark, sf), id_map(spark, sf))
         rows = temporal.enrich_transactions(e, WINDOW)
-        _runs[key] = rules.run_rules(e, ids, rows, place_events(e), owners, limits=LIMITS)
+        limits = {**LIMITS, "LAY-1": {**LIMITS["LAY-1"], "best": best_chains(spark, sf)}}
+        _runs[key] = rules.run_rules(e, ids, rows, place_events(e), owners, limits=limits)
     return _runs[key]
 
 

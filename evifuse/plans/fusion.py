@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from evifuse.operators import graph, resolution, rules, scoring, temporal
-from evifuse.session import cut
+from evifuse.session import cut, cut_all
 from evifuse.sources.reference import find_kyc_file, place_events, read_kyc, tower_master
 from evifuse.sources.statements import ingest_folder, list_files
 
@@ -43,11 +43,11 @@ def fuse(
     found = rules.run_rules(
         events, members, enriched, place_events(events, towers), index, rule_window_minutes, limits
     )
-    firings = cut(found.firings, "firings")
+    firings, evidence = cut_all(found.firings, found.evidence)
     flags = scoring.isolation_flags(scoring.entity_features(events)) if anomalies else None
     scored = cut(scoring.combine_scores(firings, flags, members), "scored")
     links = cut(graph.build_edges(events, index, phones), "edges") if edges else None
-    return Run(events, members, enriched, firings, found.evidence, scored, links)
+    return Run(events, members, enriched, firings, evidence, scored, links)
 
 
 def fuse_folder(spark: SparkSession, folder: str, **options) -> Run:

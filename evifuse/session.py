@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +50,15 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/evifuse/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def at_once(*jobs: Callable):
+    """Results of several independent jobs, submitted side by side so that one's tail does
+    not leave the executors idle."""
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(j) for j in jobs]]
+
+
+def cut_all(*frames: DataFrame) -> list[DataFrame]:
+    """``cut`` for several frames at once."""
+    return at_once(*[lambda d=d: cut(d) for d in frames])
