@@ -1,7 +1,7 @@
 """Scorecard of detections against labelled truth."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evifuse.operators.keyed import top_per_key
@@ -46,34 +46,36 @@ def match_truth(
     shared = overlap_pairs(truth_ids, members).select(
         "truth_id", "entity_id", F.lit(0).alias("stage"), (-F.col("overlap")).cast("bigint").alias("pref")
     )
-    # Rule choices: an entry can lose at most one entity to each other entry, so the
-    # best ``size`` of each rule are all it can ever need.
-    typed = t.select(F.col("typology").alias("rule_id")).distinct()
-    by_rule = (
-        scored.select("entity_id", F.col("n_rules"), F.explode("rules_fired").alias("rule_id"))
-        .join(typed, "rule_id", "left_semi")
-    )
-    best_by_rule = cut(top_per_key(by_rule, ["rule_id"], [F.desc("n_rules"), F.asc("entity_id")], max(size, 1), "_k"), "rule-best")
     pairs = cut(shared.join(t.select("truth_id", "seq"), "truth_id"), "pairs")
-    served = t.limit(0).select("truth_id")
+    given = t.limit(0)
     for _ in range(max_rounds):
-        top = pairs.groupBy("truth_id", "seq").agg(
-            F.min_by("entity_id", F.struct("stage", "pref", "entity_id")).alias("entity_id")
+        best = F.min_by("entity_id", F.struct("stage", "pref", "entity_id"))
+        top = cut(pairs.groupBy("truth_id", "seq").agg(best.alias("entity_id")), "proposals")
+        proposals, wanted = top.agg(F.count(F.lit(1)), F.count_distinct("entity_id")).first()
+        if proposals > wanted:
+            # An entity only ever moves to an earlier entry: all later ones may forget it.
+            held = top.groupBy("entity_id").agg(F.min("seq").alias("_held"))
+            left = pairs.join(held, "entity_id", "left").where("_held is null or seq <= _held")
+            pairs = cut(left.drop("_held"), "pairs")
+            continue
+        idle = cut(
+            t.join(top.select("truth_id"), "truth_id", "left_anti").join(given, "truth_id", "left_anti"), "idle"
         )
-        top = cut(top, "proposals")
-        held = top.groupBy("entity_id").agg(F.min("seq").alias("seq"))
-        lost = top.join(held, ["entity_id", "seq"], "left_anti").select("truth_id", "entity_id")
-        lost = cut(lost, "lost")
-        idle = t.join(top.select("truth_id"), "truth_id", "left_anti").join(served, "truth_id", "left_anti")
-        idle = cut(idle, "idle")
-        if lost.isEmpty() and idle.isEmpty():
+        if idle.isEmpty():
             return top.select("truth_id", "entity_id")
-        # Entries with no choice left (and not given rule choices yet) get theirs.
-        more = idle.join(best_by_rule, idle["typology"] == best_by_rule["rule_id"]).select(
-            "truth_id", "entity_id", F.lit(1).alias("stage"), F.col("_k").alias("pref"), "seq"
+        # Entries out of sharing entities turn to the expected rule. An entry can lose at
+        # most one entity to each other entry, so the best ``size`` of a rule are enough;
+        # and the n-th of the entries waiting for a rule cannot get its first n - 1.
+        waiting = idle.withColumn("_n", F.row_number().over(Window.partitionBy("typology").orderBy("seq")))
+        typed = idle.select(F.col("typology").alias("rule_id")).distinct()
+        by_rule = scored.select("entity_id", "n_rules", F.explode("rules_fired").alias("rule_id")).join(
+            typed, "rule_id", "left_semi"
         )
-        served = cut(served.unionByName(idle.select("truth_id")), "served")
-        pairs = cut(pairs.join(lost, ["truth_id", "entity_id"], "left_anti").unionByName(more), "pairs")
+        ranked = top_per_key(by_rule, ["rule_id"], [F.desc("n_rules"), F.asc("entity_id")], max(size, 1), "_k")
+        more = waiting.join(ranked.withColumnRenamed("rule_id", "typology"), "typology").where("_k >= _n")
+        more = more.select("truth_id", "entity_id", F.lit(1).alias("stage"), F.col("_k").alias("pref"), "seq")
+        pairs = cut(pairs.unionByName(more), "pairs")
+        given = given.unionByName(idle)
     raise RuntimeError(f"truth matching did not settle in {max_rounds} rounds")
 
 

@@ -35,6 +35,11 @@ def r4(name: str, alias: str | None = None):
     return F.round(F.col(name).cast("double"), 4).alias(alias or name)
 
 
+def _ref(name: str, alias: str | None = None):
+    """Row reference as reports print it."""
+    return F.coalesce(F.col(name).cast("string"), F.lit("N/A")).alias(alias or name.split(".")[-1])
+
+
 def joined(name: str, alias: str | None = None):
     return F.array_join(name, ",").alias(alias or name)
 
@@ -50,11 +55,11 @@ def narration_extract(spark, sf):
     )
 
 
-@query("SELECT o_orderkey, us, round(abs(amount), 4) AS amount FROM stm")
+@query("SELECT o_orderkey, coalesce(us, -1) AS us, round(abs(amount), 4) AS amount FROM stm")
 def amount_date_parse(spark, sf):
     amount = F.greatest(ff.money(F.col("Debit")), ff.money(F.col("Credit")))
     return cw.statement_rows(spark, sf).select(
-        F.col("raw_row_ref").alias("o_orderkey"), ff.micros(ff.moment(F.col("Txn Date"))).alias("us"), F.round(amount, 4).alias("amount")
+        F.col("raw_row_ref").alias("o_orderkey"), F.coalesce(ff.micros(ff.moment(F.col("Txn Date"))), F.lit(-1)).alias("us"), F.round(amount, 4).alias("amount")
     )
 
 
@@ -188,14 +193,14 @@ def header_type_detect(spark, sf):
 # ------------------------------------------------------------------------- in time
 
 
-@query("SELECT raw_row_ref, entity_id, call_ref AS call_row_ref, call_cp AS call_counterparty, call_loc AS call_location, call_imei FROM enr")
+@query("SELECT raw_row_ref, entity_id, coalesce(CAST(call_ref AS VARCHAR), 'N/A') AS call_row_ref, call_cp AS call_counterparty, call_loc AS call_location, call_imei FROM enr")
 def asof_nearest_call(spark, sf):
-    return cw.enriched(spark, sf).select("raw_row_ref", "entity_id", "call_row_ref", "call_counterparty", "call_location", "call_imei")
+    return cw.enriched(spark, sf).select("raw_row_ref", "entity_id", _ref("call_row_ref"), "call_counterparty", "call_location", "call_imei")
 
 
-@query("SELECT raw_row_ref, entity_id, session_ref AS session_row_ref, session_cp AS session_dest_ip, session_loc AS session_location FROM enr")
+@query("SELECT raw_row_ref, entity_id, coalesce(CAST(session_ref AS VARCHAR), 'N/A') AS session_row_ref, session_cp AS session_dest_ip, session_loc AS session_location FROM enr")
 def asof_nearest_session(spark, sf):
-    return cw.enriched(spark, sf).select("raw_row_ref", "entity_id", "session_row_ref", "session_dest_ip", "session_location")
+    return cw.enriched(spark, sf).select("raw_row_ref", "entity_id", _ref("session_row_ref"), "session_dest_ip", "session_location")
 
 
 @query("SELECT raw_row_ref, has_call AS has_call_correlation, has_session AS has_session_correlation, has_call AND has_session AS has_both_correlation FROM enr")
@@ -204,14 +209,14 @@ def correlation_flags(spark, sf):
 
 
 @query(
-    f"SELECT t.raw_row_ref, t.entity_id, arg_max(s.raw_row_ref, (s.end_us, s.raw_row_ref)) AS session_row_ref, max(s.end_us) AS session_end_us "
+    f"SELECT t.raw_row_ref, t.entity_id, coalesce(CAST(arg_max(s.raw_row_ref, (s.end_us, s.raw_row_ref)) AS VARCHAR), 'N/A') AS session_row_ref, coalesce(max(s.end_us), -1) AS session_end_us "
     f"FROM (SELECT * FROM ev WHERE event_type = 'transaction') t LEFT JOIN (SELECT * FROM ev WHERE event_type = 'ip_session') s "
     f"ON s.entity_id = t.entity_id AND s.us <= t.us + {10 * MINUTE} AND s.end_us >= t.us - {10 * MINUTE} GROUP BY 1, 2"
 )
 def session_overlap(spark, sf):
     e = cw.events(spark, sf)
     d = temporal.overlapping_session(e.where("event_type = 'transaction'"), e, 10 * MINUTE)
-    return d.select("raw_row_ref", "entity_id", F.col("_session.raw_row_ref").alias("session_row_ref"), F.col("_session.end_us").alias("session_end_us"))
+    return d.select("raw_row_ref", "entity_id", _ref("_session.raw_row_ref", "session_row_ref"), F.coalesce("_session.end_us", F.lit(-1)).alias("session_end_us"))
 
 
 @query("SELECT entity_id, raw_row_ref, party, payee, link, n_calls, first_us AS first_call_us, last_us AS last_call_us FROM tcs2")
@@ -246,14 +251,15 @@ def timeline_totals(spark, sf):
 
 _BANDS = (
     "SELECT entity_id, CASE WHEN has_call AND has_session THEN 'tcs1' WHEN has_call THEN 'call' ELSE 'session' END AS kind, "
-    f"us - {240 * MINUTE} AS start_us, us + {240 * MINUTE} AS end_us, us AS centre_us, round(abs(amount), 4) AS amount, raw_row_ref, call_ref AS call_row_ref, session_ref AS session_row_ref "
+    f"us - {240 * MINUTE} AS start_us, us + {240 * MINUTE} AS end_us, us AS centre_us, round(abs(amount), 4) AS amount, raw_row_ref, coalesce(CAST(call_ref AS VARCHAR), 'N/A') AS call_row_ref, coalesce(CAST(session_ref AS VARCHAR), 'N/A') AS session_row_ref "
     "FROM enr WHERE has_call OR has_session"
 )
 
 
 @query(_BANDS)
 def timeline_bands(spark, sf):
-    return temporal.correlation_bands(cw.enriched(spark, sf), cw.WINDOW).withColumn("amount", F.round("amount", 4))
+    d = temporal.correlation_bands(cw.enriched(spark, sf), cw.WINDOW)
+    return d.withColumns({"amount": F.round("amount", 4), "call_row_ref": _ref("call_row_ref"), "session_row_ref": _ref("session_row_ref")})
 
 
 @query(
@@ -618,11 +624,11 @@ def call_edges(spark, sf):
 
 
 @query(
-    f"SELECT src, dst, edge_type, round(weight, 4) AS weight, cnt AS count, freq AS call_frequency, {inst('source_file')} AS institution, first_us, last_us FROM edg"
+    f"SELECT src, dst, edge_type, round(weight, 4) AS weight, cnt AS count, coalesce(freq, 0) AS call_frequency, {inst('source_file')} AS institution, first_us, last_us FROM edg"
 )
 def merged_edges(spark, sf):
     d = graph.build_edges(cw.events(spark, sf), cw.id_map(spark, sf), cw.phones(spark, sf))
-    return d.select("src", "dst", "edge_type", r4("weight"), "count", "call_frequency", "institution", "first_us", "last_us")
+    return d.select("src", "dst", "edge_type", r4("weight"), "count", F.coalesce("call_frequency", F.lit(0)).alias("call_frequency"), "institution", "first_us", "last_us")
 
 
 @query(
@@ -807,9 +813,10 @@ def omitted_flagged(spark, sf):
 
 @query()
 def ml_only_entities(spark, sf):
-    """Entities with the anomaly flag and no rule fired."""
+    """Entities with the anomaly flag and no money rule fired."""
     flags = scoring.isolation_flags(scoring.entity_features(cw.events(spark, sf)))
-    return reports.only_anomalous(scoring.combine_scores(cw.firings(spark, sf), flags, cw.members(spark, sf)))
+    money = cw.firings(spark, sf).where("rule_id in ('STR-1', 'MUL-1', 'LAY-1')")
+    return reports.only_anomalous(scoring.combine_scores(money, flags, cw.members(spark, sf)))
 
 
 _FLAG = "(SELECT entity_id FROM sco WHERE risk_tier IN ('CRITICAL','HIGH'))"
