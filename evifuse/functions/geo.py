@@ -110,38 +110,33 @@ def address_city(ip: Column, whole_octets: bool = True) -> Column:
     """City of a public address.
 
     ``whole_octets`` matches "103.21." only; switched off, "103.211.x" counts as
-    "103.21" too.
+    "103.21" too. Every prefix is six characters long.
     """
-    out = F.lit(None).cast("string")
-    for prefix, city in reversed(ADDRESS_PREFIXES):
-        hit = ip.startswith(prefix + ".") if whole_octets else ip.startswith(prefix)
-        out = F.when(hit, city).otherwise(out)
-    return out
+    head = F.substring_index(ip, ".", 2) if whole_octets else F.substring(ip, 1, 6)
+    return _literal_map(ADDRESS_PREFIXES)[head]
 
 
 def event_place(location: Column, public_ip: Column, whole_octets: bool = True) -> Column:
     """Place of an event from the fixed tables, struct<lat, lon, label> or null.
 
-    Order: tower id, tower-id prefix, address prefix, city named in the text. The
-    tables are literals in the plan, so no join and no broadcast takes part.
+    Order: tower id, tower-id prefix (its first three letters), address prefix, city
+    named in the text. The tables are literals in the plan, so no join and no
+    broadcast takes part.
     """
     up = F.upper(location)
-    by_id = _literal_map(
-        (t[0], _place(t[1], t[2], f"{t[3]}, {t[4]}")) for t in TOWERS
-    )[up]
-    by_prefix = F.lit(None)
-    for t in reversed(_first_towers()):
-        by_prefix = F.when(
-            up.startswith(t[0].split("-")[0]), _place(t[1], t[2], f"{t[3]}, {t[4]}")
-        ).otherwise(by_prefix)
+    towers = [(t[0], _place(t[1], t[2], f"{t[3]}, {t[4]}")) for t in TOWERS]
+    prefixes = [(t[0].split("-")[0], _place(t[1], t[2], f"{t[3]}, {t[4]}")) for t in _first_towers()]
     coords = {name: (lat, lon) for name, lat, lon in CITIES}
-    by_address = _literal_map(
-        (city, _place(*coords[city], f"IP-Geo ({city})")) for _, city in ADDRESS_PREFIXES
-    )[address_city(public_ip, whole_octets)]
-    by_city = F.lit(None)
+    addresses = [(city, _place(*coords[city], f"IP-Geo ({city})")) for _, city in ADDRESS_PREFIXES]
+    named = F.lit(None)
     for name, lat, lon in reversed(CITIES):
-        by_city = F.when(up.contains(name.upper()), _place(lat, lon, name)).otherwise(by_city)
-    return F.coalesce(by_id, by_prefix, by_address, by_city)
+        named = F.when(up.contains(name.upper()), _place(lat, lon, name)).otherwise(named)
+    return F.coalesce(
+        _literal_map(towers)[up],
+        _literal_map(prefixes)[F.substring(up, 1, 3)],
+        _literal_map(addresses)[address_city(public_ip, whole_octets)],
+        named,
+    )
 
 
 def node_city(location: Column) -> Column:
@@ -159,9 +154,7 @@ def map_city(location: Column) -> Column:
     """City of a location for the map views: named in the text, else id prefix."""
     # Order in which city names are looked for on the map.
     order = ("Mumbai", "Delhi", "Bangalore", "Ahmedabad", "Surat", "Pune", "Hyderabad", "Chennai")
-    out = F.lit(None).cast("string")
-    for prefix, city in reversed(TOWER_PREFIXES):
-        out = F.when(F.upper(location).startswith(prefix), city).otherwise(out)
+    out = _literal_map(TOWER_PREFIXES)[F.substring(F.upper(location), 1, 3)]
     for city in reversed(order):
         out = F.when(F.lower(location).contains(city.lower()), city).otherwise(out)
     return out
@@ -170,8 +163,8 @@ def map_city(location: Column) -> Column:
 def map_tower(location: Column) -> Column:
     """Tower id that stands for a location on the map, null when it has none."""
     by_id = _literal_map((t[0], t[0]) for t in TOWERS)[location]
-    by_prefix = F.lit(None).cast("string")
-    for t in reversed(_first_towers()):
-        by_prefix = F.when(F.upper(location).startswith(t[0].split("-")[0]), t[0]).otherwise(by_prefix)
+    by_prefix = _literal_map((t[0].split("-")[0], t[0]) for t in _first_towers())[
+        F.substring(F.upper(location), 1, 3)
+    ]
     by_city = _literal_map((t[4], t[0]) for t in _first_towers())[map_city(location)]
     return F.coalesce(by_id, by_prefix, by_city)

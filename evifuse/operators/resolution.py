@@ -6,11 +6,13 @@ entity are only built for display, with a fixed length.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evifuse.functions.fields import digits, identifier_type, present
-from evifuse.operators.keyed import top_per_key
+from evifuse.operators.keyed import HOT_ROWS, top_per_key
 from evifuse.session import cut
 
 # Order in which the kinds of identifier are listed.
@@ -109,29 +111,31 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components: (identifier, component), named by the smallest member.
 
     Alternates two steps until nothing changes. Large step: a node links its larger
-    neighbours to its smallest neighbour. Small step: it links its smaller ones. Each
-    minimum is an aggregate that combines map-side and is written before it is joined
-    back, so a hub's edges meet one row and the join can be split.
+    neighbours to its smallest neighbour. Small step: it links its smaller ones. The
+    minima combine map-side. Once an edge set is big enough for a hub to matter, they
+    are written before they are joined back: the join then reads plain tables, and
+    adaptive execution can split a hub's edges over many tasks.
     """
     e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v")
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    seen = None
+
+    def state(d: DataFrame):
+        return d.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+
+    seen = state(e)
     for _ in range(max_rounds):
+        keep = cut if seen["n"] > HOT_ROWS else (lambda d: d)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "cc-low")
-        large = (
-            both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        )
-        large = cut(large.distinct(), "cc-large")
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
+        low = keep(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(large.where("u <> v").distinct(), "cc-large")
+        low = keep(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(
             F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")
         )
         e = cut(small.where("u <> v").distinct(), "cc")
-        # Settled once the edge set repeats: compare count and an order-free digest.
-        now = e.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
+        # Settled once the edge set repeats, by count and an order-free digest.
+        now = state(e)
         if now == seen:
             break
         seen = now
@@ -319,26 +323,35 @@ def mention_links(texts: DataFrame, members: DataFrame, names: DataFrame, limit:
     )
 
     def groups(text, n: int):
-        # One pass over the text: a look-ahead yields the group at every position.
-        return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+        # One pass over the text: a look-ahead yields the group at every position. Long
+        # groups hardly repeat inside a text, so only the short ones are made distinct.
+        every = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+        return every if n >= 8 else F.array_distinct(every)
 
-    hits = None
+    maybes = []
     for n, which in ((4, (F.length("phrase") >= 4) & (F.length("phrase") < 8)), (8, F.length("phrase") >= 8)):
-        p = phrases.where(which)
-        parts = p.select("phrase").distinct().select("phrase", F.explode(groups(F.col("phrase"), n)).alias("part"))
+        parts = phrases.where(which).select("phrase").distinct()
+        parts = parts.select("phrase", F.explode(F.array_distinct(groups(F.col("phrase"), n))).alias("part"))
         shared = parts.groupBy("part").agg(F.count(F.lit(1)).alias("_n"))
         anchor = parts.join(shared, "part").groupBy("phrase").agg(F.min_by("part", F.struct("_n", "part")).alias("part"))
-        inside = texts.select("text_id", F.explode(groups(lowered, n)).alias("part"))
-        maybe = inside.join(anchor, "part").select("text_id", "phrase")
-        hits = maybe if hits is None else hits.unionByName(maybe)
-    named = (
-        hits.join(texts.select("text_id", lowered.alias("_t"), F.col("text").rlike(r"[0-9]").alias("_d")), "text_id")
+        # Written first, so its size is known when Spark picks the join with the texts.
+        anchor = cut(anchor, "anchors")
+        if not anchor.isEmpty():
+            inside = texts.select("text_id", F.explode(groups(lowered, n)).alias("part"))
+            maybes.append(inside.join(anchor, "part").select("text_id", "phrase"))
+    if not maybes:
+        maybes.append(texts.select("text_id", F.lit("").alias("phrase")).limit(0))
+    maybe = reduce(DataFrame.unionByName, maybes).distinct()
+    hits = (
+        maybe.join(texts.select("text_id", lowered.alias("_t")), "text_id")
         .where(F.col("_t").contains(F.col("phrase")))
         .select("text_id", "phrase")
-        .join(phrases, "phrase")
     )
-    has_run = runs.select("text_id").distinct()
-    by_name = named.where("how = 'name'").unionByName(named.where("how = 'vpa'").join(has_run, "text_id", "left_semi"))
+    # A handle only counts in a text that also has a digit run.
+    has_run = runs.select("text_id").distinct().withColumn("_run", F.lit(True))
+    by_name = (
+        cut(hits, "hits").join(phrases, "phrase").join(has_run, "text_id", "left").where("how = 'name' or _run")
+    )
     every = (
         by_id.unionByName(by_digits)
         .unionByName(by_name.select("text_id", "entity_id", "how", "ord"))

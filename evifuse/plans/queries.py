@@ -603,6 +603,7 @@ SELECT text_id, entity_id, how, rank FROM (SELECT *, row_number() OVER (PARTITIO
 )
 def mention_links(spark, sf):
     people, names = _text_entities(spark, sf)
+    people = cut(people, "people")
     texts = cw.table(spark, sf, "documents").select(
         F.col("doc_id").alias("text_id"),
         F.concat("text", F.expr("if(doc_id % 50 = 0, concat(' see ENT-', doc_id % 40, ' now'), '')")).alias("text"),
