@@ -36,7 +36,7 @@ def stages(spark, sf: str, took: dict[str, float]) -> None:
     def ingest():
         for q in ("bank_normalise", "cdr_normalise", "ipdr_normalise"):
             run(QUERIES[q](spark, sf))
-        return cut_all(cw.events(spark, sf), cw.members(spark, sf), cw.id_map(spark, sf))
+        return [cut(cw.events(spark, sf), by="event_type"), *cut_all(cw.members(spark, sf), cw.id_map(spark, sf))]
 
     e, ids, owners = timed("ingestion", ingest)
 

@@ -46,22 +46,27 @@ def flow_edges(moves: DataFrame) -> DataFrame:
     """One edge per (src, dst); when the pair has debits, its credits are the same money seen
     from the other side and are left out.
 
-    Both versions are aggregated in one pass and one is kept, so no pair is gathered.
+    Rows are first added up per (pair, side, file), which is a plain hash aggregate on
+    the map side; both versions of a pair are then formed and one is kept, so the rows of
+    a pair are never gathered. The file is the one that speaks of the pair first.
     """
-    d = F.col("is_debit")
     units = F.round(F.col("amt") * 10_000).cast("bigint")
+    part = moves.groupBy("src", "dst", "is_debit", "source_file").agg(
+        F.sum(units).alias("w"), F.count(F.lit(1)).alias("n"), F.min("us").alias("a"), F.max("us").alias("z")
+    )
+    d = F.col("is_debit")
 
     def side(cond: Column, tag: str) -> list[Column]:
         return [
-            F.sum(F.when(cond, units)).alias(f"w{tag}"),
-            F.count_if(cond).alias(f"n{tag}"),
-            F.min_by("source_file", F.when(cond, F.struct("us", "raw_row_ref"))).alias(f"f{tag}"),
-            F.min(F.when(cond, F.col("us"))).alias(f"a{tag}"),
-            F.max(F.when(cond, F.col("us"))).alias(f"z{tag}"),
+            F.sum(F.when(cond, F.col("w"))).alias(f"w{tag}"),
+            F.sum(F.when(cond, F.col("n"))).alias(f"n{tag}"),
+            F.min_by("source_file", F.when(cond, F.struct("a", "source_file"))).alias(f"f{tag}"),
+            F.min(F.when(cond, F.col("a"))).alias(f"a{tag}"),
+            F.max(F.when(cond, F.col("z"))).alias(f"z{tag}"),
         ]
 
-    g = moves.groupBy("src", "dst").agg(*side(d, "d"), *side(~d, "c"))
-    has = F.col("nd") > 0
+    g = part.groupBy("src", "dst").agg(*side(d, "d"), *side(~d, "c"))
+    has = F.col("nd").isNotNull()
 
     def pick(c: str) -> Column:
         return F.when(has, F.col(f"{c}d")).otherwise(F.col(f"{c}c"))
@@ -74,11 +79,15 @@ def flow_edges(moves: DataFrame) -> DataFrame:
 
 
 def call_edges(talks: DataFrame) -> DataFrame:
-    return talks.groupBy("src", "dst").agg(
-        F.count(F.lit(1)).alias("call_frequency"),
-        F.min_by("source_file", F.struct("us", "raw_row_ref")).alias("source_file"),
-        F.min("us").alias("first_us"),
-        F.max("us").alias("last_us"),
+    """One edge per (src, dst) with its number of calls, added up per file first."""
+    part = talks.groupBy("src", "dst", "source_file").agg(
+        F.count(F.lit(1)).alias("n"), F.min("us").alias("a"), F.max("us").alias("z")
+    )
+    return part.groupBy("src", "dst").agg(
+        F.sum("n").alias("call_frequency"),
+        F.min_by("source_file", F.struct("a", "source_file")).alias("source_file"),
+        F.min("a").alias("first_us"),
+        F.max("z").alias("last_us"),
     )
 
 

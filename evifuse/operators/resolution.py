@@ -84,6 +84,8 @@ def identity_nodes(kyc: DataFrame, events: DataFrame) -> DataFrame:
         owned.unionByName(seen_all)
         .withColumn("identifier", present(F.col("identifier")))
         .where("identifier is not null")
+        # Made distinct first: that combines by hash map-side, the choice then sees few rows.
+        .distinct()
         .groupBy("identifier")
         .agg(
             F.min_by("id_type", F.struct((F.col("id_type") == "unknown").alias("u"), "rank")).alias("id_type")

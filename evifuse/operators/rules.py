@@ -479,11 +479,11 @@ def structuring_windows(
 ) -> DataFrame:
     """Every run of ``count_min`` consecutive just-under-threshold debits in time.
 
-    Debits in the band are filtered first; each goes to its own time slice and, near a
-    slice start, to the slice before, so a run never has to look past its slice.
+    Debits in the band are filtered first; each goes to its own time slice and to the
+    slice before, so a run never has to look past its slice.
     """
     span = int(window_hours * HOUR)
-    length = 4 * span
+    length = span
     band = events.where(
         (F.col("event_type") == "transaction")
         & (F.col("amount") < 0)
@@ -748,7 +748,7 @@ def mule_credits(
     ).select("entity_id", "us", "raw_row_ref", "amount")
 
     span = int(outflow_hours * HOUR)
-    length = 8 * span
+    length = 2 * span
     debits = into_slices(
         txns.where("amount < 0").select("entity_id", "us", _units(F.col("amount")).alias("_out")),
         F.col("us") - span,

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from evifuse.operators.keyed import top_per_key
 from evifuse.operators.temporal import CALL_TYPES
+from evifuse.session import cut
 
 # Tiers from worst to best.
 TIERS = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
@@ -144,6 +145,7 @@ def isolation_flags(
     data size) goes to all tasks, which score entities in Arrow batches.
     """
     spark = features.sparkSession
+    features = cut(features.select("entity_id", *FEATURES), "features")
     total = features.count()
     if total < 5:
         return features.select("entity_id", F.lit(0.0).alias("score"), F.lit(False).alias("ml_anomaly"))
@@ -198,8 +200,6 @@ def isolation_flags(
             depth += t[at, 4]
         return pd.Series(np.power(2.0, -depth / len(grown.value) / scale))
 
-    from evifuse.session import cut
-
     scored = cut(features.select("entity_id", score(*FEATURES).alias("score")), "scores")
     edge = scored.agg(F.percentile_approx("score", 1.0 - contamination, 100_000).alias("edge")).first()["edge"]
     return scored.withColumn("ml_anomaly", F.col("score") > edge)

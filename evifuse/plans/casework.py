@@ -128,7 +128,8 @@ def _found(spark: SparkSession, sf: str) -> rules.Found:
     """All rules over the event table, each rule's hits written once."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _runs:
-        e, ids, owners = cut_all(events(spark, sf), members(spark, sf), id_map(spark, sf))
+        e = cut(events(spark, sf), "events", by="event_type")
+        ids, owners = cut_all(members(spark, sf), id_map(spark, sf))
         rows = temporal.enrich_transactions(e, WINDOW)
         limits = {**LIMITS, "LAY-1": {**LIMITS["LAY-1"], "best": best_chains(spark, sf)}}
         _runs[key] = rules.run_rules(e, ids, rows, place_events(e), owners, limits=limits)

@@ -55,7 +55,7 @@ def fuse_folder(spark: SparkSession, folder: str, **options) -> Run:
     got = ingest_folder(spark, folder)
     if got.events is None:
         raise ValueError(f"no usable statement in {folder}")
-    raw = cut(got.events, "events")
+    raw = cut(got.events, "events", by="event_type")
     bank = raw.where("event_type = 'transaction'")
     cdr = raw.where("event_type in ('call', 'sms')")
     ipdr = raw.where("event_type = 'ip_session'")
@@ -66,7 +66,7 @@ def fuse_folder(spark: SparkSession, folder: str, **options) -> Run:
     members = resolution.assign_entities(nodes, resolution.ownership_edges(kyc))
     members = cut(resolution.validate_entities(members, kyc), "members")
     id_map = members.select("identifier", "entity_id")
-    events = cut(resolution.apply_mapping(raw, id_map), "resolved")
+    events = cut(resolution.apply_mapping(raw, id_map), "resolved", by="event_type")
     lists = [p for p in list_files(spark, folder, ".csv") if p.rsplit("/", 1)[-1].lower() == "tower_master.csv"]
     towers = tower_master(spark, lists[0]) if lists else None
     run = fuse(events, members, id_map=id_map, towers=towers, **options)

@@ -167,10 +167,10 @@ CTE["sco"] = """SELECT e.entity_id, coalesce(n_rules, 0) AS n_rules, coalesce(ru
 CTE["mov"] = """SELECT CASE WHEN e.amount < 0 THEN e.entity_id ELSE m.entity_id END AS src, CASE WHEN e.amount < 0 THEN m.entity_id ELSE e.entity_id END AS dst,
   abs(e.amount) AS amt, e.amount < 0 AS is_debit, e.us, e.raw_row_ref, e.source_file
   FROM ev e JOIN idm m ON m.identifier = e.counterparty WHERE e.event_type = 'transaction' AND e.amount <> 0"""
-CTE["flow"] = """SELECT src, dst, sum(CAST(round(amt * 10000) AS BIGINT)) / 10000.0 AS weight, count(*) AS cnt, arg_min(source_file, (us, raw_row_ref)) AS source_file,
+CTE["flow"] = """SELECT src, dst, sum(CAST(round(amt * 10000) AS BIGINT)) / 10000.0 AS weight, count(*) AS cnt, arg_min(source_file, (us, source_file)) AS source_file,
   bool_or(is_debit) AS from_debit, min(us) AS first_us, max(us) AS last_us
   FROM (SELECT *, bool_or(is_debit) OVER (PARTITION BY src, dst) AS any_debit FROM mov) WHERE is_debit OR NOT any_debit GROUP BY src, dst"""
-CTE["talk"] = """SELECT e.entity_id AS src, m.entity_id AS dst, count(*) AS freq, arg_min(source_file, (us, raw_row_ref)) AS source_file, min(us) AS first_us, max(us) AS last_us
+CTE["talk"] = """SELECT e.entity_id AS src, m.entity_id AS dst, count(*) AS freq, arg_min(source_file, (us, source_file)) AS source_file, min(us) AS first_us, max(us) AS last_us
   FROM ev e JOIN mem m ON m.identifier = e.counterparty AND m.id_type = 'phone' WHERE e.event_type IN ('call','sms') AND e.entity_id <> m.entity_id GROUP BY 1, 2"""
 CTE["edg"] = """SELECT coalesce(f.src, t.src) AS src, coalesce(f.dst, t.dst) AS dst, CASE WHEN f.src IS NOT NULL THEN 'transaction' ELSE 'call' END AS edge_type,
   coalesce(f.weight, t.freq * 100.0) AS weight, coalesce(f.cnt, t.freq) AS cnt, t.freq, coalesce(f.source_file, t.source_file) AS source_file,

@@ -41,15 +41,28 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+def work_dir(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables."""
+    return f"{shared_dir(spark)}/evifuse/{spark.sparkContext.applicationId}"
+
+
+def cut(df: DataFrame, name: str = "cut", by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Loops use this instead of growing one plan. The table survives lost
-    executors, and its size is known to the optimizer afterwards.
+    executors, and its size is known to the optimizer afterwards. ``by`` names a
+    low-cardinality column to partition on, so that filters on it skip files.
     """
-    path = f"{shared_dir(df.sparkSession)}/evifuse/{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once nothing reads them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def at_once(*jobs: Callable):

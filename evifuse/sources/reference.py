@@ -97,10 +97,13 @@ def place_events(events: DataFrame, towers: DataFrame | None = None, whole_octet
         F.col("key").alias("_key"),
         F.struct("lat", "lon", F.when(F.col("label") != "", F.col("label")).alias("label")).alias("_t"),
     )
-    by_id = events.withColumn("_key", F.upper("location")).join(t, "_key", "left").drop("_key")
-    short = F.split("location", r"\.")[0]
+    # Rows without a key get one that fits no tower, so that they spread over the join's tasks.
+    spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("us", "raw_row_ref"), F.lit(4096)).cast("string"))
+    whole = F.coalesce(F.upper("location"), spread)
+    short = F.coalesce(F.when(F.col("location").contains("."), F.split("location", r"\.")[0]), spread)
     t2 = t.withColumnRenamed("_t", "_t2")
-    both = by_id.withColumn("_key", F.when(F.col("location").contains("."), short)).join(t2, "_key", "left").drop("_key")
+    by_id = events.withColumn("_key", whole).join(t, "_key", "left").drop("_key")
+    both = by_id.withColumn("_key", short).join(t2, "_key", "left").drop("_key")
     own = F.coalesce("_t", "_t2")
     named = F.when(
         own.isNotNull(),
