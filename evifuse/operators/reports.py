@@ -172,6 +172,36 @@ def dossiers(
     )
 
 
+def write_bundles(bundles: DataFrame, path: str) -> None:
+    """Evidence bundles of the HIGH and CRITICAL entities, a folder per tier."""
+    worst = bundles.where(F.col("risk_tier").isin("HIGH", "CRITICAL"))
+    worst.write.mode("overwrite").partitionBy("risk_tier").json(path)
+
+
+def filing_package(events: DataFrame, scored: DataFrame, firings: DataFrame, k: int = 100) -> DataFrame:
+    """One filing per HIGH or CRITICAL entity: grounds per rule, first k transactions, totals."""
+    who = scored.where(F.col("risk_tier").isin("HIGH", "CRITICAL")).select("entity_id", "risk_tier")
+    grounds = (
+        filing_categories(firings)
+        .join(firings.select("entity_id", "rule_id", "explanation"), ["entity_id", "rule_id"])
+        .groupBy("entity_id")
+        .agg(F.array_sort(F.collect_list(F.struct("rule_id", "category", "grounds", "explanation"))).alias("grounds"))
+    )
+    schedule = (
+        filing_schedule(events, who, k)
+        .groupBy("entity_id")
+        .agg(
+            F.array_sort(
+                F.collect_list(F.struct("serial", "us", "direction", "amount", "counterparty", "source_file", "raw_row_ref"))
+            ).alias("schedule")
+        )
+    )
+    out = who
+    for part in (grounds, schedule, filing_totals(events, who)):
+        out = out.join(part, "entity_id", "left")
+    return out.na.fill({"total_value": 0.0, "transactions": 0})
+
+
 def trace_bundle(scored, entities, firings, evidence, events) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(header, findings, raw rows) of every entity; filter on entity_id for one."""
     raw = events.select(

@@ -9,7 +9,7 @@ from evifuse.operators import graph, places, reports, resolution, rules, scoring
 from evifuse.operators.keyed import HOUR, MINUTE
 from evifuse.plans import casework as cw
 from evifuse.plans.oracles import CTE, header_oracle, inst, sql  # noqa: F401
-from evifuse.session import cut, shared_dir
+from evifuse.session import cut, work_dir
 from evifuse.sources import audit, statements
 from evifuse.sources.reference import kyc_rows, place_events
 
@@ -873,6 +873,49 @@ def dossier(spark, sf):
     )
 
 
+@query(
+    f"SELECT s.entity_id, s.risk_tier, coalesce(g.rules, '') AS rules, round(coalesce(t.v, 0), 2) AS total_value, coalesce(t.n, 0) AS transactions, CAST(least(coalesce(t.n, 0), 100) AS BIGINT) AS scheduled "
+    "FROM sco s LEFT JOIN (SELECT entity_id, string_agg(rule_id, ',' ORDER BY rule_id) AS rules FROM fir GROUP BY 1) g ON g.entity_id = s.entity_id "
+    "LEFT JOIN (SELECT entity_id, sum(abs(amount)) AS v, count(*) AS n FROM ev WHERE event_type = 'transaction' GROUP BY 1) t ON t.entity_id = s.entity_id WHERE s.risk_tier IN ('CRITICAL','HIGH')"
+)
+def str_package(spark, sf):
+    d = reports.filing_package(cw.events(spark, sf), cw.scored(spark, sf), cw.firings(spark, sf))
+    return d.select(
+        "entity_id", "risk_tier", F.coalesce(F.array_join("grounds.rule_id", ","), F.lit("")).alias("rules"),
+        F.round("total_value", 2).alias("total_value"), "transactions",
+        F.coalesce(F.size("schedule"), F.lit(0)).cast("bigint").alias("scheduled"),
+    )
+
+
+@query(
+    "SELECT risk_tier, count(*) AS bundles, sum(n_rules)::BIGINT AS findings FROM sco WHERE risk_tier IN ('CRITICAL','HIGH') GROUP BY 1"
+)
+def forensic_bundles(spark, sf):
+    """Bundles written a folder per tier and read back."""
+    import uuid
+
+    ids = cw.members(spark, sf)
+    d = reports.dossiers(
+        cw.scored(spark, sf), ids.select("entity_id").distinct(), cw.edges(spark, sf), cw.events(spark, sf), cw.firings(spark, sf), cw.evidence(spark, sf)
+    )
+    path = f"{work_dir(spark)}/bundles-{uuid.uuid4().hex}"
+    reports.write_bundles(d, path)
+    back = spark.read.schema("entity_id string, findings array<struct<rule_id:string>>, risk_tier string").json(path)
+    return back.groupBy("risk_tier").agg(F.count(F.lit(1)).alias("bundles"), F.sum(F.size("findings")).cast("bigint").alias("findings"))
+
+
+@query(
+    "SELECT f.entity_id, f.rule_id, f.severity, e.n AS raw_rows, s.risk_tier FROM fir f JOIN sco s ON s.entity_id = f.entity_id JOIN (SELECT entity_id, count(*) AS n FROM ev GROUP BY 1) e ON e.entity_id = f.entity_id"
+)
+def entity_trace(spark, sf):
+    """Trace bundles: header, findings with evidence, raw rows; counted per finding here."""
+    ids = cw.members(spark, sf).select("entity_id").distinct()
+    head, found, raw = reports.trace_bundle(cw.scored(spark, sf), ids, cw.firings(spark, sf), cw.evidence(spark, sf), cw.events(spark, sf))
+    rows = raw.groupBy("entity_id").agg(F.count(F.lit(1)).alias("raw_rows"))
+    per = found.groupBy("entity_id", "rule_id", "severity").agg(F.count("token").alias("tokens")).where("tokens > 0")
+    return per.join(rows, "entity_id").join(head.select("entity_id", "risk_tier"), "entity_id").drop("tokens")
+
+
 @query(
     "SELECT x.entity_id, x.raw_row_ref, x.token, e.event_type, e.raw_row_ref IS NOT NULL AS in_entity_rows FROM (SELECT entity_id, unnest([raw_row_ref, call_ref, session_ref]) AS raw_row_ref, unnest(['bank_row_' || raw_row_ref, 'cdr_row_' || call_ref, 'ipdr_row_' || session_ref]) AS token FROM enr WHERE has_call AND has_session) x "
     "LEFT JOIN ev e ON e.entity_id = x.entity_id AND e.raw_row_ref = x.raw_row_ref"
@@ -1019,7 +1062,7 @@ def trace_roundtrip(spark, sf):
     """The decision trace written as JSON lines and read back for the critical entities."""
     import uuid
 
-    path = f"{shared_dir(spark)}/evifuse/trace-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/trace-{uuid.uuid4().hex}"
     audit.write_trace(cw.firings(spark, sf), cw.evidence(spark, sf), path)
     worst = cw.scored(spark, sf).where("risk_tier = 'CRITICAL'").select("entity_id")
     return audit.read_trace(spark, path).join(worst, "entity_id", "left_semi").select("entity_id", "rule_id", "severity")

@@ -98,6 +98,21 @@ def test_type_column_and_signed_amounts(spark):
     assert {r["reject_reason"] for r in none.collect()} == {"no_date_column"}
 
 
+def test_rows_taken_from_a_document(spark):
+    head = ["S.No", "Account No", "Date", "Description", "Amount", "Type (DR/CR)", "Bal."]
+    rows = [
+        ["1", "77", "01/06/25 10:00:00", "UPI/500000/a@b", "500.00", "CR", "1"], head, ["2", "77", "01/06/25 10:00:00", "x", "", "DR", "1"],
+        ["only", "three", "cells"], ["3", "77", "01/06/25 11:00:00", "x", "9", "DR", "1"],
+    ]
+    d = spark.createDataFrame([(r, "icici.txt", n) for n, r in enumerate(rows)], "cells array<string>, source_file string, raw_row_ref bigint")
+    got = statements.normalise_extracted(d, head)
+    assert {r["raw_row_ref"]: (r["amount"], r["reject_reason"]) for r in got.collect()} == {
+        0: (500.0, None), 2: (0.0, "missing_or_zero_amount"), 3: (None, "column_count_mismatch"), 4: (-9.0, None),
+    }
+    acc = statements.row_accounting(got).first()
+    assert (acc["total_rows"], acc["parsed_rows"], acc["skipped_rows"], acc["column_count_mismatch"]) == (4, 2, 2, 1)
+
+
 def test_kyc_flat_and_structured(spark, folder, tmp_path):
     got = reference.read_kyc(spark, reference.find_kyc_file(spark, folder))
     assert got.where("entry = 'A1'").count() == 4 and got.where("name = 'Ravi'").count() == 2
