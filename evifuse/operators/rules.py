@@ -257,6 +257,11 @@ def idr_limbs(
         .when(F.col("severity") == "MEDIUM", "SIM/Device Change Near Financial Transfer")
         .otherwise("Routine Device Upgrade / SIM Replacement (No Financial Activity)")
     )
+    level = (
+        F.when(F.col("severity") == "HIGH", "HIGH Signal (Both SIM + Device Changed)")
+        .when(F.col("severity") == "MEDIUM", "MEDIUM Signal (Identifier Changed Near Financial Transaction)")
+        .otherwise("LOW Signal (Benign / Informational Identifier Change)")
+    )
     limb4 = swap.select(
         "entity_id", F.lit(4).alias("limb"),
         F.when(F.col("severity") == "HIGH", 2).when(F.col("severity") == "MEDIUM", 1).otherwise(0).alias("grade"),
@@ -275,7 +280,8 @@ def idr_limbs(
             row_token("row_", F.col("prev_row_ref")),
             row_token("row_", F.col("raw_row_ref")),
             F.concat(F.lit("phone:"), "number"),
-            F.concat(F.lit("swap_severity:"), "severity"),
+            F.concat(F.lit("severity:"), "severity"),
+            F.concat(F.lit("sub_level:"), level),
             F.concat(F.lit("time_gap:"), gap),
             F.concat(F.lit("nearby_txn:"), F.when(F.col("nearby_txn"), "yes").otherwise("no")),
             F.when(dev, F.concat(F.lit("old_imei:"), "old_imei")),
