@@ -288,8 +288,8 @@ def focus_bands(bands: DataFrame) -> DataFrame:
     )
 
 
-def what_if(events: DataFrame, entity_id: str, window_minutes: float) -> DataFrame:
-    """The join of one entity redone at another window, clamped to 1 minute .. 1 day."""
+def what_if(events: DataFrame, entity_id: str | None, window_minutes: float) -> DataFrame:
+    """The join of one entity (or of all) redone at another window, clamped to 1 minute .. 1 day."""
     w = min(max(window_minutes, 1), 1440)
-    mine = events.where(F.col("entity_id") == entity_id)
+    mine = events if entity_id is None else events.where(F.col("entity_id") == entity_id)
     return enrich_transactions(mine, w).withColumn("is_preview", F.lit(True))

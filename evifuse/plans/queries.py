@@ -271,17 +271,17 @@ def focus_band(spark, sf):
 
 
 @query(
-    "SELECT t.raw_row_ref, t.us, count(c.raw_row_ref) > 0 AS has_call_correlation FROM (SELECT * FROM ev WHERE event_type = 'transaction' AND entity_id = 'U3') t "
+    "SELECT t.raw_row_ref, t.us, count(c.raw_row_ref) > 0 AS has_call_correlation FROM (SELECT * FROM ev WHERE event_type = 'transaction') t "
     f"LEFT JOIN (SELECT * FROM ev WHERE event_type IN ('call','sms')) c ON c.entity_id = t.entity_id AND c.us BETWEEN t.us - {1440 * MINUTE} AND t.us + {1440 * MINUTE} GROUP BY 1, 2"
 )
 def whatif_window(spark, sf):
-    """One entity at a day's window; asking for more is clamped to a day."""
-    return temporal.what_if(cw.events(spark, sf), "U3", 99_999).select("raw_row_ref", "us", "has_call_correlation")
+    """All entities at a day's window; asking for more is clamped to a day."""
+    return temporal.what_if(cw.events(spark, sf), None, 99_999).select("raw_row_ref", "us", "has_call_correlation")
 
 
-@query("SELECT entity_id, raw_row_ref, us, event_type FROM ev WHERE entity_id = 'U5'")
-def entity_timeline(spark, sf):
-    return temporal.unified_timeline(cw.events(spark, sf), "U5").select("entity_id", "raw_row_ref", "us", "event_type")
+@query("SELECT entity_id, raw_row_ref, us, event_type FROM ev")
+def unified_timeline(spark, sf):
+    return temporal.unified_timeline(cw.events(spark, sf)).select("entity_id", "raw_row_ref", "us", "event_type")
 
 
 # --------------------------------------------------------------------------- rules
@@ -544,10 +544,10 @@ def entity_validate(spark, sf):
     return _validated(spark, sf)
 
 
-@query("SELECT e.raw_row_ref, coalesce(v.entity_id, 'UNRESOLVED_' || e.entity_ref) AS entity_id FROM (SELECT * FROM ev) e LEFT JOIN (SELECT * FROM val WHERE id_type <> 'account' OR identifier NOT LIKE '%\\_2' ESCAPE '\\') v ON v.identifier = e.entity_ref")
+@query("SELECT e.raw_row_ref, coalesce(v.entity_id, 'UNRESOLVED_' || e.entity_ref) AS entity_id FROM (SELECT * FROM ev) e LEFT JOIN (SELECT * FROM val WHERE id_type = 'phone') v ON v.identifier = e.entity_ref")
 def apply_mapping(spark, sf):
-    """Accounts ending in _2 are kept out of the map, so some references stay unresolved."""
-    known = _validated(spark, sf).where(~((F.col("id_type") == "account") & F.col("identifier").endswith("_2")))
+    """Through the phone index, so account references stay unresolved."""
+    known = resolution.identifier_index(_validated(spark, sf), ("phone",))
     return resolution.apply_mapping(cw.events(spark, sf), known).select("raw_row_ref", "entity_id")
 
 
@@ -1048,13 +1048,13 @@ def tamper_check(spark, sf):
     "SELECT storage_path, max(doc_id) AS created_at, CASE WHEN max(doc_id) % 2 = 0 THEN 'evidence' ELSE 'str_report' END AS kind, arg_max(sha256(text), doc_id) AS sha256 FROM (SELECT *, lang || '/' || source AS storage_path FROM documents WHERE doc_id % 5 > 0) GROUP BY 1"
 )
 def artifact_upsert(spark, sf):
-    """Documents written over each other on one path per language and source; every fifth has an unknown kind."""
+    """Documents written over each other on one path per language and source, twice; every fifth has an unknown kind."""
     d = cw.table(spark, sf, "documents").select(
         F.concat_ws("/", "lang", "source").alias("storage_path"), F.col("doc_id").alias("created_at"),
         F.expr("case when doc_id % 5 = 0 then 'photo' when doc_id % 2 = 0 then 'evidence' else 'str_report' end").alias("kind"), F.sha2("text", 256).alias("sha256"),
     )
-    old = d.where("created_at % 4 = 1 and kind <> 'photo'")
-    return audit.upsert_artifacts(old, d)
+    old = audit.upsert_artifacts(d.limit(0), d.withColumn("created_at", -F.col("created_at") - 1))
+    return audit.upsert_artifacts(old.select(*d.columns), d)
 
 
 @query("SELECT entity_id, rule_id, severity FROM fir WHERE entity_id IN (SELECT entity_id FROM sco WHERE risk_tier = 'CRITICAL')")

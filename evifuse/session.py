@@ -9,7 +9,15 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "evifuse", master: str | None = None, **conf) -> SparkSession:
+def build_session(
+    app: str = "evifuse", master: str | None = None, partitions: int | None = None, **conf
+) -> SparkSession:
+    """Session with the settings the operators count on.
+
+    ``partitions`` is the number of shuffle partitions to start with. Adaptive execution
+    merges small ones but cannot divide even ones, so a large run should start with
+    about its largest shuffle divided by 128 MB.
+    """
     b = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -19,6 +27,8 @@ def build_session(app: str = "evifuse", master: str | None = None, **conf) -> Sp
     )
     if master:
         b = b.master(master)
+    if partitions:
+        b = b.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", partitions)
     for k, v in conf.items():
         b = b.config(k, v)
     return b.getOrCreate()
