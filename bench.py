@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from evifuse.operators import graph, resolution, rules, scoring, temporal  # noqa: E402
 from evifuse.plans import casework as cw  # noqa: E402
 from evifuse.plans.queries import QUERIES  # noqa: E402
-from evifuse.session import build_session, cut, cut_all  # noqa: E402
+from evifuse.session import at_once, build_session, cut, cut_all  # noqa: E402
 from evifuse.sources.reference import place_events  # noqa: E402
 
 SINGLE = (
@@ -34,8 +34,8 @@ def stages(spark, sf: str, took: dict[str, float]) -> None:
         return out
 
     def ingest():
-        for q in ("bank_normalise", "cdr_normalise", "ipdr_normalise"):
-            run(QUERIES[q](spark, sf))
+        kinds = ("bank_normalise", "cdr_normalise", "ipdr_normalise")
+        at_once(*[lambda q=q: run(QUERIES[q](spark, sf)) for q in kinds])
         return [cut(cw.events(spark, sf), by="event_type"), *cut_all(cw.members(spark, sf), cw.id_map(spark, sf))]
 
     e, ids, owners = timed("ingestion", ingest)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evifuse.functions.fields import digits, identifier_type, present
 from evifuse.operators.keyed import HOT_ROWS, top_per_key
-from evifuse.session import cut
+from evifuse.session import at_once, cut
 
 # Order in which the kinds of identifier are listed.
 ID_TYPES = ("phone", "account", "vpa", "imei", "ip")
@@ -112,7 +112,7 @@ def ownership_edges(kyc: DataFrame) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components: (identifier, component), named by the smallest member.
 
-    Alternates two steps until nothing changes. Large step: a node links its larger
+    Alternates two steps until only stars are left. Large step: a node links its larger
     neighbours to its smallest neighbour. Small step: it links its smaller ones. The
     minima combine map-side. Once an edge set is big enough for a hub to matter, they
     are written before they are joined back: the join then reads plain tables, and
@@ -121,12 +121,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v")
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
 
-    def state(d: DataFrame):
-        return d.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+    def settled(d: DataFrame) -> bool:
+        """True when the edges are separate stars: nobody has two centres, no centre has one."""
+        ends = F.array(
+            F.struct(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("centre")),
+            F.struct(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("centre")),
+        )
+        roles = d.select(F.explode(ends).alias("x")).groupBy("x.node")
+        roles = roles.agg(F.sum("x.out").alias("out"), F.max("x.centre").alias("centre"))
+        return roles.where("out > 1 or (out > 0 and centre > 0)").isEmpty()
 
-    seen = state(e)
     for _ in range(max_rounds):
-        keep = cut if seen["n"] > HOT_ROWS else (lambda d: d)
+        if settled(e):
+            break
+        keep = cut if e.count() > HOT_ROWS else (lambda d: d)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = keep(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -136,11 +144,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")
         )
         e = cut(small.where("u <> v").distinct(), "cc")
-        # Settled once the edge set repeats, by count and an order-free digest.
-        now = state(e)
-        if now == seen:
-            break
-        seen = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     tops = e.select(F.col("v").alias("identifier")).distinct().withColumn("component", F.col("identifier"))
@@ -154,7 +157,7 @@ def entity_name_of(component):
 
 def assign_entities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Every node with the entity of its component: (entity_id, identifier, id_type)."""
-    comp = components(edges)
+    nodes, comp = at_once(lambda: cut(nodes, "nodes"), lambda: components(edges))
     return nodes.join(comp, "identifier", "left").select(
         entity_name_of(F.coalesce("component", "identifier")).alias("entity_id"), "identifier", "id_type"
     )
