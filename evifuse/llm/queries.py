@@ -1,10 +1,13 @@
 """The operators of this subpackage on their whole tables, with production parameters."""
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from evifuse.llm import chat, quality_rules, url_filters
 from evifuse.llm.common import table, tokenizer_path
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_url_filters": url_filters.ORACLE, "op5_chat_perspectives": chat.ORACLE}
 
 
 def query(fn):
@@ -12,6 +15,32 @@ def query(fn):
     return fn
 
 
+@query
+def op3_quality_rules(spark, sf):
+    good = table(spark, sf, "labels").where("quality = 1").select("doc_id")
+    return quality_rules.quality_rules(table(spark, sf, "documents"), good).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def page_outcomes(spark, sf):
+    """Labels as outcomes of the pages with the same number: bad if low in quality or toxic."""
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.coalesce("quality", "toxic").isNotNull(), 0)
+    return table(spark, sf, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+
+
+@query
+def op4_url_filters(spark, sf):
+    return url_filters.filter_urls(table(spark, sf, "pages"), page_outcomes(spark, sf)).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op5_chat_perspectives(spark, sf):
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["length"])), ",")
+    out = chat.rotate_perspectives(table(spark, sf, "conversations"))
+    return out.select("conv_id", "speaker", "part", "n_turns", "n_chars", "text", F.when(spans != "", spans).alias("spans"))
+
+
 @query
 def op8_best_fit_packing(spark, sf):
     from evifuse.llm.packing import pack_documents
