@@ -3,11 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evifuse.llm import chat, quality_rules, url_filters
+from evifuse.llm import chat, line_dedup, quality_rules, url_filters
 from evifuse.llm.common import table, tokenizer_path
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {"op4_url_filters": url_filters.ORACLE, "op5_chat_perspectives": chat.ORACLE}
+ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op4_url_filters": url_filters.ORACLE, "op5_chat_perspectives": chat.ORACLE}
 
 
 def query(fn):
@@ -15,6 +15,11 @@ def query(fn):
     return fn
 
 
+@query
+def op2_line_dedup(spark, sf):
+    return line_dedup.dedup_lines(table(spark, sf, "documents")).select("doc_id", "text", "n_removed")
+
+
 @query
 def op3_quality_rules(spark, sf):
     good = table(spark, sf, "labels").where("quality = 1").select("doc_id")
