@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evifuse.llm import chat, line_dedup, ngram_join, quality_rules, url_filters
+from evifuse.llm import chat, decontaminate, line_dedup, ngram_join, quality_rules, url_filters
 from evifuse.llm.common import table, tokenizer_path
 
 QUERIES: dict = {}
@@ -46,6 +46,11 @@ def op5_chat_perspectives(spark, sf):
     return out.select("conv_id", "speaker", "part", "n_turns", "n_chars", "text", F.when(spans != "", spans).alias("spans"))
 
 
+@query
+def op6_benchmark_decontamination(spark, sf):
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query
 def op7_ngram_jaccard_join(spark, sf):
     return ngram_join.near_duplicates(table(spark, sf, "documents"))
