@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evifuse.llm import chat, decontaminate, line_dedup, ngram_join, quality_rules, url_filters
+from evifuse.llm import chat, decontaminate, line_dedup, ngram_join, quality_model, quality_rules, token_matrix, url_filters
 from evifuse.llm.common import table, tokenizer_path
 
 QUERIES: dict = {}
@@ -15,6 +15,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_quality_classifier(spark, sf):
+    labels = table(spark, sf, "labels").select("doc_id", "quality")
+    return quality_model.score_quality(table(spark, sf, "documents"), labels)
+
+
 @query
 def op2_line_dedup(spark, sf):
     return line_dedup.dedup_lines(table(spark, sf, "documents")).select("doc_id", "text", "n_removed")
@@ -63,6 +69,18 @@ def op8_best_fit_packing(spark, sf):
     return pack_documents(table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+@query
+def op9_token_matrix(spark, sf):
+    """Each packed sequence with its segments; the two matrices as checksums of their rows."""
+    import public_tokenizers
+
+    packed = token_matrix.pack_matrix(table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packed.select(
+        "sequence_id", "n_tokens", "n_segments", "cu_seqlens", "doc_ids", "pieces", "starts",
+        F.crc32("ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"),
+    )
+
+
 @query
 def op10_token_counts(spark, sf):
     from evifuse.llm.tokens import token_counts
