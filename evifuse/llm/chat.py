@@ -42,7 +42,7 @@ def rotate_perspectives(
     parts = t.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("_turns"))
     # Written first, so that both sides of the join are plain tables and a hot dialogue can be split.
     parts, speakers = cut(parts, "chat-parts"), cut(speakers, "chat-speakers")
-    each = parts.join(speakers, parts["conv_id"].eqNullSafe(speakers["_conv"]))
+    each = parts.join(speakers.hint("merge"), parts["conv_id"].eqNullSafe(speakers["_conv"]))
 
     def head(x: Column) -> Column:
         name = F.coalesce(F.translate(plain(x["role"]), "\n\r", "  "), F.lit("unknown"))

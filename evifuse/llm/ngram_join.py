@@ -2,7 +2,8 @@
 
 Texts with equal shingle sets are one node. Nodes that share a band are candidates; what is
 connected by candidates is verified together, every pair in numpy, so no pair is ever emitted. A large
-candidate group is cut into blocks and each pair of blocks is a task of its own.
+candidate group is cut into blocks and each pair of blocks is a task of its own. Every side of a join
+grows with the input, so none may be broadcast.
 """
 from __future__ import annotations
 
@@ -186,22 +187,22 @@ def near_duplicate_nodes(
     bandrows = sigs.where("n > 0").select("k1", F.explode("bands").alias("h"))
     # Buckets with two nodes at least, as a star around the smallest; minima combine map-side.
     buckets = cut(bandrows.groupBy("h").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("h", "lo"), "buckets")
-    stars = bandrows.join(buckets, "h").where("k1 <> lo").select(F.col("k1").alias("src"), F.col("lo").alias("dst")).distinct()
+    stars = bandrows.join(buckets.hint("merge"), "h").where("k1 <> lo").select(F.col("k1").alias("src"), F.col("lo").alias("dst")).distinct()
     groups = components(stars)
     nodes = cut(
         plain.where("n > 0").groupBy("k1", "k2")
         .agg(F.min(F.struct("_id", "_a", "_b")).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n").cast("bigint").alias("n")),
         "nodes",
     )
-    members = cut(nodes.join(groups.withColumnRenamed("identifier", "k1"), "k1"), "members")
+    members = cut(nodes.join(groups.withColumnRenamed("identifier", "k1").hint("merge"), "k1"), "members")
     need = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES))
     blocks = cut(members.groupBy("component").agg(need.alias("blocks")), "blocks")
-    members = members.join(blocks, "component").select(
+    members = members.join(blocks.hint("merge"), "component").select(
         "component", "blocks", F.pmod(F.xxhash64("k1", "k2"), "blocks").alias("block"), "k1", "k2", "copies",
         F.col("first._a").alias("_a"), F.col("first._b").alias("_b"),
     )
     members = cut(members, "members")
-    texts = keyed.drop("_id").join(members, ["_a", "_b"]).dropDuplicates(["_a", "_b"])
+    texts = keyed.drop("_id").join(members.hint("merge"), ["_a", "_b"]).dropDuplicates(["_a", "_b"])
     every = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     every = every.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "blocks", "k1", "k2", "copies", "_text")
     found = cut(
@@ -212,11 +213,11 @@ def near_duplicate_nodes(
     whole = cut(whole, "links")
     joined = components(found.where("k1 <> root").select(F.col("k1").alias("src"), F.col("root").alias("dst")))
     joined = cut(joined.select(F.col("identifier").alias("k1"), F.col("component").alias("root")), "classes")
-    classed = cut(nodes.join(whole.select("k1", "k2", "links"), ["k1", "k2"], "left").join(joined, "k1", "left").select(
+    classed = cut(nodes.join(whole.select("k1", "k2", "links").hint("merge"), ["k1", "k2"], "left").join(joined.hint("merge"), "k1", "left").select(
         "k1", "k2", "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "root"
     ), "classed")
     firsts = cut(classed.where("root is not null").groupBy("root").agg(F.min("first").alias("class_first")), "firsts")
-    out = classed.join(firsts, "root", "left").select("k1", "k2", F.coalesce("class_first", "first").alias("first"), "n_links")
+    out = classed.join(firsts.hint("merge"), "root", "left").select("k1", "k2", F.coalesce("class_first", "first").alias("first"), "n_links")
     return plain, cut(out, "near-nodes")
 
 
@@ -234,7 +235,7 @@ def near_duplicates(
     other, null ids are the smallest, other columns are ignored, an empty table gives no rows.
     """
     rows, nodes = near_duplicate_nodes(docs, threshold, size, recall, id_col, text_col)
-    return rows.join(nodes, ["k1", "k2"], "left").select(
+    return rows.join(nodes.hint("merge"), ["k1", "k2"], "left").select(
         F.col("_id").alias(id_col),
         F.when(F.col("first").isNull(), F.col("_id")).otherwise(F.col("first._id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
@@ -253,4 +254,4 @@ def drop_near_duplicates(
     a, b = fresh(docs, "_a", "_b")
     keep = cut(first.unionByName(rows.where("n = 0").select("_a", "_b").distinct()), "kept").select(F.col("_a").alias(a), F.col("_b").alias(b))
     ka, kb = row_keys(F.col(id_col), F.col(text_col))
-    return docs.withColumn(a, ka).withColumn(b, kb).join(keep, [a, b]).dropDuplicates([a, b]).select(*docs.columns)
+    return docs.withColumn(a, ka).withColumn(b, kb).join(keep.hint("merge"), [a, b]).dropDuplicates([a, b]).select(*docs.columns)

@@ -75,7 +75,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> Data
     """
     spark = pages.sparkSession
     hosts = cut(
-        pages.join(outcomes, "page_id", "left").groupBy("host")
+        pages.join(outcomes.hint("merge"), "page_id", "left").groupBy("host")
         .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("bigint").alias("k"))
         .select("host", host_domain(F.col("host")).alias("domain"), host_suffix(F.col("host")).alias("suffix"), "n", "k"),
         "hosts",
@@ -116,7 +116,7 @@ def filter_urls(
     o = o.groupBy("page_id").agg(F.max("bad").alias("bad"))
     rep = host_reputation(p.select("page_id", "host"), o, z).select("host", "bad_bound")
     rule, action = matched_rule(F.col("host"), F.col("path"), rules)
-    out = p.join(rep, "host", "left")
+    out = p.join(rep.hint("merge"), "host", "left")
     verdict = F.coalesce(action, F.when(F.col("bad_bound") > max_bad, "block").otherwise("allow"))
     return out.select(F.col("page_id").alias(id_col), "host", "path", rule.alias("rule"), verdict.alias("verdict"), "bad_bound")
 
