@@ -58,8 +58,12 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str, str]] =
     return text, action
 
 
+def share(k: Column, n: Column) -> Column:
+    return F.coalesce(k / F.when(n > 0, n), F.lit(0.0))
+
+
 def strength(children: DataFrame) -> Column:
-    """Prior strength of a level by moments, as a scalar: ``children`` has n, k and the parent's mean."""
+    """Prior strength of a level by moments, as a scalar: ``children`` has n, k and the prior ``mean``."""
     v = F.col("mean") * (1 - F.col("mean"))
     pairs = F.sum(F.col("n") * (F.col("n") - 1) * v)
     rho = F.sum((F.col("k") - F.col("n") * F.col("mean")) ** 2 - F.col("n") * v) / F.when(pairs > 0, pairs)
@@ -70,29 +74,32 @@ def strength(children: DataFrame) -> Column:
 def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFrame:
     """(host, labelled, bad, bad_mean, bad_bound) for every host of ``pages`` (page_id, host).
 
-    ``outcomes`` holds one row (page_id, bad 0 or 1) per labelled page. Hosts without labels get
-    their domain's prior. Without any label every mean is 0.
+    ``outcomes`` holds one row (page_id, bad 0 or 1) per labelled page. A parent's prior leaves out the child's
+    own labels, so that each label counts once. Hosts without labels get their domain's prior. Without
+    any label every mean is 0.
     """
-    spark = pages.sparkSession
     hosts = cut(
         pages.join(outcomes.hint("merge"), "page_id", "left").groupBy("host")
         .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("bigint").alias("k"))
         .select("host", host_domain(F.col("host")).alias("domain"), host_suffix(F.col("host")).alias("suffix"), "n", "k"),
         "hosts",
     )
-    domains = hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("k").alias("k"))
-    domains = cut(domains, "domains")
-    total = hosts.agg(F.coalesce(F.sum("k") / F.when(F.sum("n") > 0, F.sum("n")), F.lit(0.0)).alias("m")).scalar()
-
-    def shrink(level: DataFrame, name: str) -> DataFrame:
-        s = strength(level)
-        return level.withColumn("s", s).withColumn(name, (F.col("k") + F.col("s") * F.col("mean")) / (F.col("n") + F.col("s")))
-
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("mean", total)
-    suffixes = cut(shrink(suffixes, "m").select("suffix", F.col("m").alias("mean")), "suffixes")
-    domains = shrink(domains.join(suffixes, "suffix"), "m").select("domain", F.col("m").alias("mean"))
-    domains = cut(domains, "domains")
-    h = shrink(hosts.join(domains, "domain"), "bad_mean")
+    sums = F.sum("n").alias("n"), F.sum("k").alias("k")
+    domains = cut(hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), *sums), "domains")
+    suffixes = cut(domains.groupBy("suffix").agg(*sums).select("suffix", F.col("n").alias("sn"), F.col("k").alias("sk")), "suffixes")
+    total = suffixes.agg(F.coalesce(F.sum("sn"), F.lit(0)).alias("n"), F.coalesce(F.sum("sk"), F.lit(0)).alias("k"))
+    all_n, all_k = total.select("n").scalar(), total.select("k").scalar()
+    s = suffixes.select("*", all_n.alias("an"), all_k.alias("ak"))
+    outer = F.when(F.col("an") > F.col("sn"), share(F.col("ak") - F.col("sk"), F.col("an") - F.col("sn"))).otherwise(share(F.col("ak"), F.col("an")))
+    s = s.select("suffix", "sn", "sk", F.col("sn").alias("n"), F.col("sk").alias("k"), outer.alias("mean"))
+    s = cut(s.select("suffix", "sn", "sk", "mean", strength(s).alias("s1")), "suffixes")
+    of_suffix = (F.col("sk") - F.col("k") + F.col("s1") * F.col("mean")) / (F.col("sn") - F.col("n") + F.col("s1"))
+    d = domains.join(s, "suffix").select("domain", "n", "k", of_suffix.alias("mean"))
+    d = cut(d.select("domain", F.col("n").alias("dn"), F.col("k").alias("dk"), F.col("mean").alias("prior"), strength(d).alias("s2")), "domains")
+    of_domain = (F.col("dk") - F.col("k") + F.col("s2") * F.col("prior")) / (F.col("dn") - F.col("n") + F.col("s2"))
+    h = hosts.join(d, "domain").select("host", "n", "k", of_domain.alias("mean"))
+    h = h.select("host", "n", "k", F.col("mean").alias("m"), strength(h).alias("s"))
+    h = h.withColumn("bad_mean", (F.col("k") + F.col("s") * F.col("m")) / (F.col("n") + F.col("s")))
     spread = F.sqrt(F.col("bad_mean") * (1 - F.col("bad_mean")) / (F.col("n") + F.col("s") + 1))
     h = h.select("host", F.col("n").alias("labelled"), F.col("k").alias("bad"), "bad_mean", (F.col("bad_mean") - z * spread).alias("bad_bound"))
     return cut(h, "reputation")
@@ -128,17 +135,17 @@ o AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 EL
 h AS (SELECT host, list_reverse(string_split(host, '.')) AS parts, count(bad) AS n, coalesce(sum(bad), 0) AS k FROM p LEFT JOIN o USING (page_id) GROUP BY 1, 2),
 hs AS (SELECT host, n, k, CASE WHEN len(parts) > 1 AND parts[2] || '.' || parts[1] IN ('co.uk','org.uk','ac.uk','com.au','net.au','co.jp','co.nz','com.br','co.in','co.za') THEN 2 ELSE 1 END AS s, parts FROM h),
 hd AS (SELECT host, n, k, array_to_string(list_reverse(parts[1:s]), '.') AS suffix, array_to_string(list_reverse(parts[1:s + 1]), '.') AS domain FROM hs),
-g AS (SELECT coalesce(sum(k) / nullif(sum(n), 0), 0) AS m FROM hd),
-s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(g.m) AS mean FROM hd, g GROUP BY 1),
-ss AS (SELECT sum((k - n * mean) * (k - n * mean) - n * mean * (1 - mean)) / nullif(sum(n * (n - 1) * mean * (1 - mean)), 0) AS rho FROM s0),
-sm AS (SELECT suffix, (k + x * mean) / (n + x) AS m FROM s0, (SELECT CASE WHEN rho IS NULL THEN 1 WHEN rho <= 0 THEN 1000 ELSE greatest(1, least(1000, 1 / rho - 1)) END AS x FROM ss)),
-d0 AS (SELECT domain, sum(n) AS n, sum(k) AS k, any_value(m) AS mean FROM hd JOIN sm USING (suffix) GROUP BY 1),
-ds AS (SELECT sum((k - n * mean) * (k - n * mean) - n * mean * (1 - mean)) / nullif(sum(n * (n - 1) * mean * (1 - mean)), 0) AS rho FROM d0),
-dm AS (SELECT domain, (k + x * mean) / (n + x) AS m FROM d0, (SELECT CASE WHEN rho IS NULL THEN 1 WHEN rho <= 0 THEN 1000 ELSE greatest(1, least(1000, 1 / rho - 1)) END AS x FROM ds)),
-h0 AS (SELECT host, n, k, m AS mean FROM hd JOIN dm USING (domain)),
-hx AS (SELECT sum((k - n * mean) * (k - n * mean) - n * mean * (1 - mean)) / nullif(sum(n * (n - 1) * mean * (1 - mean)), 0) AS rho FROM h0),
-hm AS (SELECT host, n, x, (k + x * mean) / (n + x) AS m FROM h0, (SELECT CASE WHEN rho IS NULL THEN 1 WHEN rho <= 0 THEN 1000 ELSE greatest(1, least(1000, 1 / rho - 1)) END AS x FROM hx)),
-r AS (SELECT host, m - 1.645 * sqrt(m * (1 - m) / (n + x + 1)) AS bound FROM hm),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hd GROUP BY 1, 2),
+s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY 1),
+g AS (SELECT coalesce(sum(n), 0) AS an, coalesce(sum(k), 0) AS ak FROM s),
+sj AS (SELECT suffix, n, k, CASE WHEN an > n THEN coalesce((ak - k) / nullif(an - n, 0), 0) ELSE coalesce(ak / nullif(an, 0), 0) END AS mean FROM s, g),
+s1 AS (SELECT CASE WHEN rho IS NULL THEN 1 WHEN rho <= 0 THEN 1000 ELSE greatest(1, least(1000, 1 / rho - 1)) END AS s1 FROM (SELECT sum((k - n * mean) * (k - n * mean) - n * mean * (1 - mean)) / nullif(sum(n * (n - 1) * mean * (1 - mean)), 0) AS rho FROM sj)),
+dj AS (SELECT domain, d.n, d.k, (sj.k - d.k + s1 * mean) / (sj.n - d.n + s1) AS mean FROM d JOIN sj USING (suffix), s1),
+s2 AS (SELECT CASE WHEN rho IS NULL THEN 1 WHEN rho <= 0 THEN 1000 ELSE greatest(1, least(1000, 1 / rho - 1)) END AS s2 FROM (SELECT sum((k - n * mean) * (k - n * mean) - n * mean * (1 - mean)) / nullif(sum(n * (n - 1) * mean * (1 - mean)), 0) AS rho FROM dj)),
+hj AS (SELECT host, hd.n, hd.k, (dj.k - hd.k + s2 * mean) / (dj.n - hd.n + s2) AS mean FROM hd JOIN dj USING (domain), s2),
+s3 AS (SELECT CASE WHEN rho IS NULL THEN 1 WHEN rho <= 0 THEN 1000 ELSE greatest(1, least(1000, 1 / rho - 1)) END AS s3 FROM (SELECT sum((k - n * mean) * (k - n * mean) - n * mean * (1 - mean)) / nullif(sum(n * (n - 1) * mean * (1 - mean)), 0) AS rho FROM hj)),
+hm AS (SELECT host, n, s3, (k + s3 * mean) / (n + s3) AS m FROM hj, s3),
+r AS (SELECT host, m - 1.645 * sqrt(m * (1 - m) / (n + s3 + 1)) AS bound FROM hm),
 j AS (SELECT page_id, p.host, path, bound, CASE
   WHEN (p.host = 'www.example.com' OR p.host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
   WHEN (p.host = 'example.com' OR p.host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
