@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from evifuse.functions.fields import digits, identifier_type, present
-from evifuse.operators.keyed import HOT_ROWS, top_per_key
+from evifuse.operators.keyed import top_per_key
 from evifuse.session import at_once, cut
 
 # Order in which the kinds of identifier are listed.
@@ -109,43 +109,37 @@ def ownership_edges(kyc: DataFrame) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components: (identifier, component), named by the smallest member.
 
-    Alternates two steps until only stars are left. Large step: a node links its larger
-    neighbours to its smallest neighbour. Small step: it links its smaller ones. The
-    minima combine map-side. Once an edge set is big enough for a hub to matter, they
-    are written before they are joined back: the join then reads plain tables, and
-    adaptive execution can split a hub's edges over many tasks.
+    Alternates two steps until neither changes an edge; then only stars are left. Large step: a node
+    links its larger neighbours to its smallest neighbour. Small step: it links its smaller
+    ones. The minima combine map-side and are written before they are joined back: the join then
+    reads plain tables, and adaptive execution can split a hub's edges over many tasks. Changes are counted
+    by the jobs that write the steps.
     """
     e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v")
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
 
-    def settled(d: DataFrame) -> bool:
-        """True when the edges are separate stars: nobody has two centres, no centre has one."""
-        ends = F.array(
-            F.struct(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("centre")),
-            F.struct(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("centre")),
-        )
-        roles = d.select(F.explode(ends).alias("x")).groupBy("x.node")
-        roles = roles.agg(F.sum("x.out").alias("out"), F.max("x.centre").alias("centre"))
-        return roles.where("out > 1 or (out > 0 and centre > 0)").isEmpty()
-
-    for _ in range(max_rounds):
-        if settled(e):
-            break
-        keep = cut if e.count() > HOT_ROWS else (lambda d: d)
+    def step(found: DataFrame, changed: Column) -> tuple[DataFrame, int]:
+        seen = Observation()
+        moved = found.observe(seen, F.sum(changed.cast("bigint")).alias("n")).where("u <> v").select("u", "v")
+        out = cut(moved.distinct(), "cc")
+        return out, seen.get["n"] or 0
+
+    changes = 1
+    while changes:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = keep(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.where("u <> v").distinct(), "cc-large")
-        low = keep(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "cc-low")
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"), F.col("u").alias("w"))
+        large, a = step(large, F.col("v") != F.col("w"))
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
         small = large.join(low, "u").select(
-            F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")
+            F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"),
+            (F.col("v") != F.col("m")).alias("w"),
         )
-        e = cut(small.where("u <> v").distinct(), "cc")
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        e, b = step(small, F.col("w"))
+        changes = a + b
     tops = e.select(F.col("v").alias("identifier")).distinct().withColumn("component", F.col("identifier"))
     return e.select(F.col("u").alias("identifier"), F.col("v").alias("component")).unionByName(tops)
 

@@ -22,8 +22,7 @@ def test_components_path_star_and_rings(spark):
     assert {v for k, v in got.items() if k[0] == "r"} == {"r1"} and "x" not in got
 
 
-def test_components_equal_union_find_with_written_minima(spark, monkeypatch):
-    monkeypatch.setattr(R, "HOT_ROWS", 5)
+def test_components_equal_union_find(spark):
     rnd = random.Random(5)
     pairs = [(f"n{rnd.randrange(80)}", f"n{rnd.randrange(80)}") for _ in range(60)]
     root = {}
