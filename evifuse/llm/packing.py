@@ -7,6 +7,9 @@ rank within its length.
 """
 from __future__ import annotations
 
+import os
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -19,34 +22,71 @@ from pyspark.sql import types as T
 from evifuse.session import cut
 
 CAPACITY = 4096
-# Entries of a worker's cache of word ids; past that it starts anew. Results don't depend on it.
-CACHE_ENTRIES = 300_000
+# Entries of each generation of a worker's cache of word ids. Results don't depend on it.
+CACHE_ENTRIES = 250_000
+# Letters whose lower case Python and the tokenizers might not agree on.
+NOT_PLAIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
 # Rows of one length that one window group may rank, on average.
 RANK_ROWS = 50_000
 
 
 class WordIds(dict):
-    """Token ids of a word as little-endian unsigned 32-bit bytes.
+    """Token ids of words as little-endian unsigned 32-bit bytes, encoded by the library in batches.
 
-    White space ends every pre-token of these tokenizers and is dropped, so the ids of a text
-    are those of its space-separated parts, one after the other.
+    White space ends every pre-token of these tokenizers and is dropped, so the ids of a text are those
+    of its space-separated parts. A full stop or comma after a plain letter is a pre-token of its own. Letters are
+    lower-cased by the tokenizer; where that can't depend on context or on special strings it is done
+    first, so that more words are alike. Two generations keep what is in use within a fixed size.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
         self.tokenizer = Tokenizer.from_file(path)
+        normalizer = self.tokenizer.normalizer
+        self.lowers = normalizer is not None and normalizer.normalize_str("A") == "a"
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids if word else []
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        out = self[word] = b"".join(i.to_bytes(4, "little") for i in ids)
-        return out
+        ids = self[word] = self.old[word]
+        return ids
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in found)]
 
-    def text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    def learn(self, words: set[str]) -> None:
+        if len(self) + len(words) > CACHE_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        old = self.old.get
+        new = []
+        for w in words:
+            if (ids := old(w)) is None:
+                new.append(w)
+            else:
+                self[w] = ids
+        stems = {w: w[:-1] if len(w) > 1 and w[-1] in ".," and w[-2].isalpha() and not NOT_PLAIN.match(w[-2]) else w for w in new}
+        need = [x for x in {*stems.values(), ".", ","} if x not in self]
+        self.update(zip(need, self.encode(need), strict=True))
+        for w, stem in stems.items():
+            if stem is not w:
+                self[w] = self[stem] + self[w[-1]]
+
+    def texts(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text; nulls are empty."""
+        for at in range(0, len(texts), 200):
+            words = []
+            for t in texts[at:at + 200]:
+                t = (t or "").replace("\n", " ")
+                if self.lowers and "<|" not in t and not NOT_PLAIN.search(t):
+                    t = t.lower()
+                words.append(t.split(" "))
+            self.learn(set().union(*words).difference(self))
+            for w in words:
+                yield b"".join(map(self.__getitem__, w))
 
 
 _ids: dict[str, WordIds] = {}
@@ -74,8 +114,8 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str,
         encoder = word_ids(path)
         for b in batches:
             rows: list[tuple] = []
-            for n, t in enumerate(b.column(1)):
-                ids = encoder.text(t.as_py() or "") + end
+            for n, ids in enumerate(encoder.texts(b.column(1).to_pylist())):
+                ids += end
                 rows += [(n, k, at, len(part) // 4, zlib.crc32(part)) for k, at, part in cut_pieces(ids, capacity)]
             if rows:
                 n, *cols = zip(*rows, strict=True)
