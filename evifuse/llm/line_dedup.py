@@ -6,7 +6,8 @@ repeated run of at least ``min_words`` words holds whole windows, so its copies
 whatever surrounds them. Positions whose fingerprint occurs elsewhere are joined; around them
 the match is extended both ways over the windows they lie in, which are compared as a whole.
 A line is deleted if a window that covers it has an earlier copy, which is the case for exactly
-the lines of later runs of that many words.
+the lines of later runs of that many words. Every side of a join grows with the input, so none may
+be broadcast.
 """
 from __future__ import annotations
 
@@ -70,12 +71,12 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int)
     shared = cut(
         windows.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").select("fp"), "fingerprints"
     )
-    joined = windows.join(shared, "fp").select("_id", "_a", "_b", "first", "last", "k1", "k2")
+    joined = windows.join(shared.hint("merge"), "fp").select("_id", "_a", "_b", "first", "last", "k1", "k2")
     order = F.struct("_id", "_a", "_b", "first")
     earliest = cut(
         joined.groupBy("k1", "k2").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).where("lo < hi").select("k1", "k2", "lo"), "runs"
     )
-    later = joined.join(earliest, ["k1", "k2"]).where(order > F.col("lo"))
+    later = joined.join(earliest.hint("merge"), ["k1", "k2"]).where(order > F.col("lo"))
     return (
         later.select("_a", "_b", F.explode(F.sequence("first", "last")).alias("line"))
         .groupBy("_a", "_b").agg(F.collect_set("line").alias("lines"))
@@ -87,7 +88,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
 
     Lines are split at line feeds and compared without white space around them. The copy that
     starts first, by id (null first) and line, stays; a run may repeat within its own document. Lines without a word
-    neither make nor break a run, and go if they lie inside a deleted one. A null text stays null.
+    neither make nor break a run, and go if they lie inside a deleted window. A null text stays null.
     Rows with equal id and text are one document: each gets the same result. Texts with the same id are
     ordered by their hash. Other columns pass through, an existing ``n_removed`` is replaced, and an
     empty table gives no rows.
@@ -96,7 +97,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     a, b, drop = fresh(docs, "_a", "_b", "_lines")
     gone = gone.select(F.col("_a").alias(a), F.col("_b").alias(b), F.col("lines").alias(drop))
     ka, kb = row_keys(F.col(id_col), F.col(text_col))
-    d = docs.withColumn(a, ka).withColumn(b, kb).join(gone, [a, b], "left")
+    d = docs.withColumn(a, ka).withColumn(b, kb).join(gone.hint("merge"), [a, b], "left")
 
     def rest(lines: Column) -> Column:
         stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))
