@@ -94,13 +94,16 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, id_col: str, t
 
     ``trusted`` holds the ids of the target's documents, once each.
     """
-    marked = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(
-        trusted.select(F.col(trusted.columns[0]).alias("_id"), F.lit(1).alias("_good")), "_id", "left"
-    )
-    counts = (
-        marked.select(F.coalesce("_good", F.lit(0)).cast("bigint").alias("g"), F.explode(gram_buckets(F.col("_text"), buckets)).alias("b"))
-        .groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("g").alias("good"))
-    )
+    texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
+    # The corpus is counted where it is read. Only the target needs a join; on large tables Spark filters
+    # the documents by the ids before it shuffles any text.
+    target = texts.join(trusted.select(F.col(trusted.columns[0]).alias("_id")).hint("merge"), "_id")
+
+    def counted(part: DataFrame, name: str, other: str) -> DataFrame:
+        grams = part.select(F.explode(gram_buckets(F.col("_text"), buckets)).alias("b"))
+        return grams.groupBy("b").agg(F.count(F.lit(1)).alias(name)).withColumn(other, F.lit(0).cast("bigint")).select("b", "raw", "good")
+
+    counts = counted(texts, "raw", "good").unionByName(counted(target, "good", "raw"))
     # At most ``buckets`` rows from here on. Buckets that no n-gram fell into are added with zeros.
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("bigint").alias("raw"), F.lit(0).cast("bigint").alias("good"))
     full = every.unionByName(counts).groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
