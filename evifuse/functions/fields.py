@@ -31,6 +31,14 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
+# Layouts of other statements, tried in this order when none above fits; day before month.
+RARE_LAYOUTS = [
+    f"{day}{time}"
+    for day in ("d-MMM-yyyy", "d-MMMM-yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d.M.yyyy", "yyyyMMdd", "d/M/yyyy", "d-M-yyyy", "M/d/yyyy", "M-d-yyyy")
+    for time in ("", " H:mm:ss", " H:mm", " h:mm:ss a", " h:mm a")
+]
+
+
 def present(c: Column) -> Column:
     """Trimmed text, or null when the text only says that a value is missing."""
     t = F.trim(c.cast("string"))
@@ -63,7 +71,8 @@ def moment(c: Column) -> Column:
         return F.when(x.rlike(r"^\d{1,2}-[A-Za-z]{3}-(\d{4}|\d{2})$"), rewritten(y, DAY_FIRST))
 
     def read(x: Column) -> Column:
-        return F.coalesce(rewritten(x, DAY_FIRST), named(x), rewritten(x, MONTH_FIRST), x.try_cast("timestamp"))
+        rare = [F.try_to_timestamp(x, F.lit(layout)) for layout in RARE_LAYOUTS]
+        return F.coalesce(rewritten(x, DAY_FIRST), named(x), rewritten(x, MONTH_FIRST), x.try_cast("timestamp"), *rare)
 
     return F.transform(F.array(present(c)), read)[0].cast("timestamp_ntz")
 

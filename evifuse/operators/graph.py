@@ -135,14 +135,13 @@ def node_places(events: DataFrame) -> DataFrame:
     )
 
 
-def node_attributes(places: DataFrame, show: int = 50) -> DataFrame:
-    """One row per entity with its sorted institutions, files and cities (first ``show`` each)."""
-    few = top_per_key(places, ["entity_id", "kind"], [F.asc("value")], show, "_k")
+def node_attributes(places: DataFrame) -> DataFrame:
+    """One row per entity with all its sorted institutions, files and cities; ``node_places`` is the long form."""
 
     def values(kind: str) -> Column:
         return F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("value"))))
 
-    return few.groupBy("entity_id").agg(
+    return places.groupBy("entity_id").agg(
         F.min(F.when(F.col("kind") == "institution", F.col("value"))).alias("institution"),
         values("institution").alias("institutions"),
         values("source_file").alias("source_files"),

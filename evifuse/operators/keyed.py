@@ -6,43 +6,41 @@ Two tools cover every rule of this library:
   near a slice edge are copied into the neighbour slice. No window group is longer
   than a slice.
 * an *unbounded* question ("the last value before t") keeps cold keys in one
-  window group and cuts only the hot keys into slices; what earlier slices leave
-  behind is aggregated per slice first and then carried forward.
+  window group and cuts the hot keys, however many, into slices; what earlier slices leave
+  behind is aggregated per slice first and then carried forward. A null key is a key like any other.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evifuse.session import cut
+
 HOUR = 3_600_000_000
 MINUTE = 60_000_000
 
 # A key with more rows than this is cut into slices.
 HOT_ROWS = 2_000_000
-# At most this many hot keys are told apart, so the list of them may be broadcast.
-# Keys past it stay in one (spilling) group; results do not depend on the list.
-HOT_LIST = 1_000
 
 
 def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> DataFrame:
-    """The hottest keys, never more than HOT_LIST rows."""
+    """All keys with more than ``min_rows`` rows."""
     return (
         df.groupBy(key)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .where((F.col("_n") > min_rows) & F.col(key).isNotNull())
-        .orderBy(F.desc("_n"), key)
-        .limit(HOT_LIST)
-        .select(key, F.lit(True).alias("_hot"))
+        .where(F.col("_n") > min_rows)
+        .select(F.col(key).alias("_hot_key"), F.lit(True).alias("_hot"))
     )
 
 
 def mark_slices(df: DataFrame, key: str, us: str, slice_us: int, min_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``_slice``: the time slice for hot keys, null for all others."""
-    hot = hot_keys(df, key, min_rows)
+    # Written first: its size is then known, and the join can split a hot key's rows.
+    hot = cut(hot_keys(df, key, min_rows), "hot-keys")
     return (
-        df.join(F.broadcast(hot), key, "left")
+        df.join(hot, F.col(key).eqNullSafe(F.col("_hot_key")), "left")
         .withColumn("_slice", F.when(F.col("_hot"), F.floor(F.col(us) / slice_us)))
-        .drop("_hot")
+        .drop("_hot", "_hot_key")
     )
 
 
@@ -81,11 +79,12 @@ def last_before(
     )
     back = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(
-        key, "_slice", *[F.last(f"_e_{n}", ignorenulls=True).over(back).alias(f"_c_{n}") for n in values]
+        F.col(key).alias("_ck"), F.col("_slice").alias("_cs"),
+        *[F.last(f"_e_{n}", ignorenulls=True).over(back).alias(f"_c_{n}") for n in values],
     )
     out = d.select(
         "*", *[F.last(f"_v_{n}", ignorenulls=True).over(w).alias(f"_l_{n}") for n in values]
-    ).join(carry, [key, "_slice"], "left")
+    ).join(carry, F.col(key).eqNullSafe(F.col("_ck")) & (F.col("_slice") == F.col("_cs")), "left")
     for n in values:
         out = out.withColumn(n, F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")))
     return out.select(*df.columns, *values)

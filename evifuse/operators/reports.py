@@ -132,17 +132,18 @@ def dossiers(
     max_events: int = 60,
     max_parties: int = 15,
     max_tokens: int = 25,
-    clip: int = 900,
 ) -> DataFrame:
     """One nested row per entity: score, identifiers, flows, counterparties, events, evidence.
 
-    Every list has a fixed length by the report's own limits; totals say what more
-    there is.
+    ``entities`` is the entity table with its identifiers; all its columns come back. Lists of
+    events, counterparties and tokens have a fixed length by the report's own limits, and totals say what
+    more there is; explanations are whole.
     """
+    direction = F.when(F.col("event_type") == "transaction", F.when(F.col("amount") < 0, "out").otherwise("in"))
     ev = top_per_key(events.where("us is not null"), ["entity_id"], [F.asc("us"), F.asc("raw_row_ref")], max_events, "pos")
     shown = ev.groupBy("entity_id").agg(
         F.array_sort(
-            F.collect_list(F.struct("pos", "us", "event_type", "amount", "counterparty", "location", "source_file", "raw_row_ref"))
+            F.collect_list(F.struct("pos", "us", "event_type", direction.alias("direction"), "amount", "counterparty", "location", "source_file", "raw_row_ref"))
         ).alias("events")
     )
     total = events.groupBy("entity_id").agg(F.count(F.lit(1)).alias("total_events"))
@@ -156,7 +157,7 @@ def dossiers(
         .groupBy("entity_id")
         .agg(
             F.sort_array(
-                F.collect_list(F.struct("rule_id", "severity", F.substring("explanation", 1, clip).alias("explanation"), "tokens"))
+                F.collect_list(F.struct("rule_id", "severity", "explanation", "tokens"))
             ).alias("findings")
         )
     )
@@ -203,13 +204,17 @@ def filing_package(events: DataFrame, scored: DataFrame, firings: DataFrame, k:
 
 
 def trace_bundle(scored, entities, firings, evidence, events) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(header, findings, raw rows) of every entity; filter on entity_id for one."""
+    """(header, findings, raw rows) of every entity; filter on entity_id for one.
+
+    ``entities`` is the entity table; the header carries its identifiers.
+    """
     raw = events.select(
         "entity_id", F.coalesce("source_file", F.lit("unknown")).alias("source_file"), "raw_row_ref", "us", "event_type",
         F.coalesce("amount", F.lit(0.0)).alias("amount"), F.coalesce("counterparty", F.lit("")).alias("counterparty"),
         F.coalesce("location", F.lit("")).alias("location"),
     )
-    findings = firings.join(evidence, ["entity_id", "rule_id"], "left")
+    # Evidence is the large side: a right join keeps it where adaptive execution can split it.
+    findings = evidence.join(firings, ["entity_id", "rule_id"], "right")
     return entities.join(scored, "entity_id", "left"), findings, raw
 
 
@@ -311,7 +316,9 @@ def run_digest(scored, events, entities, firings, edges, chains) -> dict[str, Da
         "metrics": run_metrics(scored, events, entities, firings),
         "event_span": event_span(events),
         "rule_firings": firings.groupBy("rule_id").agg(F.count(F.lit(1)).alias("firings")),
-        "entities": ranked_flagged(scored),
+        "entities": ranked_flagged(scored).join(entities, "entity_id", "left").join(value_in_out(edges), "entity_id", "left"),
+        "entity_findings": firings,
+        "top_transfers": top_transfers(edges),
         "entities_omitted": omitted_flagged(scored),
         "ml_only": only_anomalous(scored),
         "layering_chains": chains,

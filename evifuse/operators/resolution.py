@@ -157,8 +157,8 @@ def assign_entities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def entity_table(members: DataFrame, kyc: DataFrame, show: int = 6) -> DataFrame:
-    """One row per entity: name, counts per kind, and the first few identifiers per kind."""
+def entity_table(members: DataFrame, kyc: DataFrame) -> DataFrame:
+    """One row per entity: name, counts per kind, and all identifiers per kind; ``members`` is the long form."""
     names = (
         kyc.where("name is not null").groupBy("identifier").agg(F.max("name").alias("name"))
     )
@@ -171,15 +171,8 @@ def entity_table(members: DataFrame, kyc: DataFrame, show: int = 6) -> DataFrame
             *[F.min(F.when(F.col("id_type") == t, F.col("identifier"))).alias(f"_first_{t}") for t in ID_TYPES],
         )
     )
-    few = (
-        top_per_key(members, ["entity_id", "id_type"], [F.asc("identifier")], show, "_k")
-        .groupBy("entity_id")
-        .agg(
-            *[
-                F.sort_array(F.collect_list(F.when(F.col("id_type") == t, F.col("identifier")))).alias(f"{t}s")
-                for t in ID_TYPES
-            ]
-        )
+    lists = members.groupBy("entity_id").agg(
+        *[F.sort_array(F.collect_set(F.when(F.col("id_type") == t, F.col("identifier")))).alias(f"{t}s") for t in ID_TYPES]
     )
     name = F.coalesce(
         "_kyc",
@@ -189,7 +182,7 @@ def entity_table(members: DataFrame, kyc: DataFrame, show: int = 6) -> DataFrame
         F.concat(F.lit("IP "), "_first_ip"),
         "entity_id",
     )
-    return counts.join(few, "entity_id").select(
+    return counts.join(lists, "entity_id").select(
         "entity_id", name.alias("name"), *[f"n_{t}s" for t in ID_TYPES], *[f"{t}s" for t in ID_TYPES]
     )
 
@@ -315,7 +308,7 @@ def mention_links(texts: DataFrame, members: DataFrame, names: DataFrame, limit:
         "entity_id", F.lower("name").alias("phrase"), F.lit("name").alias("how"),
         F.struct(F.lit(2).alias("a"), (-F.length("name")).alias("b"), F.col("entity_id").alias("c")).alias("ord"),
     ).unionByName(
-        members.where((F.col("id_type") == "vpa") & (F.length("identifier") >= 4)).select(
+        members.where((F.col("id_type") == "vpa") & (F.length("identifier") > 0)).select(
             "entity_id", F.lower("identifier").alias("phrase"), F.lit("vpa").alias("how"),
             F.struct(F.lit(4).alias("a"), F.lit(0).alias("b"), F.col("entity_id").alias("c")).alias("ord"),
         )
@@ -328,7 +321,8 @@ def mention_links(texts: DataFrame, members: DataFrame, names: DataFrame, limit:
         return every if n >= 8 else F.array_distinct(every)
 
     maybes = []
-    for n, which in ((4, (F.length("phrase") >= 4) & (F.length("phrase") < 8)), (8, F.length("phrase") >= 8)):
+    size = F.length("phrase")
+    for n, which in ((1, size < 3), (3, size == 3), (4, (size >= 4) & (size < 8)), (8, size >= 8)):
         parts = phrases.where(which).select("phrase").distinct()
         parts = parts.select("phrase", F.explode(F.array_distinct(groups(F.col("phrase"), n))).alias("part"))
         shared = parts.groupBy("part").agg(F.count(F.lit(1)).alias("_n"))

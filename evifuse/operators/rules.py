@@ -194,20 +194,17 @@ def idr_limbs(
         first_swaps(identifier_swaps(events, window_minutes, hot_rows)),
     )
     per_device = fan.groupBy("entity_id", "imei").agg(F.max("msisdn_count").alias("n"))
-    few_numbers = (
-        top_per_key(fan, ["entity_id", "imei"], [F.asc("msisdn")], 20, "_k")
-        .groupBy("entity_id", "imei")
-        .agg(F.array_sort(F.collect_list("msisdn")).alias("numbers"))
+    devices = fan.groupBy("entity_id", "imei").agg(
+        F.max("msisdn_count").alias("n"), F.array_sort(F.collect_set("msisdn")).alias("numbers")
     )
-    devices = per_device.join(few_numbers, ["entity_id", "imei"])
     limb1 = devices.select(
         "entity_id",
         F.lit(1).alias("limb"),
         F.lit(2).alias("grade"),
         F.col("imei").alias("item"),
         F.concat(
-            F.lit("Device fan-out: a single handset (IMEI "), "imei", F.lit(") was used to operate "),
-            F.col("n").cast("string"), F.lit(" different mobile numbers — "), F.array_join("numbers", ", "), F.lit("."),
+            F.lit("Device "), "imei", F.lit(" carried "), F.col("n").cast("string"), F.lit(" numbers ("),
+            F.array_join("numbers", ", "), F.lit(")."),
         ).alias("description"),
     )
     ev1 = _tokens(
@@ -225,17 +222,13 @@ def idr_limbs(
 
     def held(own: DataFrame, id_type: str, least: int, limb: int, name: str, noun: str, label: str) -> Found:
         many = own.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
-        few = (
-            top_per_key(own, ["entity_id"], [F.asc("identifier")], 20, "_k")
-            .groupBy("entity_id")
-            .agg(F.array_sort(F.collect_list("identifier")).alias("few"))
-        )
-        rows = many.join(few, "entity_id").select(
+        rows = own.groupBy("entity_id").agg(
+            F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("identifier")).alias("all")
+        ).select(
             "entity_id", F.lit(limb).alias("limb"), F.lit(1).alias("grade"), F.lit("").alias("item"),
             F.concat(
-                F.lit(f"{name}: "), F.col("n").cast("string"),
-                F.lit(f" distinct {noun} resolve to this single identity (threshold {least}) — "),
-                F.array_join("few", ", "), F.lit("."),
+                F.lit(f"{name}: owns "), F.col("n").cast("string"), F.lit(f" {noun}, {least} or more are notable ("),
+                F.array_join("all", ", "), F.lit(")."),
             ).alias("description"),
         )
         tokens = _tokens(
@@ -246,31 +239,25 @@ def idr_limbs(
         )
         return Found(rows, tokens)
 
-    accounts = held(own_accounts, "account", min_accounts, 2, "Account fan-out", "bank accounts", "account_fanout")
-    imeis = held(own_imeis, "imei", min_imeis, 3, "Device multiplicity", "IMEIs", "device_multiplicity")
+    accounts = held(own_accounts, "account", min_accounts, 2, "Many accounts", "accounts", "account_fanout")
+    imeis = held(own_imeis, "imei", min_imeis, 3, "Many devices", "devices", "device_multiplicity")
 
     mins = (F.col("us") - F.col("prev_us")) / MINUTE
     gap = F.when(mins < 120, F.format_string("%.1f mins", mins)).otherwise(F.format_string("%.1f hours", mins / 60.0))
-    none = F.lit("N/A")
+    none = F.lit("unknown")
     kind = (
-        F.when(F.col("severity") == "HIGH", "New SIM + New Device (Both Changed - Highest Risk)")
-        .when(F.col("severity") == "MEDIUM", "SIM/Device Change Near Financial Transfer")
-        .otherwise("Routine Device Upgrade / SIM Replacement (No Financial Activity)")
-    )
-    level = (
-        F.when(F.col("severity") == "HIGH", "HIGH Signal (Both SIM + Device Changed)")
-        .when(F.col("severity") == "MEDIUM", "MEDIUM Signal (Identifier Changed Near Financial Transaction)")
-        .otherwise("LOW Signal (Benign / Informational Identifier Change)")
+        F.when(F.col("severity") == "HIGH", "SIM and device replaced together")
+        .when(F.col("severity") == "MEDIUM", "SIM or device replaced close to a payment")
+        .otherwise("SIM or device replaced, no payment near")
     )
     limb4 = swap.select(
         "entity_id", F.lit(4).alias("limb"),
         F.when(F.col("severity") == "HIGH", 2).when(F.col("severity") == "MEDIUM", 1).otherwise(0).alias("grade"),
         F.lit("").alias("item"),
         F.concat(
-            kind, F.lit(" on number "), "number", F.lit(". IMEI change: "), F.coalesce("old_imei", none),
-            F.lit(" -> "), F.coalesce("new_imei", none), F.lit(" | IMSI change: "), F.coalesce("old_imsi", none),
-            F.lit(" -> "), F.coalesce("new_imsi", none), F.lit(". Time gap: "), gap,
-            F.lit(". Financial transaction near change: "), F.when(F.col("nearby_txn"), "Yes").otherwise("No"), F.lit("."),
+            kind, F.lit(": number "), "number", F.lit(", device "), F.coalesce("old_imei", none), F.lit(" to "),
+            F.coalesce("new_imei", none), F.lit(", SIM "), F.coalesce("old_imsi", none), F.lit(" to "),
+            F.coalesce("new_imsi", none), F.lit(", "), gap, F.lit(" after its last record."),
         ).alias("description"),
     )
     dev, sim = F.col("device_changed"), F.col("sim_changed")
@@ -281,7 +268,7 @@ def idr_limbs(
             row_token("row_", F.col("raw_row_ref")),
             F.concat(F.lit("phone:"), "number"),
             F.concat(F.lit("severity:"), "severity"),
-            F.concat(F.lit("sub_level:"), level),
+            F.concat(F.lit("change:"), kind),
             F.concat(F.lit("time_gap:"), gap),
             F.concat(F.lit("nearby_txn:"), F.when(F.col("nearby_txn"), "yes").otherwise("no")),
             F.when(dev, F.concat(F.lit("old_imei:"), "old_imei")),
@@ -308,22 +295,16 @@ def idr1(events: DataFrame, identifiers: DataFrame, **limits) -> Found:
         .alias("severity"),
         F.count(F.lit(1)).alias("limbs"),
     )
-    few = (
-        top_per_key(limbs, ["entity_id"], [F.desc("grade"), F.asc("limb"), F.asc("item")], 20, "_k")
-        .groupBy("entity_id")
-        .agg(F.array_sort(F.collect_list(F.struct("_k", "description"))).alias("_d"))
+    # Worst limb first; every limb is quoted.
+    parts = limbs.groupBy("entity_id").agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("grade")).alias("g"), "limb", "item", "description"))).alias("_d")
     )
-    rows = graded.join(few, "entity_id")
+    rows = graded.join(parts, "entity_id")
     text = F.concat(
-        F.lit("Identity Fan-out (IDR-1) ["), "severity", F.lit(" signal] for entity "), "entity_id", F.lit(": "),
-        F.array_join(F.col("_d.description"), " "),
+        "severity", F.lit(" identity finding for "), "entity_id", F.lit(". "), F.array_join(F.col("_d.description"), " "),
         F.when(
             F.col("limbs") > 1,
-            F.concat(
-                F.lit(" "), F.col("limbs").cast("string"),
-                F.lit(" independent fan-out indicators corroborate each other, which is why this is graded "),
-                "severity", F.lit("."),
-            ),
+            F.concat(F.lit(" Graded on "), F.col("limbs").cast("string"), F.lit(" independent findings.")),
         ).otherwise(""),
     )
     head = _tokens(
@@ -346,11 +327,10 @@ def tcs1(enriched: DataFrame) -> Found:
     )
     texts = _first_texts(
         both, [F.asc("us"), F.asc("raw_row_ref")],
-        F.concat(F.lit("Transaction of "), _whole(F.abs("amount")), F.lit(" at "), _stamp(F.col("us"))),
+        F.concat(_whole(F.abs("amount")), F.lit(" on "), _stamp(F.col("us"))),
     )
     text = F.concat(
-        F.lit("Temporal Coincidence: "), F.col("n").cast("string"), F.lit(" transaction(s) for entity "), "entity_id",
-        F.lit(" had BOTH a phone call AND an active IP session within the correlation window. Details: "),
+        "entity_id", F.lit(" was on a call and online around "), F.col("n").cast("string"), F.lit(" payment(s): "),
         "details", F.lit("."),
     )
     tokens = _tokens(
@@ -426,51 +406,46 @@ def call_then_transfer(
 ) -> DataFrame:
     """Transfers that follow a call to the payee by ``least`` .. ``window`` minutes."""
     links, calls = call_payee_links(events, id_map)
-    return linked_calls_before(links, calls, int(window_minutes * MINUTE), int(least_minutes * MINUTE))
+    return linked_calls_before(links, calls, int(window_minutes * MINUTE), int(least_minutes * MINUTE)).transfers
 
 
-def tcs2(events: DataFrame, id_map: DataFrame, window_minutes: float = 15) -> Found:
-    """Call-then-transfer."""
-    hits = cut(call_then_transfer(events, id_map, window_minutes), "tcs2")
+def tcs2(events: DataFrame, id_map: DataFrame, window_minutes: float = 15, least_minutes: float = 1) -> Found:
+    """Call-then-transfer. Every transfer and every call that one follows is evidence, once per party."""
+    links, calls = call_payee_links(events, id_map)
+    found = linked_calls_before(links, calls, int(window_minutes * MINUTE), int(least_minutes * MINUTE))
+    hits = cut(found.transfers, "tcs2")
     gap = (F.col("us") - F.col("last_call_us")) / MINUTE
     texts = _first_texts(
         hits, [F.asc("us"), F.asc("raw_row_ref"), F.asc("party")],
         F.concat(
-            F.lit("Call to "), "party", F.lit(" at "), _stamp(F.col("last_call_us")), F.lit(" ("), _whole(gap),
-            F.lit(" min before transfer of "), _whole(F.abs("amount")), F.lit(" to "), "payee", F.lit(", "),
-            "link", F.lit(" link)"),
+            F.lit("called "), "party", F.lit(" on "), _stamp(F.col("last_call_us")), F.lit(" and paid "),
+            _whole(F.abs("amount")), F.lit(" to "), "payee", F.lit(" "), _whole(gap), F.lit(" min later ("), "link", F.lit(")"),
         ),
     )
-    total = hits.groupBy("entity_id").agg(F.sum("n_calls").alias("instances"))
-    who = (
-        top_per_key(
-            hits.where("callee_entity is not null").select("entity_id", "callee_entity").distinct(),
-            ["entity_id"], [F.asc("callee_entity")], 20, "_k",
-        )
-        .groupBy("entity_id")
-        .agg(F.array_join(F.array_sort(F.collect_list("callee_entity")), ", ").alias("who"))
+    sums = hits.groupBy("entity_id").agg(
+        F.sum("n_calls").alias("instances"), F.array_join(F.array_sort(F.collect_set("callee_entity")), ", ").alias("who")
     )
-    rows = texts.join(total, "entity_id").join(who, "entity_id", "left")
+    rows = texts.join(sums, "entity_id")
     text = F.concat(
-        F.lit("Call-Then-Transfer pattern: "), F.col("instances").cast("string"), F.lit(" instance(s) for entity "),
-        "entity_id", F.lit(". A call was placed to the beneficiary within "), F.lit(f"{window_minutes:g}"),
-        F.lit(" minutes before money moved to an account/VPA belonging to that same party."),
-        F.coalesce(F.concat(F.lit(" B-party resolves to "), "who", F.lit(".")), F.lit("")),
-        F.lit(" Details: "), "details", F.lit("."),
+        "entity_id", F.lit(" paid a party it had called up to "), F.lit(f"{window_minutes:g}"), F.lit(" minutes before, "),
+        F.col("instances").cast("string"), F.lit(" time(s): "), "details", F.lit("."),
+        F.when(F.col("who") != "", F.concat(F.lit(" Called: "), "who", F.lit("."))).otherwise(""),
     )
-    tokens = _tokens(
+    paid = _tokens(
         hits, "TCS-2", F.col("us"), F.col("raw_row_ref"),
         [
             row_token("row_", F.col("raw_row_ref")),
-            row_token("row_", F.col("first_call_ref")),
-            F.when(F.col("n_calls") > 1, row_token("row_", F.col("last_call_ref"))),
-            F.when(F.col("n_calls") > 1, F.concat(F.lit("calls:"), F.col("n_calls").cast("string"))),
+            F.concat(F.lit("calls:"), F.col("n_calls").cast("string")),
             F.concat(F.lit("link:"), "link"),
             F.concat(F.lit("called:"), "party"),
             F.concat(F.lit("paid:"), "payee"),
         ],
     )
-    return Found(_firing(rows, "TCS-2", "MEDIUM", text), tokens)
+    called = _tokens(
+        found.calls, "TCS-2", F.col("us"), F.col("raw_row_ref"),
+        [row_token("row_", F.col("raw_row_ref")), F.concat(F.lit("called:"), "party")],
+    )
+    return Found(_firing(rows, "TCS-2", "MEDIUM", text), paid.unionByName(called))
 
 
 # --------------------------------------------------------------------------- STR-1
@@ -523,10 +498,8 @@ def str1(events: DataFrame, threshold: float = 50_000, **limits) -> Found:
     hours = (F.col("last_us") - F.col("us")) / HOUR
     amounts = F.array_join(F.transform(F.col("members.amount"), lambda a: F.format_string("%.0f", F.abs(a))), ", ")
     text = F.concat(
-        F.lit("Structuring detected: "), F.size("members").cast("string"), F.lit(" outgoing transfers by entity "),
-        "entity_id", F.lit(f" each just under the {threshold:.0f} threshold (amounts: "), amounts,
-        F.lit(") within "), F.format_string("%.1f", hours),
-        F.lit(" hours. This pattern is consistent with deliberate threshold evasion."),
+        "entity_id", F.lit(" sent "), F.size("members").cast("string"),
+        F.lit(f" payments a little below {threshold:.0f} in "), F.format_string("%.1f", hours), F.lit(" h: "), amounts, F.lit("."),
     )
     tokens = first.select(
         "entity_id", F.lit("STR-1").alias("rule_id"), F.posexplode("members").alias("pos", "m")
@@ -668,22 +641,19 @@ def lay1(
     shape = F.when(
         F.col("cycle"),
         F.concat(
-            F.lit("Circular flow confirmed: funds left "), "entity_id", F.lit(" and returned to it after "),
-            (F.size("path") - 1).cast("string"), F.lit(" hops"),
+            F.lit("Money of "), "entity_id", F.lit(" came back to it in "), (F.size("path") - 1).cast("string"), F.lit(" hops"),
         ),
     ).otherwise(
         F.concat(
-            F.lit("Layering chain: funds passed through "), F.size("path").cast("string"),
-            F.lit(" entities (no return to "), "entity_id", F.lit(f" observed within the {max_hours:g}h window)"),
+            F.lit("Money of "), "entity_id", F.lit(" went on through "), F.size("path").cast("string"),
+            F.lit(f" entities within {max_hours:g} h"),
         )
     )
     text = F.concat(
-        shape, F.lit(" ("), F.array_join("path", " -> "), F.lit(") over "), F.format_string("%.1f", hours),
-        F.lit(" hours. Amounts: "),
-        F.array_join(F.transform("amounts", lambda a: F.format_string("%.0f", a)), ", "),
-        F.lit(". Value lost per hop: "),
+        shape, F.lit(" in "), F.format_string("%.1f", hours), F.lit(" h: "), F.array_join("path", " > "), F.lit("; amounts "),
+        F.array_join(F.transform("amounts", lambda a: F.format_string("%.0f", a)), ", "), F.lit("; kept per hop "),
         F.array_join(F.transform(skims, lambda s: F.concat(s, F.lit("%"))), ", "),
-        F.lit(f" — consistent with a commission skim of {min_skim * 100:.0f}-{max_skim * 100:.0f}% at every hop."),
+        F.lit(f" (a skim is {min_skim * 100:.0f} to {max_skim * 100:.0f}%)."),
     )
     rows = best.select(
         "entity_id", F.lit("LAY-1").alias("rule_id"), F.posexplode("hops").alias("pos", "h")
@@ -791,11 +761,10 @@ def mul1(events: DataFrame, dormancy_days: float = 30, outflow_hours: float = 6,
     first = cut(first, "mul1")
     retained = F.col("amount") - F.col("outflow")
     text = F.concat(
-        F.lit("Mule Signature detected: entity "), "entity_id", F.lit(f" had no activity for {dormancy_days:g} days, received "),
-        _whole(F.col("amount")), F.lit(", then moved "), _whole(F.col("outflow")), F.lit(" ("),
-        _whole(F.col("outflow") / F.col("amount") * 100), F.lit("% of the inflow) within "),
-        F.format_string("%.1f", (F.col("last_out_us") - F.col("us")) / HOUR), F.lit(" hours, retaining only "),
-        _whole(retained), F.lit(" of it."),
+        F.lit("Quiet for "), F.lit(f"{dormancy_days:g}"), F.lit(" days, "), "entity_id", F.lit(" got "), _whole(F.col("amount")),
+        F.lit(" and sent "), _whole(F.col("outflow")), F.lit(" on ("), _whole(F.col("outflow") / F.col("amount") * 100),
+        F.lit("%) in "), F.format_string("%.1f", (F.col("last_out_us") - F.col("us")) / HOUR), F.lit(" h; "),
+        _whole(retained), F.lit(" stayed."),
     )
     span = int(outflow_hours * HOUR)
     probe = first.select("entity_id", F.col("us").alias("c_us")).withColumn(
@@ -863,12 +832,9 @@ def loc1(placed: DataFrame, max_speed_kmh: float = 200.0, hot_rows: int = HOT_RO
     mins = F.col("secs") / 60.0
     one = lambda c: F.format_string("%.1f", c)
     text = F.concat(
-        F.lit("Geo-Improbable travel (LOC-1) for entity "), "entity_id", F.lit(": event at "), "prev.place.label",
-        F.lit(" ("), "prev.event_type", F.lit(") and event at "), "place.label", F.lit(" ("), "event_type",
-        F.lit(") are "), one(F.col("distance_km")), F.lit(" km apart with elapsed time of "), one(mins),
-        F.lit(" mins ("), F.format_string("%.2f", F.greatest(F.col("secs") / 3600.0, F.lit(0.00028))),
-        F.lit(" hrs). Implied travel speed: "), one(F.col("speed_kmh")),
-        F.lit(f" km/h (exceeds plausible max travel speed threshold of {max_speed_kmh:.0f} km/h)."),
+        "entity_id", F.lit(" was at "), "prev.place.label", F.lit(" ("), "prev.event_type", F.lit(") and "), one(mins),
+        F.lit(" min later at "), "place.label", F.lit(" ("), "event_type", F.lit("), "), one(F.col("distance_km")),
+        F.lit(" km away: "), one(F.col("speed_kmh")), F.lit(f" km/h, more than {max_speed_kmh:.0f}."),
     )
     tokens = _tokens(
         first, "LOC-1", F.col("us"), F.col("raw_row_ref"),

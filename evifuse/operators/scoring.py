@@ -201,8 +201,30 @@ def isolation_flags(
         return pd.Series(np.power(2.0, -depth / len(grown.value) / scale))
 
     scored = cut(features.select("entity_id", score(*FEATURES).alias("score")), "scores")
-    edge = scored.agg(F.percentile_approx("score", 1.0 - contamination, 100_000).alias("edge")).first()["edge"]
-    return scored.withColumn("ml_anomaly", F.col("score") > edge)
+    at = (1.0 - contamination) * (total - 1)
+    low = order_statistic(scored, "score", math.floor(at))
+    high = order_statistic(scored, "score", math.ceil(at))
+    return scored.withColumn("ml_anomaly", F.col("score") > low + (high - low) * (at - math.floor(at)))
+
+
+def order_statistic(df: DataFrame, column: str, rank: int, bins: int = 1024) -> float:
+    """The value of ``rank`` (from 0) in ascending order, exactly.
+
+    The range that holds it is narrowed to one of ``bins`` parts by counting until one value is
+    left, so at most ``bins`` rows reach the driver, whatever the size of the data.
+    """
+    c = F.col(column).cast("double")
+    low, high = df.agg(F.min(c), F.max(c)).first()
+    while low < high:
+        part = F.least(F.floor((c - low) / (high - low) * bins), F.lit(bins - 1))
+        counts = df.where((c >= low) & (c <= high)).groupBy(part.alias("part"))
+        parts = counts.agg(F.count(F.lit(1)).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"))
+        for r in parts.agg(F.array_sort(F.collect_list(F.struct("part", "n", "lo", "hi")))).first()[0]:
+            if rank < r["n"]:
+                low, high = r["lo"], r["hi"]
+                break
+            rank -= r["n"]
+    return low
 
 
 def combine_scores(firings: DataFrame, flags: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:

@@ -1,10 +1,13 @@
 """Joins in time between transactions, calls and address sessions."""
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evifuse.operators.keyed import MINUTE, into_slices, top_per_key
+from evifuse.session import cut
 
 CALL_TYPES = ("call", "sms")
 # Slice length in units of the tolerance: an eighth of the rows is copied per side.
@@ -108,45 +111,53 @@ def enrich_transactions(
 
 
 def overlapping_session(
-    txns: DataFrame, events: DataFrame, margin_us: int = 0, slice_us: int = 60 * MINUTE
+    txns: DataFrame, events: DataFrame, margin_us: int = 0, slice_us: int = 24 * 60 * MINUTE
 ) -> DataFrame:
     """Each transaction with an address session active within ``margin_us`` of it.
 
     Among the sessions started by t + margin, the one that ends last is active iff any
-    is, so one running maximum decides; sessions are copied into the time slices they
-    span, and no (transaction, session) pair is built.
+    is, so one running maximum decides. It runs within slices of time, and what earlier slices leave
+    behind, one row per slice, is carried forward; no session is copied, however long it lasts.
     """
     us, end = F.col("us"), F.greatest(F.coalesce(F.col("end_us"), F.col("us")), F.col("us"))
     sessions = events.where("event_type = 'ip_session'").select(
         "entity_id",
         (us - margin_us).alias("_at"),
-        (end + margin_us).alias("_until"),
         F.struct(end.alias("end_us"), "raw_row_ref", "us", "counterparty", "location").alias("_s"),
     )
-    sessions = into_slices(sessions, F.col("_at"), F.col("_until"), slice_us).drop("_until")
-    probes = txns.withColumn("_at", F.col("us")).withColumn("_slice", F.floor(F.col("us") / slice_us))
+    probes = txns.withColumn("_at", F.col("us"))
     stacked = probes.withColumn("_side", F.lit(1)).unionByName(
         sessions.withColumn("_side", F.lit(0)), allowMissingColumns=True
-    )
+    ).withColumn("_slice", F.floor(F.col("_at") / slice_us))
+    back = Window.partitionBy("entity_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = stacked.groupBy("entity_id", "_slice").agg(F.max("_s").alias("_e"))
+    carry = ends.select(F.col("entity_id").alias("_ce"), F.col("_slice").alias("_cs"), F.max("_e").over(back).alias("_c"))
     w = (
         Window.partitionBy("entity_id", "_slice")
         .orderBy("_at", "_side")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     out = stacked.withColumn("_m", F.max("_s").over(w)).where("_side = 1")
+    out = out.join(carry, F.col("entity_id").eqNullSafe(F.col("_ce")) & F.col("_slice").eqNullSafe(F.col("_cs")), "left")
+    out = out.withColumn("_m", F.greatest("_m", "_c"))
     return out.withColumn(
         "_session", F.when(F.col("_m.end_us") >= F.col("us") - margin_us, F.col("_m"))
     ).select(*txns.columns, "_session")
 
 
+class Linked(NamedTuple):
+    transfers: DataFrame
+    calls: DataFrame
+
+
 def linked_calls_before(
     links: DataFrame, calls: DataFrame, window_us: int, least_us: int
-) -> DataFrame:
+) -> Linked:
     """For each (transfer, called party) link, the calls in [t - window, t - least].
 
-    ``links`` and ``calls`` share entity_id and party. The calls of one party are an
-    ordered list, so the matching calls are given as its first and last row plus the
-    count: the same information as all pairs, one row per link.
+    ``links`` and ``calls`` share entity_id and party. ``transfers`` has the links with such calls, with their
+    number and the first and last of them; ``calls`` has every call that a link follows in that time, once
+    per entity and party. Both come from the same running counts, so no pair is built.
     """
     length = max(window_us * SLICE_FACTOR, 1)
     probes = links.withColumn("_slice", F.floor(F.col("us") / length))
@@ -168,16 +179,20 @@ def linked_calls_before(
     by_latest = up.rangeBetween(Window.unboundedPreceding, -least_us)
     too_old = up.rangeBetween(Window.unboundedPreceding, -(window_us + 1))
     not_old = down.rangeBetween(Window.unboundedPreceding, window_us)
-    out = (
+    by_last = up.rangeBetween(Window.unboundedPreceding, window_us)
+    too_soon = up.rangeBetween(Window.unboundedPreceding, least_us - 1)
+    link = F.when(F.col("_side") == 1, 1)
+    out = cut(
         stacked.select(
             "*",
             (F.count("_c").over(by_latest) - F.count("_c").over(too_old)).alias("n_calls"),
+            (F.count(link).over(by_last) - F.count(link).over(too_soon)).alias("_n_links"),
             F.max("_c").over(by_latest).alias("_last"),
             F.min("_c").over(not_old).alias("_first"),
-        )
-        .where("_side = 1 and n_calls > 0")
+        ).where("(_side = 1 and n_calls > 0) or (_side = 0 and _n_links > 0)"),
+        "linked",
     )
-    return out.select(
+    transfers = out.where("_side = 1").select(
         *links.columns,
         "n_calls",
         F.col("_first.us").alias("first_call_us"),
@@ -185,6 +200,9 @@ def linked_calls_before(
         F.col("_last.us").alias("last_call_us"),
         F.col("_last.ref").alias("last_call_ref"),
     )
+    heard = out.where("_side = 0").select("entity_id", "party", "us", F.col("_c.ref").alias("raw_row_ref")).distinct()
+    return Linked(transfers, heard)
+
 
 
 def unified_timeline(events: DataFrame, entity_id: str | None = None) -> DataFrame:
@@ -288,8 +306,13 @@ def focus_bands(bands: DataFrame) -> DataFrame:
     )
 
 
-def what_if(events: DataFrame, entity_id: str | None, window_minutes: float) -> DataFrame:
-    """The join of one entity (or of all) redone at another window, clamped to 1 minute .. 1 day."""
+def what_if(
+    events: DataFrame, entity_id: str | None, window_minutes: float, run_minutes: float | None = None
+) -> DataFrame:
+    """The join of one entity (or of all) redone at another window, clamped to 1 minute .. 1 day.
+
+    ``run_minutes`` is the window of the run; the result is a preview unless it is the same.
+    """
     w = min(max(window_minutes, 1), 1440)
     mine = events if entity_id is None else events.where(F.col("entity_id") == entity_id)
-    return enrich_transactions(mine, w).withColumn("is_preview", F.lit(True))
+    return enrich_transactions(mine, w).withColumn("is_preview", F.lit(run_minutes is None or w != run_minutes))

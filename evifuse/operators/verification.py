@@ -31,7 +31,7 @@ def overlap_pairs(truth_ids: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def match_truth(
-    truth: DataFrame, truth_ids: DataFrame, members: DataFrame, scored: DataFrame, max_rounds: int = 1000
+    truth: DataFrame, truth_ids: DataFrame, members: DataFrame, scored: DataFrame
 ) -> DataFrame:
     """(truth_id, entity_id): each truth entry with its detected entity, none used twice.
 
@@ -48,7 +48,7 @@ def match_truth(
     )
     pairs = cut(shared.join(t.select("truth_id", "seq"), "truth_id"), "pairs")
     given = t.limit(0)
-    for _ in range(max_rounds):
+    while True:  # every round settles a proposal or gives an entry its last choices
         best = F.min_by("entity_id", F.struct("stage", "pref", "entity_id"))
         top = cut(pairs.groupBy("truth_id", "seq").agg(best.alias("entity_id")), "proposals")
         proposals, wanted = top.agg(F.count(F.lit(1)), F.count_distinct("entity_id")).first()
@@ -76,7 +76,6 @@ def match_truth(
         more = more.select("truth_id", "entity_id", F.lit(1).alias("stage"), F.col("_k").alias("pref"), "seq")
         pairs = cut(pairs.unionByName(more), "pairs")
         given = given.unionByName(idle)
-    raise RuntimeError(f"truth matching did not settle in {max_rounds} rounds")
 
 
 def truth_status(truth: DataFrame, matches: DataFrame, scored: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evifuse.functions.fields import micros
 from evifuse.functions.geo import ADDRESS_PREFIXES, TOWERS
-from evifuse.operators import graph, rules, scoring, temporal
+from evifuse.operators import graph, resolution, rules, scoring, temporal
 from evifuse.session import cut, cut_all
 from evifuse.sources.reference import place_events
 
@@ -96,6 +96,12 @@ def members(spark: SparkSession, sf: str) -> DataFrame:
     return named.unionByName(devices).select("entity_id", "identifier", "id_type")
 
 
+def entities(spark: SparkSession, sf: str) -> DataFrame:
+    """The entity table of the members; the given tables hold no ownership names."""
+    nobody = spark.createDataFrame([], "entry string, name string, id_type string, identifier string")
+    return resolution.entity_table(members(spark, sf), nobody)
+
+
 def phones(spark: SparkSession, sf: str) -> DataFrame:
     return members(spark, sf).where("id_type = 'phone'").select("identifier", "entity_id")
 

@@ -153,7 +153,7 @@ def cdr_normalise(spark, sf):
         F.date_format("ts", "HH:mm:ss").alias("TIME"), F.col("k").alias("DURATION_SEC"), F.lit("cdr.csv").alias("source_file"),
         F.col("event_id").alias("raw_row_ref"),
     )
-    got = statements.normalise_cdr(raw, statements.match_headers(raw.columns))
+    got = statements.normalise_cdr(raw, statements.header_fields(raw.columns))
     return got.where("reject_reason is null").select(
         "raw_row_ref", "entity_ref", "event_type", ff.micros(F.col("timestamp")).alias("us"),
         ff.micros(F.col("end_timestamp")).alias("end_us"), "counterparty",
@@ -174,7 +174,7 @@ def ipdr_normalise(spark, sf):
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("SESSION_START"), F.lit("ipdr.csv").alias("source_file"),
         F.col("event_id").alias("raw_row_ref"),
     )
-    got = statements.normalise_ipdr(raw, statements.match_headers(raw.columns))
+    got = statements.normalise_ipdr(raw, statements.header_fields(raw.columns))
     return got.where("reject_reason is null").select(
         "raw_row_ref", "entity_ref", ff.micros(F.col("timestamp")).alias("us"), "location", "counterparty", F.col("_port").cast("bigint").alias("port")
     )
@@ -577,7 +577,7 @@ def _text_entities(spark, sf):
     owner = F.concat(F.lit("ENT_"), F.substring(F.sha2("identifier", 256), 1, 12))
     b = cw.table(spark, sf, "benchmark")
     named = b.select(
-        F.concat(F.lit("ENT_"), F.lpad(F.col("item_id").cast("string"), 4, "0")).alias("entity_id"), F.substring("text", 1, 24).alias("name")
+        F.concat(F.lit("ENT_"), F.lpad(F.col("item_id").cast("string"), 4, "0")).alias("entity_id"), F.col("text").alias("name")
     )
     own = named.select("entity_id", F.col("entity_id").alias("identifier"), F.lit("unknown").alias("id_type"))
     return ids.select(owner.alias("entity_id"), "identifier", "id_type").unionByName(own), named
@@ -591,7 +591,7 @@ _SQUEEZE = r"regexp_replace(text, '[\s\-()+]', '', 'g')"
 hd AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(text, '([A-Za-z0-9._]+@[A-Za-z0-9]+)', 1)) AS identifier FROM documents),
 nm AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(text, '\\b([0-9]{{6,}})\\b', 1)) AS identifier FROM documents),
 own2 AS MATERIALIZED (SELECT 'ENT_' || substr(sha256(identifier), 1, 12) AS entity_id, identifier, true AS h FROM hd UNION ALL SELECT 'ENT_' || substr(sha256(identifier), 1, 12), identifier, false FROM nm),
-bm AS MATERIALIZED (SELECT 'ENT_' || lpad(CAST(item_id AS VARCHAR), 4, '0') AS entity_id, lower(substr(text, 1, 24)) AS name FROM benchmark),
+bm AS MATERIALIZED (SELECT 'ENT_' || lpad(CAST(item_id AS VARCHAR), 4, '0') AS entity_id, lower(text) AS name FROM benchmark),
 runs AS MATERIALIZED (SELECT DISTINCT text_id, unnest(regexp_extract_all({_SQUEEZE}, '[0-9]{{6,}}')) AS run FROM d),
 hits AS (
  SELECT text_id, entity_id, 'id' AS how, 1 AS a, 0 AS b, '' AS c FROM (SELECT text_id, 'ENT_' || lpad(CAST(text_id % 40 AS VARCHAR), 4, '0') AS entity_id FROM d WHERE text_id % 50 = 0) WHERE entity_id IN (SELECT entity_id FROM bm)
@@ -814,10 +814,38 @@ def omitted_flagged(spark, sf):
 
 @query()
 def ml_only_entities(spark, sf):
-    """Entities with the anomaly flag and no money rule fired."""
+    """Entities with the anomaly flag that no rule names."""
     flags = scoring.isolation_flags(scoring.entity_features(cw.events(spark, sf)))
-    money = cw.firings(spark, sf).where("rule_id in ('STR-1', 'MUL-1', 'LAY-1')")
-    return reports.only_anomalous(scoring.combine_scores(money, flags, cw.members(spark, sf)))
+    return reports.only_anomalous(scoring.combine_scores(cw.firings(spark, sf), flags, cw.members(spark, sf)))
+
+
+@query(
+    "SELECT count(*) AS entities, CAST(ceil(0.1 * count(*)) AS BIGINT) AS flags_at_most, true AS flags_fit, true AS scores_apart, true AS tiers_same FROM (SELECT DISTINCT entity_id FROM ev)"
+)
+def anomaly_checks(spark, sf):
+    """What holds for every anomaly run: all entities scored, flags within the share, flagged scores above the others, tiers untouched."""
+    flags = cut(scoring.isolation_flags(scoring.entity_features(cw.events(spark, sf))), "flags")
+    share = F.ceil(0.1 * F.count(F.lit(1)))
+    with_flags = scoring.combine_scores(cw.firings(spark, sf), flags, cw.members(spark, sf)).select("entity_id", "risk_tier")
+    changed = with_flags.join(cw.scored(spark, sf).select("entity_id", F.col("risk_tier").alias("_t")), "entity_id").where("risk_tier <> _t")
+    top = F.max(F.when(~F.col("ml_anomaly"), F.col("score")))
+    return flags.agg(
+        F.count(F.lit(1)).alias("entities"), share.cast("bigint").alias("flags_at_most"), (F.count_if("ml_anomaly") <= share).alias("flags_fit"),
+        (F.min(F.when(F.col("ml_anomaly"), F.col("score"))) > top).alias("scores_apart"),
+    ).withColumn("tiers_same", F.lit(changed.isEmpty()))
+
+
+@query(
+    f"SELECT DISTINCT l.entity_id, CAST(x.ref AS BIGINT) AS raw_row_ref, x.paid FROM (SELECT t.entity_id, t.raw_row_ref AS t_ref, c.raw_row_ref AS c_ref FROM ev t "
+    f"JOIN ev c ON c.entity_id = t.entity_id AND c.event_type IN ('call','sms') AND t.event_type = 'transaction' AND c.us BETWEEN t.us - {1440 * MINUTE} AND t.us - {MINUTE} "
+    "JOIN mem a ON a.identifier = t.counterparty JOIN mem b ON b.identifier = c.counterparty AND b.entity_id = a.entity_id) l, LATERAL (SELECT t_ref AS ref, true AS paid UNION ALL SELECT c_ref, false) x"
+)
+def tcs2_evidence(spark, sf):
+    """Every transfer and every call that TCS-2 cites through a resolved payee."""
+    links, calls = rules.call_payee_links(cw.events(spark, sf), cw.id_map(spark, sf))
+    found = temporal.linked_calls_before(links.where("link = 'resolved'"), calls, 1440 * MINUTE, MINUTE)
+    paid = found.transfers.select("entity_id", "raw_row_ref", F.lit(True).alias("paid"))
+    return paid.unionByName(found.calls.select("entity_id", "raw_row_ref", F.lit(False).alias("paid"))).distinct()
 
 
 _FLAG = "(SELECT entity_id FROM sco WHERE risk_tier IN ('CRITICAL','HIGH'))"
@@ -862,9 +890,8 @@ def str_categories(spark, sf):
     "LEFT JOIN (SELECT entity_id, sum(i) AS i, sum(o) AS o FROM (SELECT src AS entity_id, 0 AS i, weight AS o FROM edg WHERE edge_type = 'transaction' UNION ALL SELECT dst, weight, 0 FROM edg WHERE edge_type = 'transaction') GROUP BY 1) v ON v.entity_id = m.entity_id"
 )
 def dossier(spark, sf):
-    ids = cw.members(spark, sf)
     d = reports.dossiers(
-        cw.scored(spark, sf), ids.select("entity_id").distinct(), cw.edges(spark, sf), cw.events(spark, sf), cw.firings(spark, sf), cw.evidence(spark, sf)
+        cw.scored(spark, sf), cw.entities(spark, sf), cw.edges(spark, sf), cw.events(spark, sf), cw.firings(spark, sf), cw.evidence(spark, sf)
     )
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
     return d.select(
@@ -894,9 +921,8 @@ def forensic_bundles(spark, sf):
     """Bundles written a folder per tier and read back."""
     import uuid
 
-    ids = cw.members(spark, sf)
     d = reports.dossiers(
-        cw.scored(spark, sf), ids.select("entity_id").distinct(), cw.edges(spark, sf), cw.events(spark, sf), cw.firings(spark, sf), cw.evidence(spark, sf)
+        cw.scored(spark, sf), cw.entities(spark, sf), cw.edges(spark, sf), cw.events(spark, sf), cw.firings(spark, sf), cw.evidence(spark, sf)
     )
     path = f"{work_dir(spark)}/bundles-{uuid.uuid4().hex}"
     reports.write_bundles(d, path)
@@ -909,7 +935,7 @@ def forensic_bundles(spark, sf):
 )
 def entity_trace(spark, sf):
     """Trace bundles: header, findings with evidence, raw rows; counted per finding here."""
-    ids = cw.members(spark, sf).select("entity_id").distinct()
+    ids = cw.entities(spark, sf)
     head, found, raw = reports.trace_bundle(cw.scored(spark, sf), ids, cw.firings(spark, sf), cw.evidence(spark, sf), cw.events(spark, sf))
     rows = raw.groupBy("entity_id").agg(F.count(F.lit(1)).alias("raw_rows"))
     per = found.groupBy("entity_id", "rule_id", "severity").agg(F.count("token").alias("tokens")).where("tokens > 0")

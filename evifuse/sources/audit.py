@@ -72,3 +72,12 @@ TRACE_SCHEMA = "entity_id string, severity string, explanation string, timestamp
 def read_trace(spark: SparkSession, path: str, entity_id: str | None = None) -> DataFrame:
     d = spark.read.schema(TRACE_SCHEMA).json(f"{path}/firings")
     return d if entity_id is None else d.where(F.col("entity_id") == entity_id)
+
+
+EVIDENCE_SCHEMA = "entity_id string, ord_us bigint, ord_ref bigint, pos int, token string, rule_id string"
+
+
+def read_evidence(spark: SparkSession, path: str, entity_id: str | None = None) -> DataFrame:
+    """Evidence rows of a written trace, row references included."""
+    d = spark.read.schema(EVIDENCE_SCHEMA).json(f"{path}/evidence")
+    return d if entity_id is None else d.where(F.col("entity_id") == entity_id)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evifuse.functions.fields import present
 from evifuse.functions.geo import TOWERS, event_place
 from evifuse.operators.resolution import kyc_from_flat
-from evifuse.sources.statements import header_line, list_files, match_headers, split_header  # noqa: F401
+from evifuse.sources.statements import header_line, list_files, header_fields, split_header  # noqa: F401
 
 OWNED = "struct<name:string,phones:array<string>,accounts:array<string>,vpas:array<string>,imeis:array<string>,ips:array<string>>"
 LISTS = (("phone", "phones"), ("account", "accounts"), ("vpa", "vpas"), ("imei", "imeis"), ("ip", "ips"))

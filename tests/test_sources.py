@@ -46,13 +46,16 @@ def folder(tmp_path_factory):
     return str(d)
 
 
-def test_header_detection():
-    assert statements.detect_type(["MSISDN", "PUBLIC_IP", "DEST_IP"])[0] == "ipdr"
-    assert statements.detect_type(CDR.split("\n")[0].split(","))[:2] == ("cdr", 1.0)
-    assert statements.detect_type(["S.No", "Account No", "Date", "Description", "Amount", "Type (DR/CR)", "Bal."])[0] == "bank"
-    assert statements.detect_type(["sms text"])[:2] == ("cdr", 0.5)
-    assert statements.detect_type(["colour", "shape"])[:2] == ("unknown", 0.0)
-    assert statements.match_headers(["Value Date", "Txn Date"])["date"] == "Txn Date"
+def test_header_detection(spark):
+    heads = {
+        "a": ["MSISDN", "PUBLIC_IP", "DEST_IP"], "b": CDR.split("\n")[0].split(","),
+        "c": ["S.No", "Account No", "Date", "Description", "Amount", "Type (DR/CR)", "Bal."], "d": ["sms text"], "e": ["colour", "shape"],
+    }
+    rows = [(f, c) for f, cs in heads.items() for c in cs]
+    got = {r["file"]: (r["detected_type"], r["confidence"]) for r in statements.detect_types(spark.createDataFrame(rows, "file string, column string")).collect()}
+    assert got["a"][0] == "ipdr" and got["b"] == ("cdr", 1.0) and got["c"][0] == "bank"
+    assert got["d"] == ("cdr", 0.5) and got["e"] == ("unknown", 0.0)
+    assert statements.header_fields(["Value Date", "Txn Date"])["date"] == "Txn Date"
     assert statements.split_header("a;b;c") == (";", ["a", "b", "c"])
 
 
@@ -92,7 +95,7 @@ def test_type_column_and_signed_amounts(spark):
     d = spark.createDataFrame(
         [("01/06/25 21:53:47", "500.00", "CR"), ("01/06/25 21:53:47", "500.00", "DR"), ("01/06/25 21:53:47", "-7", "CR")], "Date string, Amount string, `Type (DR/CR)` string"
     ).withColumn("source_file", F.lit("icici.csv")).withColumn("raw_row_ref", F.monotonically_increasing_id())
-    got = statements.normalise_bank(d, statements.match_headers(["Date", "Amount", "Type (DR/CR)"]))
+    got = statements.normalise_bank(d, statements.header_fields(["Date", "Amount", "Type (DR/CR)"]))
     assert sorted(r["amount"] for r in got.collect()) == [-500.0, -7.0, 500.0]
     none = statements.normalise_bank(d, {"amount": "Amount"})
     assert {r["reject_reason"] for r in none.collect()} == {"no_date_column"}
