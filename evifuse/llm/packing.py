@@ -23,7 +23,7 @@ from evifuse.session import cut
 
 CAPACITY = 4096
 # Entries of each generation of a worker's cache of word ids. Results don't depend on it.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 500_000
 # Letters whose lower case Python and the tokenizers might not agree on.
 NOT_PLAIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
 # Rows of one length that one window group may rank, on average.
@@ -229,7 +229,8 @@ def pack_documents(
     spark = docs.sparkSession
     p = cut(pieces(docs, path, capacity, end_id, id_col, text_col), "pieces")
     # At most ``capacity`` rows, whatever the size of the input.
-    counts = {r["length"]: r["n"] for r in p.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    lengths = p.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+    counts = dict(lengths.agg(F.collect_list(F.struct("length", "n"))).first()[0])
     rows, _ = plan_packing(counts, capacity)
     plan = spark.createDataFrame(
         rows, "_length bigint, _from bigint, _to bigint, _per bigint, _first bigint, _at bigint"

@@ -212,7 +212,8 @@ def fitting_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     # ``chosen`` has at most 2 * rows rows, whatever the size of the input.
     found = texts.join(F.broadcast(chosen), "_id").select("_id", "_y", "_text")
     schema = T.StructType([found.schema["_id"], T.StructField("_y", T.IntegerType()), T.StructField("x", T.BinaryType())])
-    got = found.mapInArrow(thin, schema).orderBy(F.xxhash64("_id"), "_id", "x").limit(2 * rows).collect()
+    got = found.mapInArrow(thin, schema).orderBy(F.xxhash64("_id"), "_id", "x").limit(2 * rows)
+    got = list(got.toLocalIterator())
     return [np.frombuffer(r["x"], np.uint8) for r in got], np.array([r["_y"] for r in got])
 
 
