@@ -314,23 +314,37 @@ def mention_links(texts: DataFrame, members: DataFrame, names: DataFrame, limit:
         )
     )
 
-    def groups(text, n: int):
-        # One pass over the text: a look-ahead yields the group at every position. Long
-        # groups hardly repeat inside a text, so only the short ones are made distinct.
-        every = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-        return every if n >= 8 else F.array_distinct(every)
-
+    def all_of(text, pattern: str) -> Column:
+        return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+
+    # A phrase is looked for by one part of it that every text with the phrase must have: what stands around
+    # an @, else a whole word inside the phrase, and only without either a group of characters, for
+    # which every position of the texts has to be looked at.
+    phrase, size = F.col("phrase"), F.length("phrase")
+    word = r"[\p{L}\p{N}]"
+    far, near = r"(?s)(?=([^@]{3}@[^@]{3}))", r"(?s)(?=(.@.))"
+    inner = rf"(?<=(?!{word})(?s:.))({word}+)(?=(?!{word})(?s:.))"
+    has_far, has_near, has_inner = (F.size(all_of(phrase, x)) > 0 for x in (far, near, inner))
+    ways = [
+        (has_far, far, far),
+        (~has_far & has_near, near, near),
+        (~has_near & has_inner, inner, rf"({word}+)"),
+        *[
+            (~has_near & ~has_inner & sized, f"(?s)(?=(.{{{n}}}))", f"(?s)(?=(.{{{n}}}))")
+            for n, sized in ((1, size < 3), (3, size == 3), (4, (size >= 4) & (size < 8)), (8, size >= 8))
+        ],
+    ]
     maybes = []
-    size = F.length("phrase")
-    for n, which in ((1, size < 3), (3, size == 3), (4, (size >= 4) & (size < 8)), (8, size >= 8)):
+    for which, of_phrase, of_text in ways:
         parts = phrases.where(which).select("phrase").distinct()
-        parts = parts.select("phrase", F.explode(F.array_distinct(groups(F.col("phrase"), n))).alias("part"))
+        parts = parts.select("phrase", F.explode(F.array_distinct(all_of(phrase, of_phrase))).alias("part"))
         shared = parts.groupBy("part").agg(F.count(F.lit(1)).alias("_n"))
-        anchor = parts.join(shared, "part").groupBy("phrase").agg(F.min_by("part", F.struct("_n", "part")).alias("part"))
+        rarest = F.struct("_n", (-F.length("part")).alias("l"), "part")
+        anchor = parts.join(shared, "part").groupBy("phrase").agg(F.min_by("part", rarest).alias("part"))
         # Written first, so its size is known when Spark picks the join with the texts.
         anchor = cut(anchor, "anchors")
         if not anchor.isEmpty():
-            inside = texts.select("text_id", F.explode(groups(lowered, n)).alias("part"))
+            inside = texts.select("text_id", F.explode(F.array_distinct(all_of(lowered, of_text))).alias("part"))
             maybes.append(inside.join(anchor, "part").select("text_id", "phrase"))
     if not maybes:
         maybes.append(texts.select("text_id", F.lit("").alias("phrase")).limit(0))
