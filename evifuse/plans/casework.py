@@ -113,9 +113,17 @@ def enriched(spark: SparkSession, sf: str) -> DataFrame:
 _written: dict[tuple, DataFrame] = {}
 
 
+def _run_of(spark: SparkSession, sf: str) -> tuple:
+    """What a run's written tables belong to: the application and the events as they are now."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/events.parquet")
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    files = sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in status)
+    return (spark.sparkContext.applicationId, *files)
+
+
 def _once(spark: SparkSession, sf: str, name: str, make) -> DataFrame:
-    """Result table of a run, written the first time a query of this session needs it."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    """Result table of a run, written the first time a query of the run needs it."""
+    key = (_run_of(spark, sf), name)
     if key not in _written:
         _written[key] = cut(make(), name)
     return _written[key]
@@ -132,7 +140,7 @@ _runs: dict[tuple, rules.Found] = {}
 
 def _found(spark: SparkSession, sf: str) -> rules.Found:
     """All rules over the event table, each rule's hits written once."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = _run_of(spark, sf)
     if key not in _runs:
         e = cut(events(spark, sf), "events", by="event_type")
         ids, owners = cut_all(members(spark, sf), id_map(spark, sf))
