@@ -77,25 +77,27 @@ def _worker_lengths(path: str, frequent: dict[str, int]) -> PieceLengths:
 
 
 def frequent_lengths(texts: DataFrame, path: str, sample_rows: int, entries: int) -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens of ``sample_rows`` rows, ``entries`` at most.
+    """Lengths of ``entries`` frequent pre-tokens, from the first ``sample_rows`` rows of as many partitions as
+    it takes to find them; mostly one.
 
     Only the speed depends on this table, so a bounded sample is enough.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
+        rows = 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(pretokens(t or ""))
+            for t in b.column(0).slice(0, sample_rows - rows):
+                seen.update(pretokens(t.as_py() or ""))
                 if len(seen) > 50 * entries:
                     seen = Counter(dict(seen.most_common(entries)))
+            rows += b.num_rows
+            if rows >= sample_rows:
+                break
         top = seen.most_common(entries)
         yield pa.RecordBatch.from_pydict({"key": [k for k, _ in top], "n": [n for _, n in top]}, schema=pa.schema([("key", pa.string()), ("n", pa.int64())]))
 
-    top = (
-        texts.limit(sample_rows).mapInArrow(count, "key string, n bigint")
-        .groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(entries).collect()
-    )
+    top = texts.mapInArrow(count, "key string, n bigint").take(entries)
     lengths = PieceLengths(path, {})
     return {r["key"]: lengths[r["key"]] for r in top}
 
