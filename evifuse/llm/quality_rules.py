@@ -130,9 +130,13 @@ def quality_rules(
     """
     ids = trusted.select(F.col(trusted.columns[0]).alias("_id")).where("_id is not null").distinct()
     ratios = log_ratios(docs, ids, buckets, id_col, text_col)
-    b, r = fresh(docs, "_buckets", "_ratios")
-    d = document_rules(docs, text_col)
-    d = d.withColumn(b, gram_buckets(text_of(text_col), buckets)).withColumn(r, ratios.scalar())
-    total = F.aggregate(F.col(b), F.lit(0.0), lambda acc, x: acc + F.get(F.col(r), x))
-    d = d.withColumn("target_ratio", F.when(F.size(b) > 0, total / F.size(b)).otherwise(F.lit(0.0))).drop(b, r)
+    (r,) = fresh(docs, "_ratios")
+    d = document_rules(docs, text_col).withColumn(r, ratios.scalar())
+
+    def mean(b: Column) -> Column:
+        total = F.aggregate(b, F.lit(0.0), lambda acc, x: acc + F.get(F.col(r), x))
+        return F.when(F.size(b) > 0, total / F.size(b)).otherwise(F.lit(0.0))
+
+    # Bound once: a filter on ``kept`` would else compute the n-grams for each mention of them.
+    d = d.withColumn("target_ratio", let(gram_buckets(text_of(text_col), buckets), mean)).drop(r)
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("target_ratio") >= threshold))
