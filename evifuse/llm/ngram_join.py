@@ -124,20 +124,21 @@ def roots(links: np.ndarray, names: np.ndarray) -> np.ndarray:
     return out
 
 
-def verify_group(keys: np.ndarray, blocks: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(root, links) of each member: members of one block are compared with each other, those of two
-    blocks across only. Links count the copies of a linked member."""
+def verify_group(
+    keys: np.ndarray, blocks: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], threshold: float, lo: int, hi: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """(root, links) of each member of blocks ``lo`` and ``hi``: if they are one block its members are compared with
+    each other, else across only, and an empty block gives no links. Links count the copies of a linked member."""
     n = len(keys)
     links = np.zeros((n, n), bool)
-    first = np.flatnonzero(blocks == blocks.min())
-    second = np.flatnonzero(blocks != blocks.min())
-    if len(second):
+    first, second = np.flatnonzero(blocks == lo), np.flatnonzero(blocks == hi)
+    if lo == hi:
+        links = linked(sets, sets, threshold)
+        np.fill_diagonal(links, False)
+    elif len(first) and len(second):
         m = linked([sets[i] for i in first], [sets[i] for i in second], threshold)
         links[np.ix_(first, second)] = m
         links[np.ix_(second, first)] = m.T
-    else:
-        links = linked(sets, sets, threshold)
-        np.fill_diagonal(links, False)
     return roots(links, keys), links @ copies
 
 
@@ -153,7 +154,7 @@ def verified(groups: DataFrame, size: int, threshold: float) -> DataFrame:
             _, pick = np.unique(t["k2"].to_numpy() ^ (t["k1"].to_numpy() << 1), return_index=True)  # one row per node
             t = t.take(pa.array(np.sort(pick)))
             k1 = t["k1"].to_numpy()
-            root, links = verify_group(k1, t["block"].to_numpy(), t["copies"].to_numpy(), shingle_sets(t["_text"].combine_chunks(), size), threshold)
+            root, links = verify_group(k1, t["block"].to_numpy(), t["copies"].to_numpy(), shingle_sets(t["_text"].combine_chunks(), size), threshold, *key[1:])
             return pa.RecordBatch.from_arrays([pa.array(k1), t["k2"].combine_chunks(), pa.array(root), pa.array(links.astype(np.int64))], names=["k1", "k2", "root", "links"])
 
         for b in batches:

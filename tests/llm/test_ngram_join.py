@@ -67,6 +67,16 @@ def test_a_large_group_in_several_blocks(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_blocks_without_members(spark, monkeypatch):
+    monkeypatch.setattr(j, "BLOCK_SHINGLES", 20)
+    rng = random.Random(6)
+    rows = []
+    for g in range(8):
+        base = [f"g{g}w{i}" for i in range(120)]
+        rows += [(10 * g + i, edited(base, i % 3, rng)) for i in range(2 + g % 4)]
+    check(spark, rows)
+
+
 def test_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "one "), (6, "two words"), (7, "two  words"), (8, long), (9, long + " more"), (10, "a b c d e"), (11, "a b c d f")]
