@@ -1,7 +1,7 @@
 """Multi-party dialogues from every participant's point of view, with DataFrame functions only."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evifuse.session import cut
@@ -9,6 +9,8 @@ from evifuse.session import cut
 # Turns of one rendered row; a longer dialogue goes on in the next part.
 PART_TURNS = 1_000
 SETTINGS = ("system",)
+# Characters of a text by which rows with one turn and role are ordered across parts.
+SORT_CHARS = 1_000
 START, END = "<|start|>", "<|end|>"
 
 
@@ -17,6 +19,20 @@ def plain(text: Column) -> Column:
     return F.replace(text, F.lit("<|"), F.lit("< |"))
 
 
+def parts_by_rank(t: DataFrame, part_turns: int) -> DataFrame:
+    """``t`` with ``part`` from the row's rank in its dialogue. Rows are dealt by ranges, repeated ones too, and the
+    ranges of a dialogue carry their counts forward, so no window group is longer than a range."""
+    order = ["turn", "role", F.substring("text", 1, SORT_CHARS), F.xxhash64("text"), "_row"]
+    dealt = t.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange("conv_id", *order)
+    dealt = cut(dealt.withColumn("_range", F.spark_partition_id()), "chat-ranges")
+    earlier = Window.partitionBy("conv_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy("conv_id", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = before.select(F.col("conv_id").alias("_conv"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    ranked = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("conv_id", "_range").orderBy(*order)))
+    ranked = ranked.join(cut(before, "chat-before"), ranked["conv_id"].eqNullSafe(F.col("_conv")) & (F.col("_range") == F.col("_r")))
+    return ranked.withColumn("part", F.floor((F.col("_before") + F.col("_k") - 1) / part_turns).cast("bigint")).select(*t.columns)
+
+
 def rotate_perspectives(
     turns: DataFrame, settings: tuple[str, ...] = SETTINGS, part_turns: int = PART_TURNS,
     conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
@@ -27,10 +43,12 @@ def rotate_perspectives(
     with its own turns as ``assistant``, the turns of others as ``user:<name>`` and settings under their own
     name. ``spans`` marks what is learned: start and length, in characters of ``text``, of the participant's own
     contents with their end markers. A part holds the turns whose number divided by ``part_turns`` has one
-    whole value, so a dialogue of any length has rows of bounded size; most have only part 0.
+    whole value (a null turn is in part -1); most dialogues have only part 0. Where turn numbers would put more than
+    ``part_turns`` rows into one part (equal or null turns), all of that dialogue is cut by the rank of its rows instead,
+    from part 0, so no part ever has more rows. There the SQL, which knows turn numbers only, differs.
 
-    Turns are ordered by turn, role and text, nulls first (a null turn is in part -1); repeated rows are repeated
-    turns. A null text is empty. A null role speaks as ``user:unknown`` and is no participant. Rows with a null
+    Turns are ordered by turn, role and text, nulls first; across parts cut by rank, texts of one turn and role that
+    share their first 1,000 characters come in the order of a hash. Repeated rows are repeated turns. A null text is empty. A null role speaks as ``user:unknown`` and is no participant. Rows with a null
     conv_id are one dialogue. A dialogue without participants gives no row, other columns are ignored.
     """
     turn = F.col(turn_col).cast("bigint")
@@ -39,6 +57,10 @@ def rotate_perspectives(
         turn.alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"),
     )
     speakers = t.where(F.col("role").isNotNull() & ~F.col("role").isin(*settings)).select(F.col("conv_id").alias("_conv"), F.col("role").alias("speaker")).distinct()
+    crowded = t.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_turns)
+    crowded = cut(crowded.select(F.col("conv_id").alias("_conv")).distinct(), "chat-crowded")
+    is_crowded = t["conv_id"].eqNullSafe(crowded["_conv"])
+    t = t.join(crowded, is_crowded, "left_anti").unionByName(parts_by_rank(t.join(crowded, is_crowded, "left_semi"), part_turns))
     parts = t.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("_turns"))
     # Written first, so that both sides of the join are plain tables and a hot dialogue can be split.
     parts, speakers = cut(parts, "chat-parts"), cut(speakers, "chat-speakers")

@@ -82,3 +82,21 @@ def test_every_participant_has_its_view(spark):
             assert text.count("<|start|>assistant\n") == len(want) and text.count("<|start|>system\n") == 1 and "user:unknown" in text
             assert all(r["n_chars"] == len(r["text"]) for r in mine)
     assert chat.rotate_perspectives(df.limit(0)).count() == 0
+
+
+def test_parts_are_bounded_whatever_the_turns(spark):
+    turns = [("equal", 3, "ann", f"t{i:04}") for i in range(250)] + [("null", None, "ann", f"t{i:04}") for i in range(120)]
+    turns += [(None, i % 5, "ann", f"t{i:04}") for i in range(230)] + [("same", 1, "ann", "again")] * 130
+    turns += [("plain", i, "ann", f"t{i:04}") for i in range(90, 110)] + [("plain", None, "ann", "t")]
+    rows = chat.rotate_perspectives(spark.createDataFrame(turns, "conv_id string, turn int, role string, text string"), part_turns=100).collect()
+    sizes = {}
+    for r in sorted(rows, key=lambda r: r["part"]):
+        sizes.setdefault(r["conv_id"], []).append((r["part"], r["n_turns"]))
+    assert sizes == {
+        "equal": [(0, 100), (1, 100), (2, 50)], "null": [(0, 100), (1, 20)], None: [(0, 100), (1, 100), (2, 30)], "same": [(0, 100), (1, 30)],
+        "plain": [(-1, 1), (0, 10), (1, 10)],
+    }
+    for conv in ("equal", "null", None):
+        text = "".join(r["text"] for r in sorted(rows, key=lambda r: r["part"]) if r["conv_id"] == conv)
+        want = [x for c, t, _, x in sorted(turns, key=lambda r: (r[1] or 0, r[3])) if c == conv]
+        assert [x.split("<|end|>")[0] for x in text.split("<|start|>assistant\n")[1:]] == want
