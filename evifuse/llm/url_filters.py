@@ -107,13 +107,15 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> Data
 
 def filter_urls(
     pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]] = RULES, max_bad: float = MAX_BAD, z: float = Z,
-    id_col: str = "page_id", url_col: str = "url",
+    id_col: str = "page_id", url_col: str = "url", margin: float | None = None,
 ) -> DataFrame:
     """One row per page: the id, ``host``, ``path``, ``rule``, ``verdict``, ``bad_bound``.
 
     ``outcomes`` has an id column named as the pages' and ``bad`` (0, 1, or null: not labelled); several
     rows of one id count as one, bad if any is. The verdict is the longest fitting rule's, else block
-    if the host's posterior bound is above ``max_bad``, a tie allows. A null url or one without ``://`` has an empty
+    if the host's posterior bound is above ``max_bad``, a tie allows. That fixed limit is what the SQL states; where the
+    corpus share of bad labels lies above it, hosts that differ from nobody are blocked, too. With a ``margin`` the limit
+    is the corpus share plus ``margin`` instead. A null url or one without ``://`` has an empty
     host and path; such pages share the reputation of the empty host. Repeated pages give a row each,
     pages with a null id are unlabelled, other columns are ignored, no pages give no rows.
     """
@@ -121,10 +123,12 @@ def filter_urls(
     p = pages.select(F.col(id_col).alias("page_id"), url_host(u).alias("host"), url_path(u).alias("path"))
     o = outcomes.select(F.col(id_col).alias("page_id"), F.col("bad").cast("int").alias("bad")).where("page_id is not null and bad is not null")
     o = o.groupBy("page_id").agg(F.max("bad").alias("bad"))
-    rep = host_reputation(p.select("page_id", "host"), o, z).select("host", "bad_bound")
+    rep = host_reputation(p.select("page_id", "host"), o, z)
+    limit = F.lit(max_bad) if margin is None else rep.agg(share(F.sum("bad"), F.sum("labelled")).alias("share")).scalar() + margin
+    rep = rep.select("host", "bad_bound")
     rule, action = matched_rule(F.col("host"), F.col("path"), rules)
     out = p.join(rep.hint("merge"), "host", "left")
-    verdict = F.coalesce(action, F.when(F.col("bad_bound") > max_bad, "block").otherwise("allow"))
+    verdict = F.coalesce(action, F.when(F.col("bad_bound") > limit, "block").otherwise("allow"))
     return out.select(F.col("page_id").alias(id_col), "host", "path", rule.alias("rule"), verdict.alias("verdict"), "bad_bound")
 
 

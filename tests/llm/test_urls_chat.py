@@ -56,6 +56,17 @@ def test_reputation_shrinks_and_blocks(spark):
     assert got[60]["bad_bound"] < got[121]["bad_bound"] < got[0]["bad_bound"]
 
 
+def test_hosts_at_the_base_rate_stay_with_a_margin(spark):
+    # 40 hosts with 10 bad pages of 40 each, and one with 38 bad.
+    urls = [f"https://h{i % 40}.d{i % 40}.org/{i}" for i in range(1600)] + [f"https://bad.bad.org/{i}" for i in range(40)]
+    outcomes = spark.createDataFrame([(i, int(i // 40 < 10)) for i in range(1600)] + [(1600 + i, int(i < 38)) for i in range(40)], "page_id bigint, bad int")
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = url_filters.filter_urls(pages, outcomes, margin=0.0).collect()
+    assert {r["host"] for r in got if r["verdict"] == "block"} == {"bad.bad.org"}
+    even = url_filters.filter_urls(pages.where("page_id < 1600"), outcomes, margin=0.0).collect()
+    assert len(even) == 1600 and {r["verdict"] for r in even} == {"allow"}
+
+
 def test_url_tables_that_are_empty_or_odd(spark):
     pages = spark.createDataFrame([(1, "https://a.org/"), (1, "https://a.org/"), (None, "https://a.org/")], "page_id bigint, url string").selectExpr("*", "'x' as host", "2 as bad")
     outcomes = spark.createDataFrame([(1, 1)], "page_id bigint, bad int")
