@@ -45,6 +45,12 @@ def test_token_count_query(spark, sf):
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(d["text"].encode()), n, n > 4096)
 
 
+def test_frequent_pretokens_come_from_all_partitions(spark):
+    rows = [(f"first{i} first{i}",) for i in range(60)] + [("common words",)] * 180
+    texts = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "text string")
+    assert set(tokens.frequent_lengths(texts, PIECES, 2)) == {"common", "words"}
+
+
 def test_token_counts_of_odd_rows(spark):
     rows = [(None, "a b", 1), (1, None, 2), (2, "", 3), (3, "x", 4), (3, "x", 4), (4, "w " * 100_000, 5)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, n_tokens int")
