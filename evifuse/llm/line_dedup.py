@@ -1,10 +1,11 @@
-"""Removal of repeated line runs by winnowing, with DataFrame functions only.
+"""Removal of repeated line runs by hashes of whole windows, with DataFrame functions only.
 
 Lines are hashed. A window is a shortest run of lines that holds ``min_words`` words, counted
 forwards from a line or backwards from it; its smallest line hash is its fingerprint. Every
 repeated run of at least ``min_words`` words holds whole windows, so its copies share a fingerprint,
-whatever surrounds them. Positions whose fingerprint occurs elsewhere are joined; around them
-the match is extended both ways over the windows they lie in, which are compared as a whole.
+whatever surrounds them. Both windows of every line are written, not only selected minima. Those whose fingerprint
+occurs elsewhere are grouped by the hash of the whole window; positions are not joined and no match is extended.
+The fingerprint only leaves out windows that cannot repeat; results do not depend on it.
 A line is deleted if a window that covers it has an earlier copy, which is the case for exactly
 the lines of later runs of that many words. Every side of a join grows with the input, so none may
 be broadcast.
