@@ -1,6 +1,6 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Learned filters slide over the bytes of a text. Their responses are max-pooled within overlapping chunks
+Learned filters slide over the bytes of a text in steps of ``STRIDE``. Their responses are max-pooled within overlapping chunks
 that cover the whole text; the chunks' vectors are combined by mean and maximum, and a small dense
 layer turns them into one probability. Fitting runs on a bounded sample of labelled rows,
 scoring on every whole text inside tasks.
