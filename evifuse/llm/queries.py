@@ -3,11 +3,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evifuse.llm import chat, decontaminate, line_dedup, ngram_join, quality_model, quality_rules, token_matrix, url_filters
+from evifuse.llm import (
+    chat, decontaminate, fill_middle, importance, line_dedup, ngram_join, quality_model, quality_rules, simhash_links, token_matrix, url_filters,
+)
 from evifuse.llm.common import table, tokenizer_path
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op4_url_filters": url_filters.ORACLE, "op5_chat_perspectives": chat.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": line_dedup.ORACLE,
+    "op4_url_filters": url_filters.ORACLE,
+    "op5_chat_perspectives": chat.ORACLE,
+    "op11_fill_in_middle": fill_middle.ORACLE,
+    "op12_importance_resampling": importance.ORACLE,
+}
 
 
 def query(fn):
@@ -86,3 +94,22 @@ def op10_token_counts(spark, sf):
     from evifuse.llm.tokens import token_counts
 
     return token_counts(table(spark, sf, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query
+def op11_fill_in_middle(spark, sf):
+    out = fill_middle.fill_middle(table(spark, sf, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    )
+
+
+@query
+def op12_importance_resampling(spark, sf):
+    return importance.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op13_simhash_near_dedup(spark, sf):
+    return simhash_links.simhash_components(table(spark, sf, "documents"))
