@@ -1,6 +1,8 @@
 """Column expressions that clean raw text fields into typed values."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,6 +41,11 @@ RARE_LAYOUTS = [
 ]
 
 
+def layout_shape(layout: str) -> str:
+    """A date layout with every number as 9 and every name as a, as the shape of a text shows them."""
+    return re.sub("[dMyHhms]+", "9", re.sub("M{3,}|a", "#", layout)).replace("#", "a")
+
+
 def present(c: Column) -> Column:
     """Trimmed text, or null when the text only says that a value is missing."""
     t = F.trim(c.cast("string"))
@@ -71,8 +78,22 @@ def moment(c: Column) -> Column:
         return F.when(x.rlike(r"^\d{1,2}-[A-Za-z]{3}-(\d{4}|\d{2})$"), rewritten(y, DAY_FIRST))
 
     def read(x: Column) -> Column:
-        rare = [F.try_to_timestamp(x, F.lit(layout)) for layout in RARE_LAYOUTS]
-        return F.coalesce(rewritten(x, DAY_FIRST), named(x), rewritten(x, MONTH_FIRST), x.try_cast("timestamp"), *rare)
+        return F.coalesce(rewritten(x, DAY_FIRST), named(x), rewritten(x, MONTH_FIRST), x.try_cast("timestamp"), rare(x))
+
+    def rare(x: Column) -> Column:
+        """Only the layouts of the text's own shape are tried, so junk costs one lookup."""
+        shape = F.regexp_replace(F.regexp_replace(x, "[0-9]+", "9"), "[A-Za-z]+", "a")
+        by_shape: dict[str, list[Column]] = {}
+        for layout in RARE_LAYOUTS:
+            by_shape.setdefault(layout_shape(layout), []).append(F.try_to_timestamp(x, F.lit(layout)))
+
+        def read_as(key: Column) -> Column:
+            out = F.lit(None).cast("timestamp")
+            for name, parsers in by_shape.items():
+                out = F.when(key == name, F.coalesce(*parsers)).otherwise(out)
+            return out
+
+        return F.transform(F.array(shape), read_as)[0]
 
     return F.transform(F.array(present(c)), read)[0].cast("timestamp_ntz")
 

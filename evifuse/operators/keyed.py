@@ -2,15 +2,18 @@
 
 Two tools cover every rule of this library:
 
-* a *bounded* question ("within W of t") cuts each key's time into slices, and rows
-  near a slice edge are copied into the neighbour slice. No window group is longer
-  than a slice.
-* an *unbounded* question ("the last value before t") keeps cold keys in one
-  window group and cuts the hot keys, however many, into slices; what earlier slices leave
-  behind is aggregated per slice first and then carried forward. A null key is a key like any other.
+* ``latest`` answers unbounded questions ("the last value at or before t", "the next one after", "how many so far"). Cold
+  keys are one window group each. The rows of hot keys, however many, are dealt by range of (key, order) into slices of
+  about equal size, ties included; what a slice leaves behind is one small row, carried over the slices after it.
+* ``into_slices`` answers *bounded* questions ("within W of t") by cutting time into slices and copying the rows near a slice
+  edge into the neighbour slice.
+
+A null key is a key like any other.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,75 +22,103 @@ from evifuse.session import cut
 HOUR = 3_600_000_000
 MINUTE = 60_000_000
 
-# A key with more rows than this is cut into slices.
+# A key with more rows than this is cut into slices of about so many.
 HOT_ROWS = 2_000_000
+SLICE_ROWS = 500_000
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> DataFrame:
-    """All keys with more than ``min_rows`` rows."""
-    return (
-        df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > min_rows)
-        .select(F.col(key).alias("_hot_key"), F.lit(True).alias("_hot"))
-    )
+def same_keys(keys: list[str], prefix: str = "_k_") -> Column:
+    """Null-safe equality of ``keys`` with the columns of the same name and prefix."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys])
 
 
-def mark_slices(df: DataFrame, key: str, us: str, slice_us: int, min_rows: int = HOT_ROWS) -> DataFrame:
-    """Add ``_slice``: the time slice for hot keys, null for all others."""
-    # Written first: its size is then known, and the join can split a hot key's rows.
-    hot = cut(hot_keys(df, key, min_rows), "hot-keys")
-    return (
-        df.join(hot, F.col(key).eqNullSafe(F.col("_hot_key")), "left")
-        .withColumn("_slice", F.when(F.col("_hot"), F.floor(F.col(us) / slice_us)))
-        .drop("_hot", "_hot_key")
-    )
+def split_hot(
+    df: DataFrame, keys: list[str], order: list[str], min_rows: int = HOT_ROWS, slice_rows: int = SLICE_ROWS
+) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of cold keys, rows of hot keys with ``_slice``); None where no key has more than ``min_rows`` rows.
+
+    Slices are ranges of (keys, order), written once, so that no slice is much larger than ``slice_rows`` whatever
+    the order's values.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_hot")).where(F.col("_hot") > min_rows)
+    hot = cut(counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_hot"), "hot-keys")
+    total = hot.agg(F.sum("_hot")).first()[0]
+    if not total:
+        return df, None
+    marked = df.join(hot, same_keys(keys), "left").drop(*[f"_k_{k}" for k in keys])
+    dealt = marked.where("_hot is not null").drop("_hot").repartitionByRange(max(1, -(-total // slice_rows)), *keys, *order)
+    return marked.where("_hot is null").drop("_hot"), cut(dealt.withColumn("_slice", F.spark_partition_id()), "slices")
 
 
-def last_before(
+def latest(
     df: DataFrame,
-    key: str,
+    keys: list[str],
     order: list[str],
-    values: dict[str, Column],
-    slice_us: int = HOUR,
+    back: dict[str, Column] | None = None,
+    ahead: dict[str, Column] | None = None,
+    counts: dict[str, Column] | None = None,
+    strict: bool = False,
     min_rows: int = HOT_ROWS,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """For each row, the last non-null of each value among the key's earlier rows.
+    """Running values of each row's key, in ascending ``order``, as columns with the given names.
 
-    ``order`` starts with a microsecond column and must be unique within the key.
+    ``back``: the last non-null value up to the row, ``ahead``: the first one from the row on, ``counts``: the number of non-null
+    values up to the row. With ``strict`` the row itself is left out.
     """
-    us = order[0]
+    back, ahead, counts = back or {}, ahead or {}, counts or {}
     d = df
-    for name, value in values.items():
+    for name, value in {**back, **ahead, **counts}.items():
         d = d.withColumn(f"_v_{name}", value)
-    d = mark_slices(d, key, us, slice_us, min_rows)
-    w = (
-        Window.partitionBy(key, "_slice")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    # What the slices of a hot key leave behind: one small row per slice.
-    ends = (
-        d.where("_slice is not null")
-        .groupBy(key, "_slice")
-        .agg(
-            *[
-                F.max_by(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), F.struct(*order))).alias(f"_e_{n}")
-                for n in values
-            ]
+    near = -1 if strict else 0
+
+    def running(frame: DataFrame, group: list[str]) -> DataFrame:
+        asc = Window.partitionBy(*group).orderBy(*map(F.asc, order)).rowsBetween(Window.unboundedPreceding, near)
+        desc = Window.partitionBy(*group).orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, near)
+        return frame.select(
+            "*",
+            *[F.last(f"_v_{n}", ignorenulls=True).over(asc).alias(f"_l_{n}") for n in back],
+            *[F.count(f"_v_{n}").over(asc).alias(f"_l_{n}") for n in counts],
+            *[F.last(f"_v_{n}", ignorenulls=True).over(desc).alias(f"_l_{n}") for n in ahead],
         )
+
+    names = [*back, *ahead, *counts]
+    cold, hot = split_hot(d, keys, order, min_rows, slice_rows)
+    plain = running(cold, keys).select(*df.columns, *[F.col(f"_l_{n}").alias(n) for n in names])
+    if hot is None:
+        return plain
+    place = F.struct(*order)
+    at = lambda n: F.when(F.col(f"_v_{n}").isNotNull(), place)
+    ends = hot.groupBy(*keys, "_slice").agg(
+        *[F.max_by(f"_v_{n}", at(n)).alias(f"_e_{n}") for n in back],
+        *[F.min_by(f"_v_{n}", at(n)).alias(f"_e_{n}") for n in ahead],
+        *[F.count(f"_v_{n}").alias(f"_e_{n}") for n in counts],
     )
-    back = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select(
-        F.col(key).alias("_ck"), F.col("_slice").alias("_cs"),
-        *[F.last(f"_e_{n}", ignorenulls=True).over(back).alias(f"_c_{n}") for n in values],
+    # One row per slice; a key has as many as its rows fill.
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = cut(
+        ends.select(
+            *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slice").alias("_k__slice"),
+            *[F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in back],
+            *[F.last(f"_e_{n}", ignorenulls=True).over(after).alias(f"_c_{n}") for n in ahead],
+            *[F.coalesce(F.sum(f"_e_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in counts],
+        ),
+        "carry",
     )
-    out = d.select(
-        "*", *[F.last(f"_v_{n}", ignorenulls=True).over(w).alias(f"_l_{n}") for n in values]
-    ).join(carry, F.col(key).eqNullSafe(F.col("_ck")) & (F.col("_slice") == F.col("_cs")), "left")
-    for n in values:
-        out = out.withColumn(n, F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")))
-    return out.select(*df.columns, *values)
+    whole = running(hot, [*keys, "_slice"]).join(carry, same_keys([*keys, "_slice"]), "left")
+    return plain.unionByName(whole.select(
+        *df.columns,
+        *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in (*back, *ahead)],
+        *[(F.col(f"_l_{n}") + F.col(f"_c_{n}")).alias(n) for n in counts],
+    ))
+
+
+def last_before(
+    df: DataFrame, key: str, order: list[str], values: dict[str, Column], min_rows: int = HOT_ROWS, slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """For each row, the last non-null of each value among the key's earlier rows; ``order`` is unique within the key."""
+    return latest(df, [key], order, back=values, strict=True, min_rows=min_rows, slice_rows=slice_rows)
 
 
 def into_slices(df: DataFrame, first_us: Column, last_us: Column, slice_us: int) -> DataFrame:

@@ -6,8 +6,10 @@ entity are only built for display, with a fixed length.
 """
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ from evifuse.session import at_once, cut
 
 # Order in which the kinds of identifier are listed.
 ID_TYPES = ("phone", "account", "vpa", "imei", "ip")
+# Edges that a task connects at once.
+LOCAL_EDGES = 2_000_000
+# (characters of a group, groups of a window), widest first: a grid serves phrases of their sum less one and more.
+GRIDS = ((6, 11), (4, 5), (4, 1), (3, 1), (2, 1), (1, 1))
+SAMPLE_CHARS = 1 << 20
 
 
 def kyc_from_events(bank: DataFrame, cdr: DataFrame, ipdr: DataFrame) -> DataFrame:
@@ -109,16 +116,56 @@ def ownership_edges(kyc: DataFrame) -> DataFrame:
     )
 
 
+def spanning_links(u: pa.Array, v: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """A star of links (member, centre) for every group of values that the pairs (u, v) connect."""
+    names = pa.chunked_array([u, v]).combine_chunks().dictionary_encode()
+    code = names.indices.to_numpy()
+    a, b = code[:len(u)], code[len(u):]
+    root = np.arange(len(names.dictionary))
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root != root[root]).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    member = np.flatnonzero(root != np.arange(len(root)))
+    return names.dictionary.take(pa.array(member)), names.dictionary.take(pa.array(root[member]))
+
+
+def local_links(edges: DataFrame) -> DataFrame:
+    """``edges`` (u, v) with what each partition connects drawn as stars, block by block of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def settle() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            found = spanning_links(*(t.column(c).combine_chunks() for c in range(2)))
+            return pa.RecordBatch.from_arrays(list(found), names=["u", "v"])
+
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= LOCAL_EDGES:
+                yield settle()
+                held = []
+        if held:
+            yield settle()
+
+    return edges.select("u", "v").mapInArrow(run, edges.select("u", "v").schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components: (identifier, component), named by the smallest member.
 
-    Alternates two steps until neither changes an edge; then only stars are left. Large step: a node
+    First each task connects what its own edges connect, so only stars of representatives are joined. Then alternates two steps until neither changes an edge; then only stars are left. Large step: a node
     links its larger neighbours to its smallest neighbour. Small step: it links its smaller
     ones. The minima combine map-side and are written before they are joined back: the join then
     reads plain tables, and adaptive execution can split a hub's edges over many tasks. Changes are counted
     by the jobs that write the steps.
     """
-    e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v")
+    e = local_links(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v"))
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
 
     def step(found: DataFrame, changed: Column) -> tuple[DataFrame, int]:
@@ -271,13 +318,59 @@ def lookup_entities(wanted: DataFrame, members: DataFrame) -> DataFrame:
     return wanted.join(ids.distinct(), "key", "left")
 
 
+def sampled_groups(text: str, size: int, window: int) -> np.ndarray:
+    """Hashes of the groups of ``size`` characters that are smallest in some run of ``window`` consecutive groups."""
+    if len(text) < size + window - 1:
+        return np.zeros(0, np.uint64)
+    out = []
+    step = SAMPLE_CHARS
+    for at in range(0, len(text) - size - window + 2, step):
+        codes = np.frombuffer(text[at:at + step + size + window - 2].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = len(codes) - size + 1
+        h = np.full(n, 0x9E3779B97F4A7C15 + size, np.uint64)
+        for k in range(size):
+            h = (h ^ codes[k:k + n]) * np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+        low = h[:n - window + 1].copy()
+        for k in range(1, window):
+            np.minimum(low, h[k:k + n - window + 1], out=low)
+        out.append(np.unique(low))
+    return np.unique(np.concatenate(out))
+
+
+def anchors(rows: DataFrame, key: str, grids: list[int] | None = None) -> DataFrame:
+    """(key, grid, anchor): sampled character groups of the second column of ``rows``.
+
+    A phrase, when ``grids`` is None, is sampled on the widest grid that it is long enough for, a text on each of the given
+    ones. A text that holds the phrase holds its windows of that grid whole, so it has the phrase's samples, too.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owner, grid, found = [], [], []
+            for n, text in enumerate(b.column(1).to_pylist()):
+                fits = [g for g, (size, window) in enumerate(GRIDS) if len(text or "") >= size + window - 1]
+                for g in fits[:1] if grids is None else sorted(set(fits) & set(grids)):
+                    h = sampled_groups(text, *GRIDS[g])
+                    owner.append(np.full(len(h), n))
+                    grid.append(np.full(len(h), g, np.int32))
+                    found.append(h.view(np.int64))
+            if owner:
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(grid)), pa.array(np.concatenate(found))], names=[key, "grid", "anchor"]
+                )
+
+    kind = rows.schema[0].dataType.simpleString()
+    return rows.mapInArrow(run, f"{key} {kind}, grid int, anchor bigint")
+
+
 def mention_links(texts: DataFrame, members: DataFrame, names: DataFrame, limit: int = 3) -> DataFrame:
     """Entities that a text is about: (text_id, entity_id, how), the first ``limit`` per text.
 
     ``texts`` (text_id, text), ``names`` (entity_id, name). Ids and digit runs are equality
-    joins. Names and handles are found inside the text through one letter group each:
-    the group of the name that the fewest other names share is looked up among the
-    distinct groups of the whole text, and the hit is then confirmed on the text.
+    joins. Names and handles are found inside the text through one sampled group of characters
+    each (``GRIDS``): the sample of the name that the fewest other names share is looked up among the
+    samples of the whole text, and the hit is then confirmed on the text.
     """
     lowered = F.lower("text")
     found = texts.select(
@@ -314,43 +407,18 @@ def mention_links(texts: DataFrame, members: DataFrame, names: DataFrame, limit:
         )
     )
 
-    def all_of(text, pattern: str) -> Column:
-        return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-
-    # A phrase is looked for by one part of it that every text with the phrase must have: what stands around
-    # an @, else a whole word inside the phrase, and only without either a group of characters, for
-    # which every position of the texts has to be looked at.
-    phrase, size = F.col("phrase"), F.length("phrase")
-    word = r"[\p{L}\p{N}]"
-    far, near = r"(?s)(?=([^@]{3}@[^@]{3}))", r"(?s)(?=(.@.))"
-    inner = rf"(?<=(?!{word})(?s:.))({word}+)(?=(?!{word})(?s:.))"
-    has_far, has_near, has_inner = (F.size(all_of(phrase, x)) > 0 for x in (far, near, inner))
-    ways = [
-        (has_far, far, far),
-        (~has_far & has_near, near, near),
-        (~has_near & has_inner, inner, rf"({word}+)"),
-        *[
-            (~has_near & ~has_inner & sized, f"(?s)(?=(.{{{n}}}))", f"(?s)(?=(.{{{n}}}))")
-            for n, sized in ((1, size < 3), (3, size == 3), (4, (size >= 4) & (size < 8)), (8, size >= 8))
-        ],
-    ]
-    maybes = []
-    for which, of_phrase, of_text in ways:
-        parts = phrases.where(which).select("phrase").distinct()
-        parts = parts.select("phrase", F.explode(F.array_distinct(all_of(phrase, of_phrase))).alias("part"))
-        shared = parts.groupBy("part").agg(F.count(F.lit(1)).alias("_n"))
-        rarest = F.struct("_n", (-F.length("part")).alias("l"), "part")
-        anchor = parts.join(shared, "part").groupBy("phrase").agg(F.min_by("part", rarest).alias("part"))
-        # Written first, so its size is known when Spark picks the join with the texts.
-        anchor = cut(anchor, "anchors")
-        if not anchor.isEmpty():
-            inside = texts.select("text_id", F.explode(F.array_distinct(all_of(lowered, of_text))).alias("part"))
-            maybes.append(inside.join(anchor, "part").select("text_id", "phrase"))
-    if not maybes:
-        maybes.append(texts.select("text_id", F.lit("").alias("phrase")).limit(0))
-    maybe = reduce(DataFrame.unionByName, maybes).distinct()
+    # Every phrase has one anchor: of the sampled character groups that any text with the phrase must have, the
+    # one that the fewest other phrases have. Written first, so its size is known when Spark picks the join.
+    known = phrases.select("phrase").distinct()
+    parts = cut(anchors(known.select("phrase", F.col("phrase").alias("_t")), "phrase"), "parts")
+    shared = parts.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"))
+    anchor = parts.join(shared, "anchor").groupBy("phrase").agg(F.min_by(F.struct("anchor", "grid"), F.struct("_n", "anchor")).alias("a"))
+    anchor = cut(anchor.select("phrase", "a.*"), "anchors")
+    grids = anchor.agg(F.collect_set("grid")).first()[0]  # four at most
+    inside = anchors(texts.select("text_id", lowered.alias("_t")), "text_id", grids)
+    maybe = inside.select("text_id", "anchor").join(anchor.select("phrase", "anchor"), "anchor").select("text_id", "phrase")
     hits = (
-        maybe.join(texts.select("text_id", lowered.alias("_t")), "text_id")
+        cut(maybe, "maybe").join(texts.select("text_id", lowered.alias("_t")), "text_id")
         .where(F.col("_t").contains(F.col("phrase")))
         .select("text_id", "phrase")
     )

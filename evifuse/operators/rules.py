@@ -527,6 +527,35 @@ def transfer_edges(events: DataFrame, id_map: DataFrame) -> DataFrame:
     )
 
 
+def _band_join(front: DataFrame, hops: DataFrame, span: int, low: float, high: float) -> DataFrame:
+    """``front`` (cur, us, amt, ...) with every transfer that may follow: (n_dst, n_us, n_ref, n_amt, ...).
+
+    Next hops are found by equality on (entity, time bucket, amount bucket): both windows span two
+    neighbour buckets, so even the transfers of one hub are spread over many join keys.
+    """
+    width = max(math.log(high / low), 1e-6)
+
+    def amount_bucket(c: Column, slack: float) -> Column:
+        return F.floor(F.log(c) / width + slack)
+
+    keyed = hops.select(
+        F.col("src").alias("cur"), *[F.col(c).alias(f"n_{c}") for c in hops.columns if c != "src"],
+        F.floor(F.col("us") / span).alias("_t"), amount_bucket(F.col("amt"), 0.0).alias("_a"),
+    )
+    probe = front.withColumn(
+        "_t", F.explode(F.sequence(F.floor((F.col("us") + 1) / span), F.floor((F.col("us") + span) / span)))
+    ).withColumn(
+        "_a",
+        F.explode(F.sequence(amount_bucket(F.col("amt") * low, -1e-9), amount_bucket(F.col("amt") * high, 1e-9))),
+    )
+    return probe.join(keyed, ["cur", "_t", "_a"]).where(
+        (F.col("n_us") > F.col("us"))
+        & (F.col("n_us") <= F.col("us") + span)
+        & (F.col("n_amt") >= F.col("amt") * low)
+        & (F.col("n_amt") <= F.col("amt") * high)
+    )
+
+
 def layering_paths(
     edges: DataFrame,
     max_hours: float = 12,
@@ -538,24 +567,11 @@ def layering_paths(
 ) -> DataFrame:
     """Every transfer path that shrinks by a commission at each hop.
 
-    One join per hop. Next hops are found by equality on (entity, time bucket, amount
-    bucket): both windows span two neighbour buckets, so even the transfers of one
-    hub are spread over many join keys. A hop back to the origin closes a cycle and
-    ends the path; other entities are not visited twice.
+    One join per hop. A hop back to the origin closes a cycle and ends the path; other entities are not
+    visited twice. A dense graph has exponentially many paths; ``best_chains`` finds the reported ones without them.
     """
-    span = int(max_hours * HOUR)
-    low, high = 1 - max_skim, 1 - min_skim
-    width = max(math.log(high / low), 1e-6)
-
-    def amount_bucket(c: Column, slack: float) -> Column:
-        return F.floor(F.log(c) / width + slack)
-
+    span, low, high = int(max_hours * HOUR), 1 - max_skim, 1 - min_skim
     hops = cut(edges.where("amt > 0"), "hops")
-    keyed = hops.select(
-        F.col("src").alias("cur"), F.col("dst").alias("n_dst"), F.col("us").alias("n_us"),
-        F.col("ref").alias("n_ref"), F.col("amt").alias("n_amt"),
-        F.floor(F.col("us") / span).alias("_t"), amount_bucket(F.col("amt"), 0.0).alias("_a"),
-    )
     front = hops.where((F.col("amt") >= min_amount) & (F.col("src") != F.col("dst"))).select(
         F.col("src").alias("origin"), F.col("dst").alias("cur"), "us", "amt",
         F.array("src", "dst").alias("path"),
@@ -564,21 +580,9 @@ def layering_paths(
     )
     found = []
     for depth in range(2, max_depth + 1):
-        probe = front.withColumn(
-            "_t", F.explode(F.sequence(F.floor((F.col("us") + 1) / span), F.floor((F.col("us") + span) / span)))
-        ).withColumn(
-            "_a",
-            F.explode(F.sequence(amount_bucket(F.col("amt") * low, -1e-9), amount_bucket(F.col("amt") * high, 1e-9))),
-        )
         step = (
-            probe.join(keyed, ["cur", "_t", "_a"])
-            .where(
-                (F.col("n_us") > F.col("us"))
-                & (F.col("n_us") <= F.col("us") + span)
-                & (F.col("n_amt") >= F.col("amt") * low)
-                & (F.col("n_amt") <= F.col("amt") * high)
-                & ((F.col("n_dst") == F.col("origin")) | ~F.array_contains("path", F.col("n_dst")))
-            )
+            _band_join(front, hops, span, low, high)
+            .where((F.col("n_dst") == F.col("origin")) | ~F.array_contains("path", F.col("n_dst")))
             .select(
                 "origin", F.col("n_dst").alias("cur"), F.col("n_us").alias("us"), F.col("n_amt").alias("amt"),
                 F.concat("path", F.array("n_dst")).alias("path"),
@@ -615,6 +619,146 @@ def best_paths(paths: DataFrame) -> DataFrame:
     )
 
 
+# A chain is ranked by its hops, and a cycle above any chain that is none.
+_CYCLE = 1 << 16
+
+
+def best_chains(
+    edges: DataFrame,
+    max_hours: float = 12,
+    min_amount: float = 50_000.0,
+    min_skim: float = 0.03,
+    max_skim: float = 0.20,
+    max_depth: int = 6,
+    min_entities: int = 3,
+) -> DataFrame:
+    """The reported path of each origin, as ``best_paths(layering_paths(...))`` gives it, without listing paths.
+
+    Transfers that may follow each other are joined once. From every origin the states (origin, transfer, depth) are
+    reached forwards, and backwards each gets the best rank that a walk through it can have: a bound, since walks
+    may visit an entity twice. Then each origin follows the earliest next transfer whose bound is the best rank of all.
+    If that ends at the rank, it is the answer: nothing ranks higher, and no path of this rank starts
+    earlier. Only an origin whose walk would visit an entity twice is searched with several paths for a
+    state (``_exact_chains``). Rows are states and the transfers between them, however many paths there are.
+    """
+    span, low, high = int(max_hours * HOUR), 1 - max_skim, 1 - min_skim
+    hops = cut(edges.where("amt > 0 and src <> dst").withColumn("e", F.monotonically_increasing_id()), "hops")
+    fronts = hops.select("e", F.col("dst").alias("cur"), "us", "amt")
+    links = cut(
+        _band_join(fronts, hops, span, low, high).select("e", F.col("n_e").alias("f"), F.col("n_dst").alias("end")), "links"
+    )
+    # states[d]: (origin, e, end); steps[d]: (origin, e, f, end) from states[d] to states[d + 1]
+    states = [hops.where(F.col("amt") >= min_amount).select(F.col("src").alias("origin"), "e", F.col("dst").alias("end"))]
+    steps: list[DataFrame] = []
+    while len(states) < max_depth:
+        step = cut(states[-1].where("end <> origin").drop("end").join(links, "e").select("origin", "e", "f", "end"), "steps")
+        if step.isEmpty():
+            break
+        steps.append(step)
+        states.append(cut(step.select("origin", F.col("f").alias("e"), "end").distinct(), "states"))
+    bounds: list[DataFrame] = []
+    for depth in range(len(states), 0, -1):
+        own = F.when(F.lit(depth + 1 >= min_entities), F.when(F.col("end") == F.col("origin"), _CYCLE).otherwise(0) + depth)
+        bound = states[depth - 1].withColumn("own", own)
+        if bounds:
+            later = bounds[0].select("origin", F.col("e").alias("f"), "bound")
+            ahead = steps[depth - 1].join(later, ["origin", "f"]).groupBy("origin", "e").agg(F.max("bound").alias("ahead"))
+            bound = bound.join(ahead, ["origin", "e"], "left").withColumn("bound", F.greatest("own", "ahead"))
+        else:
+            bound = bound.withColumn("bound", F.col("own"))
+        bounds.insert(0, cut(bound.select("origin", "e", "own", "bound").where("bound is not null"), "bounds"))
+    goals = cut(bounds[0].groupBy("origin").agg(F.max("bound").alias("goal")), "goals")
+    facts = hops.select("e", "us", "ref", "amt", "dst")
+    found, front = [], None
+    for depth, bound in enumerate(bounds):
+        if front is None:
+            grown = bound.join(goals, "origin").where("bound = goal").join(facts, "e").select(
+                "*", F.array("origin", "dst").alias("path"), F.array(F.struct("us", "ref")).alias("hops"), F.array("amt").alias("amounts")
+            )
+        else:
+            grown = (
+                front.join(steps[depth - 1].drop("end"), ["origin", "e"]).drop("e").withColumnRenamed("f", "e")
+                .join(bound, ["origin", "e"]).where("bound = goal").join(facts, "e")
+                .where((F.col("dst") == F.col("origin")) | ~F.array_contains("path", F.col("dst")))
+            )
+            grown = _longer(grown)
+        first = F.struct("us", "ref", "dst")
+        kept = ["goal", "own", "e", "path", "hops", "amounts"]
+        best = cut(grown.groupBy("origin").agg(F.min_by(F.struct(*kept), first).alias("b")).select("origin", "b.*"), "chains")
+        found.append(best.where("own = goal"))
+        front = best.where("own < goal or own is null").drop("own")
+    done = cut(reduce(DataFrame.unionByName, found).drop("own", "e"), "chains")
+    rest = cut(goals.join(done.select("origin"), "origin", "left_anti").select("origin"), "unsettled")
+    if not rest.isEmpty():
+        done = done.drop("goal").unionByName(_exact_chains(rest, states, steps, bounds, facts, max_depth, min_entities))
+    return done.select("origin", "path", "hops", "amounts", (F.element_at("path", -1) == F.col("origin")).alias("cycle"))
+
+
+def _longer(grown: DataFrame) -> DataFrame:
+    """Paths with the transfer (us, ref, amt, dst) beside them put at their end."""
+    return (
+        grown.withColumn("path", F.concat("path", F.array("dst"))).withColumn("hops", F.concat("hops", F.array(F.struct("us", "ref"))))
+        .withColumn("amounts", F.concat("amounts", F.array("amt")))
+    )
+
+
+def _exact_chains(
+    origins: DataFrame, states: list[DataFrame], steps: list[DataFrame], bounds: list[DataFrame], facts: DataFrame, max_depth: int,
+    min_entities: int,
+) -> DataFrame:
+    """Best simple path of each origin: (origin, path, hops, amounts).
+
+    Of the paths into a state only representatives go on: a path is dropped if every continuation that it allows is
+    allowed by an earlier one, too. A continuation has few entities, so a state keeps few paths.
+    """
+    front = (
+        states[0].join(origins, "origin").join(facts, "e")
+        .select("origin", "e", F.array("origin", "dst").alias("path"), F.array(F.struct("us", "ref")).alias("hops"), F.array("amt").alias("amounts"))
+    )
+    best = None
+    for depth, bound in enumerate(bounds):
+        if depth:
+            front = front.join(steps[depth - 1].drop("end"), ["origin", "e"]).drop("e").withColumnRenamed("f", "e").join(facts, "e")
+            front = _longer(front.where((F.col("dst") == F.col("origin")) | ~F.array_contains("path", F.col("dst"))))
+        front = cut(front.join(bound, ["origin", "e"]).select("origin", "e", "path", "hops", "amounts", "own", "bound"), "front")
+        ended = front.where("own is not null").select("origin", "path", "hops", "amounts", F.col("own").alias("rank"))
+        ended = ended if best is None else ended.unionByName(best)
+        order = F.struct(-F.col("rank"), "hops", "path")
+        best = ended.groupBy("origin").agg(F.min_by(F.struct("path", "hops", "amounts", "rank"), order).alias("b")).select("origin", "b.*")
+        best = cut(best, "best")
+        left = front.join(best.select("origin", "rank"), "origin", "left").where("rank is null or bound > rank").where("own is null or own < bound")
+        front = _representatives(left.select("origin", "e", "path", "hops", "amounts"), max_depth - depth - 1)
+    return best.drop("rank")
+
+
+def spares(path: frozenset, kept: list[frozenset], entities: int) -> bool:
+    """Whether some set of at most ``entities`` entities leaves ``path`` alone but touches all of ``kept``."""
+    if not kept:
+        return True
+    if not entities:
+        return False
+    return any(spares(path, [k for k in kept if x not in k], entities - 1) for x in kept[0] - path)
+
+
+def _representatives(paths: DataFrame, entities: int) -> DataFrame:
+    """In order of time, the paths of each (origin, e) that some continuation of ``entities`` entities needs."""
+
+    def run(batches):
+        state, kept = None, []
+        for b in batches:
+            take = []
+            for n, (origin, e, path) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)), strict=True)):
+                if (origin, e) != state:
+                    state, kept = (origin, e), []
+                inner = frozenset(path)
+                if spares(inner, kept, entities):
+                    kept.append(inner)
+                    take.append(n)
+            yield b.take(take)
+
+    return paths.repartition("origin", "e").sortWithinPartitions("origin", "e", "hops", "path").mapInArrow(run, paths.schema)
+
+
 def hop_skims(amounts: Column) -> Column:
     """Percent lost at each hop."""
     n = F.size(amounts) - 1
@@ -633,8 +777,7 @@ def lay1(
     """Layering or circular flow: the best path of each origin (``best`` if it is there already)."""
     if best is None:
         edges = transfer_edges(events, id_map)
-        paths = layering_paths(edges, max_hours=max_hours, min_skim=min_skim, max_skim=max_skim, **limits)
-        best = cut(best_paths(paths), "lay1")
+        best = cut(best_chains(edges, max_hours=max_hours, min_skim=min_skim, max_skim=max_skim, **limits), "lay1")
     best = best.withColumnRenamed("origin", "entity_id")
     hours = (F.element_at("hops", -1)["us"] - F.element_at("hops", 1)["us"]) / HOUR
     skims = F.transform(hop_skims(F.col("amounts")), lambda s: F.format_string("%.1f", s))

@@ -6,12 +6,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evifuse.operators.keyed import MINUTE, into_slices, top_per_key
+from evifuse.operators.keyed import HOT_ROWS, MINUTE, SLICE_ROWS, latest, split_hot, top_per_key
 from evifuse.session import cut
 
 CALL_TYPES = ("call", "sms")
-# Slice length in units of the tolerance: an eighth of the rows is copied per side.
-SLICE_FACTOR = 8
 
 
 def nearest_within(
@@ -21,6 +19,8 @@ def nearest_within(
     us: str,
     ref: str,
     tolerance_us: int,
+    min_rows: int = HOT_ROWS,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """For each left row the nearest row of every right side, same ``by`` key.
 
@@ -29,35 +29,18 @@ def nearest_within(
     tolerance. Equal distance prefers the earlier row; among equal right times the
     highest ``ref`` is taken looking back and the lowest looking forward.
 
-    All sides share one shuffle: they are stacked, sorted once per direction, and a
-    running ``last`` carries the latest right row. Only frames that end at the
-    current row are used, so the cost is linear after the sort.
+    All sides share one shuffle: they are stacked, right rows before left ones of the same time, and the last right
+    row up to each row and the first one from it on are running values. No row is copied, whatever the tolerance.
     """
-    length = max(tolerance_us * SLICE_FACTOR, 1)
-    stacked = left.withColumn("_side", F.lit(1)).withColumn("_slice", F.floor(F.col(us) / length))
+    stacked = left.withColumn("_side", F.lit(1))
     for name, right in rights.items():
         pay = F.struct(F.col(us).alias("us"), *[c for c in right.columns if c not in by and c != us])
-        copies = into_slices(
-            right.select(*by, us, ref, pay.alias(name)),
-            F.col(us) - tolerance_us,
-            F.col(us) + tolerance_us,
-            length,
-        ).withColumn("_side", F.lit(0))
-        stacked = stacked.unionByName(copies, allowMissingColumns=True)
-    asc = (
-        Window.partitionBy(*by, "_slice")
-        .orderBy(F.asc(us), F.asc("_side"), F.asc(ref))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    desc = (
-        Window.partitionBy(*by, "_slice")
-        .orderBy(F.desc(us), F.asc("_side"), F.desc(ref))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    out = stacked.select(
-        "*",
-        *[F.last(n, ignorenulls=True).over(asc).alias(f"_b_{n}") for n in rights],
-        *[F.last(n, ignorenulls=True).over(desc).alias(f"_f_{n}") for n in rights],
+        rows = right.where(F.col(us).isNotNull()).select(*by, us, ref, pay.alias(name), F.lit(0).alias("_side"))
+        stacked = stacked.unionByName(rows, allowMissingColumns=True)
+    # A right row of the same time lies before, so looking back finds it at distance 0, which wins.
+    out = latest(
+        stacked, by, [us, "_side", ref], {f"_b_{n}": F.col(n) for n in rights}, {f"_f_{n}": F.col(n) for n in rights},
+        min_rows=min_rows, slice_rows=slice_rows,
     ).where("_side = 1")
     picks = []
     for n in rights:
@@ -151,28 +134,20 @@ class Linked(NamedTuple):
 
 
 def linked_calls_before(
-    links: DataFrame, calls: DataFrame, window_us: int, least_us: int
+    links: DataFrame, calls: DataFrame, window_us: int, least_us: int, min_rows: int = HOT_ROWS, slice_rows: int = SLICE_ROWS
 ) -> Linked:
     """For each (transfer, called party) link, the calls in [t - window, t - least].
 
     ``links`` and ``calls`` share entity_id and party. ``transfers`` has the links with such calls, with their
     number and the first and last of them; ``calls`` has every call that a link follows in that time, once
-    per entity and party. Both come from the same running counts, so no pair is built.
+    per entity and party. Both come from running values, so no pair is built and no call copied. A pair of entity and
+    party with more than ``min_rows`` rows is answered in slices.
     """
-    length = max(window_us * SLICE_FACTOR, 1)
-    probes = links.withColumn("_slice", F.floor(F.col("us") / length))
-    heard = into_slices(
-        calls.select(
-            "entity_id", "party", "us", F.struct("us", F.col("raw_row_ref").alias("ref")).alias("_c")
-        ),
-        F.col("us") + least_us,
-        F.col("us") + window_us,
-        length,
-    )
-    stacked = probes.withColumn("_side", F.lit(1)).unionByName(
-        heard.withColumn("_side", F.lit(0)), allowMissingColumns=True
-    )
-    base = Window.partitionBy("entity_id", "party", "_slice")
+    key = ["entity_id", "party"]
+    heard = calls.select(*key, "us", F.struct("us", F.col("raw_row_ref").alias("ref")).alias("_c"))
+    stacked = links.withColumn("_side", F.lit(1)).unionByName(heard.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    cold, hot = split_hot(stacked, key, ["us"], min_rows, slice_rows)
+    base = Window.partitionBy(*key)
     up = base.orderBy(F.asc("us"))
     down = base.orderBy(F.desc("us"))
     # Only frames that grow with the row: each is one running aggregate.
@@ -182,16 +157,16 @@ def linked_calls_before(
     by_last = up.rangeBetween(Window.unboundedPreceding, window_us)
     too_soon = up.rangeBetween(Window.unboundedPreceding, least_us - 1)
     link = F.when(F.col("_side") == 1, 1)
-    out = cut(
-        stacked.select(
-            "*",
-            (F.count("_c").over(by_latest) - F.count("_c").over(too_old)).alias("n_calls"),
-            (F.count(link).over(by_last) - F.count(link).over(too_soon)).alias("_n_links"),
-            F.max("_c").over(by_latest).alias("_last"),
-            F.min("_c").over(not_old).alias("_first"),
-        ).where("(_side = 1 and n_calls > 0) or (_side = 0 and _n_links > 0)"),
-        "linked",
-    )
+    found = cold.select(
+        "*",
+        (F.count("_c").over(by_latest) - F.count("_c").over(too_old)).alias("n_calls"),
+        (F.count(link).over(by_last) - F.count(link).over(too_soon)).alias("_n_links"),
+        F.max("_c").over(by_latest).alias("_last"),
+        F.min("_c").over(not_old).alias("_first"),
+    ).where("(_side = 1 and n_calls > 0) or (_side = 0 and _n_links > 0)")
+    if hot is not None:
+        found = found.unionByName(_linked_in_slices(hot, key, window_us, least_us, slice_rows), allowMissingColumns=True)
+    out = cut(found, "linked")
     transfers = out.where("_side = 1").select(
         *links.columns,
         "n_calls",
@@ -204,6 +179,35 @@ def linked_calls_before(
     return Linked(transfers, heard)
 
 
+def _linked_in_slices(rows: DataFrame, key: list[str], window_us: int, least_us: int, slice_rows: int) -> DataFrame:
+    """What ``linked_calls_before`` finds for hot keys, from running values at shifted times.
+
+    A link asks at its earliest time, before the calls of that time, for the first call from there on and the number
+    before, and at its latest time, after the calls of that time, for the last call and the number so far. A call asks
+    for the first link from its earliest time on.
+    """
+    rows = cut(rows.drop("_slice").withColumn("_id", F.monotonically_increasing_id()), "hot-links")
+    calls = rows.where("_side = 0").select(*key, F.col("us").alias("_at"), F.lit(0).alias("_turn"), "_c", F.col("_c.ref").alias("_ref"))
+    ask = rows.where("_side = 1")
+    first = ask.select(*key, (F.col("us") - window_us).alias("_at"), F.lit(-1).alias("_turn"), "_id")
+    last = ask.select(*key, (F.col("us") - least_us).alias("_at"), F.lit(1).alias("_turn"), "_id")
+    told = latest(
+        calls.unionByName(first, allowMissingColumns=True).unionByName(last, allowMissingColumns=True), key, ["_at", "_turn", "_ref"],
+        {"_last": F.col("_c")}, {"_first": F.col("_c")}, {"_so_far": F.col("_c")}, min_rows=0, slice_rows=slice_rows,
+    ).where("_turn <> 0")
+    asked_last = F.col("_turn") == 1
+    told = told.groupBy("_id").agg(
+        F.sum(F.when(asked_last, F.col("_so_far")).otherwise(-F.col("_so_far"))).alias("n_calls"),
+        F.max(F.when(asked_last, F.col("_last"))).alias("_last"), F.max(F.when(~asked_last, F.col("_first"))).alias("_first"),
+    ).where("n_calls > 0")
+    times = ask.select(*key, F.col("us").alias("_at"), F.lit(0).alias("_turn"), F.col("us").alias("_us"))
+    asks = rows.where("_side = 0").select(*key, (F.col("us") + least_us).alias("_at"), F.lit(-1).alias("_turn"), "_id", F.col("us").alias("_call_us"))
+    followed = latest(
+        times.unionByName(asks, allowMissingColumns=True), key, ["_at", "_turn", "_id"], ahead={"_next": F.col("_us")},
+        min_rows=0, slice_rows=slice_rows,
+    ).where(F.col("_next") <= F.col("_call_us") + window_us).select("_id")
+    return ask.join(told, "_id").drop("_id").unionByName(rows.join(followed, "_id", "left_semi").drop("_id"), allowMissingColumns=True)
+
 
 def unified_timeline(events: DataFrame, entity_id: str | None = None) -> DataFrame:
     """Events on one time axis; the filter on entity is below the sort."""

@@ -1,10 +1,10 @@
 """Scorecard of detections against labelled truth."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evifuse.operators.keyed import top_per_key
+from evifuse.operators.keyed import latest, top_per_key
 from evifuse.session import cut
 
 # Readable name of each planted pattern.
@@ -40,15 +40,19 @@ def match_truth(
     Instead of going one by one, all entries propose to their best choice at once, an
     entity keeps the earliest proposer, and the others go on to their next choice. With
     one common order this ends in exactly the one-by-one result.
+
+    Entries out of sharing entities make one proposal a round (``_next_by_rule``), so a round has no more rows than
+    entries and sharing pairs.
     """
-    size = truth.count()
     t = cut(truth.select("truth_id", "seq", "typology"), "truth")
+    size = t.count()
     shared = overlap_pairs(truth_ids, members).select(
         "truth_id", "entity_id", F.lit(0).alias("stage"), (-F.col("overlap")).cast("bigint").alias("pref")
     )
     pairs = cut(shared.join(t.select("truth_id", "seq"), "truth_id"), "pairs")
-    given = t.limit(0)
-    while True:  # every round settles a proposal or gives an entry its last choices
+    out_of_choices = t.limit(0)
+    ranked = None
+    while True:  # every round settles a proposal or finds that an entry has no choice left
         best = F.min_by("entity_id", F.struct("stage", "pref", "entity_id"))
         top = cut(pairs.groupBy("truth_id", "seq").agg(best.alias("entity_id")), "proposals")
         proposals, wanted = top.agg(F.count(F.lit(1)), F.count_distinct("entity_id")).first()
@@ -59,23 +63,36 @@ def match_truth(
             pairs = cut(left.drop("_held"), "pairs")
             continue
         idle = cut(
-            t.join(top.select("truth_id"), "truth_id", "left_anti").join(given, "truth_id", "left_anti"), "idle"
+            t.join(top.select("truth_id"), "truth_id", "left_anti").join(out_of_choices, "truth_id", "left_anti"), "idle"
         )
         if idle.isEmpty():
             return top.select("truth_id", "entity_id")
-        # Entries out of sharing entities turn to the expected rule. An entry can lose at
-        # most one entity to each other entry, so the best ``size`` of a rule are enough;
-        # and the n-th of the entries waiting for a rule cannot get its first n - 1.
-        waiting = idle.withColumn("_n", F.row_number().over(Window.partitionBy("typology").orderBy("seq")))
-        typed = idle.select(F.col("typology").alias("rule_id")).distinct()
-        by_rule = scored.select("entity_id", "n_rules", F.explode("rules_fired").alias("rule_id")).join(
-            typed, "rule_id", "left_semi"
-        )
-        ranked = top_per_key(by_rule, ["rule_id"], [F.desc("n_rules"), F.asc("entity_id")], max(size, 1), "_k")
-        more = waiting.join(ranked.withColumnRenamed("rule_id", "typology"), "typology").where("_k >= _n")
-        more = more.select("truth_id", "entity_id", F.lit(1).alias("stage"), F.col("_k").alias("pref"), "seq")
+        if ranked is None:
+            # An entry can lose at most one entity to each other entry: the best ``size`` of a rule are enough.
+            typed = t.select(F.col("typology").alias("rule_id")).distinct()
+            by_rule = scored.select("entity_id", "n_rules", F.explode("rules_fired").alias("rule_id")).join(
+                typed, "rule_id", "left_semi"
+            )
+            ranked = cut(top_per_key(by_rule, ["rule_id"], [F.desc("n_rules"), F.asc("entity_id")], max(size, 1), "_k"), "ranked")
+        more = cut(_next_by_rule(idle, ranked, top), "by-rule")
         pairs = cut(pairs.unionByName(more), "pairs")
-        given = given.unionByName(idle)
+        out_of_choices = cut(out_of_choices.unionByName(idle.join(more, "truth_id", "left_anti")), "out-of-choices")
+
+
+def _next_by_rule(idle: DataFrame, ranked: DataFrame, top: DataFrame) -> DataFrame:
+    """The next proposal of each waiting entry: the n-th of a rule to the n-th entity that the rule's first may have.
+
+    What an entry may have, every earlier one of its rule may have, too, and each of them takes something better. So
+    the n-th ends no higher than the n-th of the first one's list. An entry beyond its end gets nothing.
+    """
+    waiting = latest(idle, ["typology"], ["seq"], counts={"_n": F.lit(1)})
+    first = idle.groupBy(F.col("typology").alias("rule_id")).agg(F.min("seq").alias("_first"))
+    held = top.select("entity_id", F.col("seq").alias("_held"))
+    free = ranked.join(first, "rule_id").join(held, "entity_id", "left").where("_held is null or _held > _first")
+    numbered = latest(free.select("rule_id", "entity_id", "_k"), ["rule_id"], ["_k"], counts={"_n": F.lit(1)})
+    return waiting.join(numbered.withColumnRenamed("rule_id", "typology"), ["typology", "_n"]).select(
+        "truth_id", "entity_id", F.lit(1).alias("stage"), F.col("_k").alias("pref"), "seq"
+    )
 
 
 def truth_status(truth: DataFrame, matches: DataFrame, scored: DataFrame) -> DataFrame:

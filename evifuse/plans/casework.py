@@ -159,7 +159,7 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def best_chains(spark: SparkSession, sf: str) -> DataFrame:
-    return _once(spark, sf, "chains", lambda: rules.best_paths(layering(spark, sf)))
+    return _once(spark, sf, "chains", lambda: rules.best_chains(rules.transfer_edges(events(spark, sf), id_map(spark, sf)), **LIMITS["LAY-1"]))
 
 
 def layering(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from evifuse.operators import graph, resolution, rules, scoring, temporal
 from evifuse.session import cut, cut_all
 from evifuse.sources.reference import find_kyc_file, place_events, read_kyc, tower_master
-from evifuse.sources.statements import ingest_folder, list_files
+from evifuse.sources.audit import read_digests
+from evifuse.sources.statements import ingest_folder, ingest_manifest, list_files
 
 
 @dataclass
@@ -51,7 +52,7 @@ def fuse(
 
 
 def fuse_folder(spark: SparkSession, folder: str, **options) -> Run:
-    """Ingest a folder of statements, resolve identities, then fuse."""
+    """Ingest a folder of statements, resolve identities, then fuse; ``extra`` has the manifest of the files."""
     got = ingest_folder(spark, folder)
     if got.events is None:
         raise ValueError(f"no usable statement in {folder}")
@@ -70,5 +71,6 @@ def fuse_folder(spark: SparkSession, folder: str, **options) -> Run:
     lists = [p for p in list_files(spark, folder, ".csv") if p.rsplit("/", 1)[-1].lower() == "tower_master.csv"]
     towers = tower_master(spark, lists[0]) if lists else None
     run = fuse(events, members, id_map=id_map, towers=towers, **options)
-    run.extra.update(files=got.files, rejects=got.rejects, kyc=kyc)
+    manifest = cut(ingest_manifest(got, read_digests(spark, folder)), "manifest")
+    run.extra.update(files=got.files, manifest=manifest, rejects=got.rejects, kyc=kyc)
     return run

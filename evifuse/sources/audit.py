@@ -4,18 +4,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evifuse.sources.files import file_digests
+
 # Kinds of artifact the registry accepts.
 ARTIFACT_KINDS = ("forensic_report", "str_report", "evidence")
 
 
 def read_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """(filename, size_bytes, sha256) of the files in a folder (each below the 2 GB cell limit)."""
-    files = spark.read.format("binaryFile").load(folder)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("filename"),
-        F.col("length").alias("size_bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    ).where("filename <> 'ground_truth.json'")
+    """(filename, size_bytes, sha256) of the files in a folder, streamed by tasks."""
+    return file_digests(spark, folder).select("filename", "size_bytes", "sha256").where("filename <> 'ground_truth.json'")
 
 
 def file_manifest(digests: DataFrame, stats: DataFrame) -> DataFrame:

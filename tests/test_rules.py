@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from evifuse.operators import rules
@@ -116,8 +118,6 @@ def test_layering_band_and_window_edges(spark):
 
 
 def test_layering_equals_walk(spark):
-    import random
-
     rnd = random.Random(11)
     rows = [txn(rnd.choice("ABCDE"), -rnd.choice([100000, 92000, 85000, 78000, 70000, 64000, 58000]), at(minutes=rnd.randrange(0, 3000)), rnd.choice("ABCDE")) for _ in range(60)]
     out = sorted((r["timestamp"], n, r) for n, r in enumerate(rows))
@@ -149,6 +149,49 @@ def test_layering_equals_walk(spark):
     got = rules.best_paths(rules.layering_paths(rules.transfer_edges(events(spark, rows), id_map(spark, MAP)))).collect()
     assert {r["origin"]: (r["path"], [h["ref"] for h in r["hops"]]) for r in got} == {k: (v[1], v[2]) for k, v in best.items()}
 
+    assert {r["origin"]: (r["path"], [h["ref"] for h in r["hops"]]) for r in bounded(spark, rows)} == {k: (v[1], v[2]) for k, v in best.items()}
+
+
+def bounded(spark, rows, **k):
+    names = sorted({x for r in rows for x in (r["entity_id"], r["counterparty"])})
+    edges = rules.transfer_edges(events(spark, rows), id_map(spark, [(n, n) for n in names]))
+    return rules.best_chains(edges, **k).collect()
+
+
+def test_bounded_chains_where_walks_revisit(spark):
+    """Walks that come back to an entity bound better than any path: the exact search settles those origins."""
+    rng = random.Random(11)
+    for trial in range(3):
+        rows = [txn(a, -100000 * 0.93 ** rng.randrange(7), at(minutes=rng.randrange(300)), b)
+                for a, b in (rng.sample("ABCDE", 2) for _ in range(70 + 20 * trial))]
+        names = [(n, n) for n in "ABCDE"]
+        edges = rules.transfer_edges(events(spark, rows), id_map(spark, names))
+        want = rules.best_paths(rules.layering_paths(edges)).collect()
+        key = lambda r: (r["path"], [tuple(h) for h in r["hops"]], r["amounts"], r["cycle"])
+        assert {r["origin"]: key(r) for r in bounded(spark, rows)} == {r["origin"]: key(r) for r in want}
+    # A, B, A: every walk on from B goes through A again
+    rows = [txn("X", -100000, at(0), "A"), txn("A", -92000, at(1), "B"), txn("B", -85000, at(2), "A"), txn("A", -79000, at(3), "C")]
+    assert {r["origin"]: r["path"] for r in bounded(spark, rows)} == {"X": ["X", "A", "B"], "A": ["A", "B", "A"], "B": ["B", "A", "C"]}
+
+
+def test_chains_of_a_dense_hub(spark):
+    """Five layers of 14, all joined to the next: 14 ** 5 paths from every origin, a few states each."""
+    rows = [
+        txn(f"L{d}_{i}", -100000 * 0.9 ** d, at(minutes=30 * d, hours=0.001 * (14 * i + j)), f"L{d + 1}_{j}")
+        for d in range(5) for i in range(14) for j in range(14)
+    ]
+    got = {r["origin"]: (r["path"], r["cycle"]) for r in bounded(spark, rows)}
+    assert len(got) == 14 * 4 and got["L0_3"] == (["L0_3", "L1_0", "L2_0", "L3_0", "L4_0", "L5_0"], False)
+
+
+def test_representatives_spare_what_others_block():
+    kept = []
+    for path in ("ab", "ac", "ad", "bc", "xy"):
+        p = frozenset(path)
+        if rules.spares(p, kept, 1):
+            kept.append(p)
+    assert kept == [frozenset("ab"), frozenset("ac"), frozenset("bc")]  # whatever one entity is avoided, one of them is left
+
 
 def loc(spark, rows, **k):
     return rules.loc1(place_events(events(spark, rows)), **k)

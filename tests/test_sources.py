@@ -1,10 +1,11 @@
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from evifuse.plans.fusion import fuse_folder
-from evifuse.sources import audit, reference, statements
+from evifuse.sources import audit, files, reference, statements
 
 BANK = """account_no,date,particulars,withdrawal_amt,deposit_amt,closing_balance
 A1,2025/05/01 09:00:00,NEFT-CREDIT-679392876776-SALARY,,300000,310000
@@ -61,7 +62,7 @@ def test_header_detection(spark):
 
 def test_ingest_accounts_for_every_row(spark, folder):
     got = statements.ingest_folder(spark, folder)
-    status = {f["filename"]: (f["detected_type"], f["status"]) for f in got.files}
+    status = {f["filename"]: (f["detected_type"], f["status"]) for f in got.files.collect()}
     assert status["notes.csv"] == ("unknown", "UNRECOGNISED") and status["bank_hdfc.csv"] == ("bank", "PARSED")
     rows = got.events.withColumn("reject_reason", F.lit(None).cast("string")).select("source_file", "reject_reason").unionByName(got.rejects.select("source_file", "reject_reason"))
     acc = {r["source_file"]: r for r in statements.row_accounting(rows).collect()}
@@ -155,6 +156,10 @@ def test_whole_run_from_a_folder(spark, folder):
     edge = run.edges.where((F.col("src") == asha) & (F.col("dst") == ravi)).first()
     assert edge["edge_type"] == "transaction" and edge["count"] == 4 and edge["call_frequency"] == 2
     assert run.evidence.where("rule_id = 'TCS-2' and token = 'called:9000000002'").count() >= 1
+    m = {r["filename"]: r for r in run.extra["manifest"].collect()}
+    b = m["bank_hdfc.csv"]
+    assert (b["status"], b["detected_type"], b["total_rows"], b["parsed_rows"], b["sha256"]) == ("PARSED", "bank", 7, 5, hashlib.sha256(BANK.encode()).hexdigest())
+    assert m["notes.csv"]["status"] == "UNRECOGNISED" and m["kyc_map(1).json"]["status"] == "REFERENCE" and len(m) == 6
 
 
 def test_manifest_and_tampering(spark, tmp_path):
@@ -174,6 +179,32 @@ def test_manifest_and_tampering(spark, tmp_path):
     assert t == {"a.csv": True, "k.json": False, "z.csv": False}
 
 
+def test_a_file_above_two_gigabytes_is_digested(spark, tmp_path):
+    """Sparse, so it takes no room; read in chunks, so it takes no memory."""
+    size = (2 << 30) + 12_345
+    with open(tmp_path / "big.bin", "wb") as f:
+        f.truncate(size)
+    (tmp_path / "small one.txt").write_bytes(b"abc" * 1000)
+    want, left = hashlib.sha256(), size
+    while left:
+        n = min(left, 1 << 24)
+        want.update(bytes(n))
+        left -= n
+    got = {r["filename"]: (r["size_bytes"], r["sha256"]) for r in audit.read_digests(spark, str(tmp_path)).collect()}
+    assert got == {"big.bin": (size, want.hexdigest()), "small one.txt": (3000, hashlib.sha256(b"abc" * 1000).hexdigest())}
+    assert files.digest(str(tmp_path / "small one.txt"), chunk=7) == got["small one.txt"][1]
+
+
+def test_headers_are_read_in_tasks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\ufeffx;y;z\r\n1;2;3\r\n")
+    (tmp_path / "b.CSV").write_text("")
+    (tmp_path / "c.txt").write_text("p,q")
+    got = {r["filename"]: (r["sep"], r["columns"]) for r in files.file_headers(spark, str(tmp_path), ".csv").collect()}
+    assert got == {"a.csv": (";", ["x", "y", "z"]), "b.CSV": (",", [""])}
+    none = statements.ingest_folder(spark, str(tmp_path))
+    assert none.events is None and none.files.count() == 2
+
+
 def test_artifact_registry_and_trace(spark, tmp_path):
     s = "case_id string, kind string, entity_id string, storage_path string, sha256 string, created_at bigint"
     old = spark.createDataFrame([("c", "evidence", None, "p1", "s1", 1)], s)

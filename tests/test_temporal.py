@@ -76,6 +76,53 @@ def test_last_before_is_the_same_for_hot_keys(spark):
         assert sorted((r["ref"], r["p"]) for r in got.collect()) == want
 
 
+def test_nearest_is_the_same_in_slices_of_any_size(spark):
+    """One key holds nearly all rows, many of one time, and the tolerance covers whole slices."""
+    rnd = random.Random(5)
+    rows = []
+    for _ in range(500):
+        who, when = rnd.choice("AAAAAAAAB"), at(minutes=rnd.choice([rnd.randrange(3000), 1440]))
+        rows.append(rnd.choice([txn(who, -5, when), call(who, when), session(who, when)]))
+    rows.append(txn(None, -5, at(0)))
+    e = events(spark, rows)
+    txns, rights = e.where("event_type = 'transaction'"), {"c": e.where("event_type = 'call'").select("entity_id", "us", "raw_row_ref")}
+    for minutes in (3, 1440):
+        a, b = (
+            sorted((r["raw_row_ref"], r["c"] and r["c"]["raw_row_ref"]) for r in temporal.nearest_within(
+                txns, rights, ["entity_id"], "us", "raw_row_ref", minutes * keyed.MINUTE, **k).collect())
+            for k in ({}, {"min_rows": 20, "slice_rows": 16})
+        )
+        assert a == b and any(c is not None for _, c in a)
+
+
+def test_hot_keys_are_cut_into_bounded_slices(spark):
+    d = spark.range(20_000).selectExpr("if(id % 3 = 0, id % 5000, -1) as k", "if(id % 2 = 0, 7, id) as us", "id")
+    cold, hot = keyed.split_hot(d, ["k"], ["us", "id"], min_rows=1000, slice_rows=500)
+    assert hot.select("k").distinct().count() == 1 and cold.count() + hot.count() == 20_000
+    sizes = [r["count"] for r in hot.groupBy("_slice").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 1000  # ties in time are cut, too
+
+
+def test_linked_calls_in_slices(spark):
+    rnd = random.Random(8)
+    calls = [("A", rnd.choice("PPPQ"), rnd.randrange(3000), n) for n in range(300)]
+    links = [("A", rnd.choice("PPPQ"), rnd.randrange(3000), 1000 + n) for n in range(150)] * 2
+    c = spark.createDataFrame(calls, "entity_id string, party string, us bigint, raw_row_ref bigint")
+    d = spark.createDataFrame(links, "entity_id string, party string, us bigint, raw_row_ref bigint")
+    for window, least in ((15, 1), (900, 40), (0, 0)):
+        want, followed = [], set()
+        for _, p, t, ref in links:
+            hits = sorted((u, r) for _, q, u, r in calls if q == p and t - window <= u <= t - least)
+            followed |= {(p, u, r) for u, r in hits}
+            if hits:
+                want.append((p, t, ref, len(hits), *hits[0], *hits[-1]))
+        for k in ({}, {"min_rows": 20, "slice_rows": 30}):
+            got = temporal.linked_calls_before(d, c, window, least, **k)
+            names = ["party", "us", "raw_row_ref", "n_calls", "first_call_us", "first_call_ref", "last_call_us", "last_call_ref"]
+            assert sorted(tuple(r) for r in got.transfers.select(*names).collect()) == sorted(want)
+            assert {(r["party"], r["us"], r["raw_row_ref"]) for r in got.calls.collect()} == followed
+
+
 def test_timeline_rows_and_totals(spark):
     e = events(spark, [txn("A", 1500, at(0)), txn("A", -20, at(1)), call("A", at(2)), session("A", at(3)), {"entity_id": "A", "event_type": "other", "timestamp": at(4)}])
     cited = spark.createDataFrame([("A", 1)], "entity_id string, raw_row_ref bigint")
