@@ -52,6 +52,11 @@ def feature_blocks(data: bytes, table: bytes, max_n: int, look: Buckets) -> Iter
             yield size, np.fromiter(map(look.__getitem__, grams), np.int64, len(grams))
 
 
+def gathered(df: DataFrame, *cols: str) -> list:
+    """The rows of a small aggregate, as one cell; callers state the bound."""
+    return df.agg(F.collect_list(F.struct(*cols))).first()[0]
+
+
 def bucket_counts(texts: DataFrame, buckets: int, max_n: int) -> np.ndarray:
     """How many features of all rows fall into each bucket: one row per task and bucket is shuffled."""
     table = lowered(SEPARATORS)
@@ -65,9 +70,9 @@ def bucket_counts(texts: DataFrame, buckets: int, max_n: int) -> np.ndarray:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["bucket", "n"])
 
-    found = texts.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    found = texts.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(buckets, np.int64)
-    for bucket, n in found:
+    for bucket, n in gathered(found, "bucket", "n"):
         out[bucket] = n
     return out
 
@@ -170,7 +175,8 @@ def top_ranks(rows: DataFrame, n: int, id_col: str, eligible: str) -> DataFrame:
     A histogram of the scores (whole numbers in a fixed span, so of bounded size) gives the lowest score drawn; only
     rows at or above it are sorted, in ranges that are ranked one by one.
     """
-    counts = sorted(((r["score"], r["n"]) for r in rows.where(eligible).groupBy("score").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    histogram = rows.where(eligible).groupBy("score").agg(F.count(F.lit(1)).alias("n"))
+    counts = sorted(gathered(histogram, "score", "n"), reverse=True)
     least, drawn = None, 0
     for score, k in counts:
         if drawn >= n:
@@ -183,7 +189,7 @@ def top_ranks(rows: DataFrame, n: int, id_col: str, eligible: str) -> DataFrame:
     ranges = max(LEAST_RANGES, -(-drawn // RANGE_ROWS))
     order = [F.desc("score"), F.asc(id_col)]
     dealt = cut(rows.where(in_draw).repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "draw")
-    sizes = dict(dealt.groupBy("_range").agg(F.count(F.lit(1))).collect())
+    sizes = dict(gathered(dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("n")), "_range", "n"))
     before, starts = 0, []
     for k in sorted(sizes):
         starts.append((k, before))

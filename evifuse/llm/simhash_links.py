@@ -206,6 +206,7 @@ def simhash_components(
     in components but do not name them, unless all their ids are null. Repeated rows give a row each, other columns
     are ignored, an empty table gives no rows. Texts of any length are read whole, in blocks.
     """
+    reaches(radius)
     rows = cut(fingerprints(docs, size, id_col, text_col), "fingerprints")
     nodes = cut(rows.groupBy("fp").agg(F.min(id_col).alias("first")), "fingerprint-nodes")
     fps = nodes.select("fp", F.lit(1).cast("bigint").alias("n"))
