@@ -3,7 +3,7 @@
 Labelled pages give each host a share of bad pages. The share is shrunk towards its registered
 domain's, that towards its suffix's and that towards the corpus', each by a beta-binomial prior whose
 strength is estimated from the spread of the children around their parents. A host is blocked
-when the lower bound of its posterior is above a limit.
+when the lower bound of its posterior is above the corpus share by a margin.
 """
 from __future__ import annotations
 
@@ -22,7 +22,8 @@ RULES = [
 ]
 # Suffixes of two labels under which names are registered; all others have one label.
 LONG_SUFFIXES = ["co.uk", "org.uk", "ac.uk", "com.au", "net.au", "co.jp", "co.nz", "com.br", "co.in", "co.za"]
-MAX_BAD = 0.2
+# A host is blocked if its bound lies above the corpus share of bad labels by more than this.
+MARGIN = 0.02
 Z = 1.645
 WEAKEST, STRONGEST = 1.0, 1000.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -106,16 +107,15 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> Data
 
 
 def filter_urls(
-    pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]] = RULES, max_bad: float = MAX_BAD, z: float = Z,
-    id_col: str = "page_id", url_col: str = "url", margin: float | None = None,
+    pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]] = RULES, margin: float = MARGIN, z: float = Z,
+    id_col: str = "page_id", url_col: str = "url",
 ) -> DataFrame:
     """One row per page: the id, ``host``, ``path``, ``rule``, ``verdict``, ``bad_bound``.
 
     ``outcomes`` has an id column named as the pages' and ``bad`` (0, 1, or null: not labelled); several
     rows of one id count as one, bad if any is. The verdict is the longest fitting rule's, else block
-    if the host's posterior bound is above ``max_bad``, a tie allows. That fixed limit is what the SQL states; where the
-    corpus share of bad labels lies above it, hosts that differ from nobody are blocked, too. With a ``margin`` the limit
-    is the corpus share plus ``margin`` instead. A null url or one without ``://`` has an empty
+    if the host's posterior bound is above the share of bad labels among all labelled pages by more than ``margin``, a tie
+    allows: a host that differs from nobody is never blocked. A null url or one without ``://`` has an empty
     host and path; such pages share the reputation of the empty host. Repeated pages give a row each,
     pages with a null id are unlabelled, other columns are ignored, no pages give no rows.
     """
@@ -124,7 +124,7 @@ def filter_urls(
     o = outcomes.select(F.col(id_col).alias("page_id"), F.col("bad").cast("int").alias("bad")).where("page_id is not null and bad is not null")
     o = o.groupBy("page_id").agg(F.max("bad").alias("bad"))
     rep = host_reputation(p.select("page_id", "host"), o, z)
-    limit = F.lit(max_bad) if margin is None else rep.agg(share(F.sum("bad"), F.sum("labelled")).alias("share")).scalar() + margin
+    limit = rep.agg(share(F.sum("bad"), F.sum("labelled")).alias("share")).scalar() + margin
     rep = rep.select("host", "bad_bound")
     rule, action = matched_rule(F.col("host"), F.col("path"), rules)
     out = p.join(rep.hint("merge"), "host", "left")
@@ -156,5 +156,5 @@ j AS (SELECT page_id, p.host, path, bound, CASE
   WHEN (p.host = 'net' OR p.host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
   WHEN (p.host = 'net' OR p.host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
   WHEN (p.host = 'com' OR p.host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM p JOIN r ON r.host = p.host)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > 0.2 THEN 'block' ELSE 'allow' END AS verdict FROM j
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > coalesce((SELECT sum(k) / sum(n) FROM h WHERE n > 0), 0) + 0.02 THEN 'block' ELSE 'allow' END AS verdict FROM j
 """

@@ -56,14 +56,14 @@ def test_reputation_shrinks_and_blocks(spark):
     assert got[60]["bad_bound"] < got[121]["bad_bound"] < got[0]["bad_bound"]
 
 
-def test_hosts_at_the_base_rate_stay_with_a_margin(spark):
+def test_hosts_at_the_base_rate_stay(spark):
     # 40 hosts with 10 bad pages of 40 each, and one with 38 bad.
     urls = [f"https://h{i % 40}.d{i % 40}.org/{i}" for i in range(1600)] + [f"https://bad.bad.org/{i}" for i in range(40)]
     outcomes = spark.createDataFrame([(i, int(i // 40 < 10)) for i in range(1600)] + [(1600 + i, int(i < 38)) for i in range(40)], "page_id bigint, bad int")
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
-    got = url_filters.filter_urls(pages, outcomes, margin=0.0).collect()
+    got = url_filters.filter_urls(pages, outcomes).collect()
     assert {r["host"] for r in got if r["verdict"] == "block"} == {"bad.bad.org"}
-    even = url_filters.filter_urls(pages.where("page_id < 1600"), outcomes, margin=0.0).collect()
+    even = url_filters.filter_urls(pages.where("page_id < 1600"), outcomes).collect()
     assert len(even) == 1600 and {r["verdict"] for r in even} == {"allow"}
 
 
@@ -105,7 +105,7 @@ def test_parts_are_bounded_whatever_the_turns(spark):
         sizes.setdefault(r["conv_id"], []).append((r["part"], r["n_turns"]))
     assert sizes == {
         "equal": [(0, 100), (1, 100), (2, 50)], "null": [(0, 100), (1, 20)], None: [(0, 100), (1, 100), (2, 30)], "same": [(0, 100), (1, 30)],
-        "plain": [(-1, 1), (0, 10), (1, 10)],
+        "plain": [(0, 21)],
     }
     for conv in ("equal", "null", None):
         text = "".join(r["text"] for r in sorted(rows, key=lambda r: r["part"]) if r["conv_id"] == conv)
