@@ -9,8 +9,9 @@ from evifuse.session import cut
 # Turns of one rendered row; a longer dialogue goes on in the next part.
 PART_TURNS = 1_000
 SETTINGS = ("system",)
-# Characters of a text by which rows with one turn and role are ordered across parts.
-SORT_CHARS = 1_000
+# Characters of a text by which rows with one turn and role are ordered; texts that share them go by their SHA-256.
+SORT_CHARS = 100
+ORDER = ("turn", "role", "_start", "_sha")
 START, END = "<|start|>", "<|end|>"
 
 
@@ -22,15 +23,16 @@ def plain(text: Column) -> Column:
 def parts_by_rank(t: DataFrame, part_turns: int) -> DataFrame:
     """``t`` with ``part`` from the row's rank in its dialogue. Rows are dealt by ranges, repeated ones too, and the
     ranges of a dialogue carry their counts forward, so no window group is longer than a range."""
-    order = ["turn", "role", F.substring("text", 1, SORT_CHARS), F.xxhash64("text"), "_row"]
-    dealt = t.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange("conv_id", *order)
-    dealt = cut(dealt.withColumn("_range", F.spark_partition_id()), "chat-ranges")
+    # Numbers that tell repeated rows apart are written first: a task done again then deals them alike.
+    numbered = cut(t.withColumn("_row", F.monotonically_increasing_id()), "chat-rows")
+    order = [*ORDER, "_row"]
+    dealt = cut(numbered.repartitionByRange("conv_id", *order).withColumn("_range", F.spark_partition_id()), "chat-ranges")
     earlier = Window.partitionBy("conv_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = dealt.groupBy("conv_id", "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = before.select(F.col("conv_id").alias("_conv"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     ranked = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("conv_id", "_range").orderBy(*order)))
     ranked = ranked.join(cut(before, "chat-before"), ranked["conv_id"].eqNullSafe(F.col("_conv")) & (F.col("_range") == F.col("_r")))
-    return ranked.withColumn("part", F.floor((F.col("_before") + F.col("_k") - 1) / part_turns).cast("bigint")).select(*t.columns)
+    return ranked.withColumn("part", F.floor((F.col("_before") + F.col("_k") - 1) / part_turns).cast("bigint")).select(*t.columns, "part")
 
 
 def rotate_perspectives(
@@ -42,26 +44,26 @@ def rotate_perspectives(
     Every role but those of ``settings`` is a participant. For each of them the dialogue is rendered
     with its own turns as ``assistant``, the turns of others as ``user:<name>`` and settings under their own
     name. ``spans`` marks what is learned: start and length, in characters of ``text``, of the participant's own
-    contents with their end markers. A part holds the turns whose number divided by ``part_turns`` has one
-    whole value (a null turn is in part -1); most dialogues have only part 0. Where turn numbers would put more than
-    ``part_turns`` rows into one part (equal or null turns), all of that dialogue is cut by the rank of its rows instead,
-    from part 0, so no part ever has more rows. There the SQL, which knows turn numbers only, differs.
+    contents with their end markers. Turns are ordered by turn, role, the first 100 characters of the text and its SHA-256,
+    nulls first; a part holds ``part_turns`` of them, the next part goes on, so every row of the result is bounded. Most
+    dialogues have only part 0.
 
-    Turns are ordered by turn, role and text, nulls first; across parts cut by rank, texts of one turn and role that
-    share their first 1,000 characters come in the order of a hash. Repeated rows are repeated turns. A null text is empty. A null role speaks as ``user:unknown`` and is no participant. Rows with a null
+    Repeated rows are repeated turns. A null text is empty. A null role speaks as ``user:unknown`` and is no participant. Rows with a null
     conv_id are one dialogue. A dialogue without participants gives no row, other columns are ignored.
     """
-    turn = F.col(turn_col).cast("bigint")
+    text = F.col(text_col).cast("string")
     t = turns.select(
-        F.col(conv_col).alias("conv_id"), F.coalesce(F.floor(turn / part_turns), F.lit(-1)).cast("bigint").alias("part"),
-        turn.alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"),
+        F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("bigint").alias("turn"), F.col(role_col).cast("string").alias("role"),
+        F.substring(text, 1, SORT_CHARS).alias("_start"), F.sha2(text, 256).alias("_sha"), text.alias("text"),
     )
     speakers = t.where(F.col("role").isNotNull() & ~F.col("role").isin(*settings)).select(F.col("conv_id").alias("_conv"), F.col("role").alias("speaker")).distinct()
-    crowded = t.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_turns)
-    crowded = cut(crowded.select(F.col("conv_id").alias("_conv")).distinct(), "chat-crowded")
-    is_crowded = t["conv_id"].eqNullSafe(crowded["_conv"])
-    t = t.join(crowded, is_crowded, "left_anti").unionByName(parts_by_rank(t.join(crowded, is_crowded, "left_semi"), part_turns))
-    parts = t.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("_turns"))
+    # A dialogue of one part has no need of ranks.
+    longer = t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_turns)
+    longer = cut(longer.select(F.col("conv_id").alias("_conv")), "chat-longer")
+    is_longer = t["conv_id"].eqNullSafe(longer["_conv"])
+    short = t.join(longer, is_longer, "left_anti").withColumn("part", F.lit(0).cast("bigint"))
+    t = short.unionByName(parts_by_rank(t.join(longer, is_longer, "left_semi"), part_turns))
+    parts = t.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct(*ORDER, "text"))).alias("_turns"))
     # Written first, so that both sides of the join are plain tables and a hot dialogue can be split.
     parts, speakers = cut(parts, "chat-parts"), cut(speakers, "chat-speakers")
     each = parts.join(speakers.hint("merge"), parts["conv_id"].eqNullSafe(speakers["_conv"]))
@@ -92,13 +94,13 @@ def rotate_perspectives(
 
 
 ORACLE = r"""
-WITH t AS (SELECT conv_id, CAST(coalesce(floor(turn / 1000.0), -1) AS BIGINT) AS part, turn, role, coalesce(replace(text, '<|', '< |'), '') || '<|end|>' AS body,
-  coalesce(translate(replace(role, '<|', '< |'), chr(10) || chr(13), '  '), 'unknown') AS name, text FROM conversations),
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, left(text, 100) NULLS FIRST, sha256(text) NULLS FIRST) AS n FROM conversations),
+t AS (SELECT conv_id, (n - 1) // 1000 AS part, n, role, coalesce(replace(text, '<|', '< |'), '') || '<|end|>' AS body,
+  coalesce(translate(replace(role, '<|', '< |'), chr(10) || chr(13), '  '), 'unknown') AS name FROM r),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM conversations WHERE role IS NOT NULL AND role <> 'system'),
 e AS (SELECT t.*, speaker, coalesce(role = speaker, false) AS own, '<|start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN name ELSE 'user:' || name END || chr(10) AS head
   FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
-o AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos,
-  row_number() OVER (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM e)
+o AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM e)
 SELECT conv_id, speaker, part, count(*) AS n_turns, sum(length(head) + length(body) + 1)::BIGINT AS n_chars, string_agg(head || body || chr(10), '' ORDER BY n) AS text,
   string_agg((pos + length(head))::BIGINT || ':' || length(body), ',' ORDER BY n) FILTER (WHERE own) AS spans
 FROM o GROUP BY 1, 2, 3
