@@ -1,8 +1,8 @@
-"""Token counts by a two-tier table of pre-token lengths; only the counts for that table are shuffled.
+"""Token counts by a two-tier table of pre-token lengths; no pre-token is shuffled.
 
 A text is cut where the model can never merge: before a space that follows something else,
 and on both sides of a line break. Its token count is the sum over these pre-tokens. Tasks
-look their lengths up in a broadcast table of frequent pre-tokens first and encode the rest
+look their lengths up in a broadcast table of frequent pre-tokens first, made from a bounded sample of rows, and encode the rest
 through a cache of the worker, so no pre-token leaves its task.
 """
 from __future__ import annotations
@@ -76,32 +76,35 @@ def _worker_lengths(path: str, frequent: dict[str, int]) -> PieceLengths:
     return _lengths[path]
 
 
-def frequent_lengths(texts: DataFrame, path: str, entries: int) -> dict[str, int]:
-    """Lengths of the ``entries`` most frequent pre-tokens of all rows.
+def frequent_lengths(texts: DataFrame, path: str, entries: int, sample_rows: int) -> dict[str, int]:
+    """Lengths of the ``entries`` most frequent pre-tokens of about ``sample_rows`` rows.
 
-    Each task counts all of its rows and sends its ``entries`` most frequent; a task that meets more than ten times
-    as many forgets the rarest on the way. Only the speed depends on this table.
+    The rows are drawn by a hash of their place, from all partitions alike. Tasks count the pre-tokens of the rows drawn and send
+    ``entries`` each at most, so what reaches the driver is bounded by the sample. Only the speed depends on this table.
     """
+    every = max(1, texts.count() // sample_rows)
+    drawn = texts.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(every)) == 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         for b in batches:
             for t in b.column(0):
                 seen.update(pretokens(t.as_py() or ""))
-                if len(seen) > 10 * entries:
-                    seen = Counter(dict(seen.most_common(entries)))
         top = seen.most_common(entries)
-        yield pa.RecordBatch.from_pydict({"key": [k for k, _ in top], "n": [n for _, n in top]}, schema=pa.schema([("key", pa.string()), ("n", pa.int64())]))
+        if top:
+            yield pa.RecordBatch.from_pydict({"key": [k for k, _ in top], "n": [n for _, n in top]}, schema=pa.schema([("key", pa.string()), ("n", pa.int64())]))
 
-    counts = texts.mapInArrow(count, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "key").take(entries)
+    found: Counter[str] = Counter()
+    for b in drawn.mapInArrow(count, "key string, n bigint").toArrow().to_batches():
+        for key, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            found[key] += n
     lengths = PieceLengths(path, {})
-    return {r["key"]: lengths[r["key"]] for r in top}
+    return {key: lengths[key] for key, _ in found.most_common(entries)}
 
 
 def token_counts(
     docs: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text",
-    entries: int = 20_000,
+    entries: int = 20_000, sample_rows: int = 2_000,
 ) -> DataFrame:
     """Bytes and tokens of every text by the sentencepiece model at ``path``.
 
@@ -111,7 +114,7 @@ def token_counts(
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    sent = spark.sparkContext.broadcast(frequent_lengths(texts.select("_text"), path, entries))
+    sent = spark.sparkContext.broadcast(frequent_lengths(texts.select("_text"), path, entries, sample_rows))
     id_type = texts.schema["_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
