@@ -1,6 +1,6 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Learned filters slide over the bytes of a text in steps of ``STRIDE``. Their responses are max-pooled within overlapping chunks
+Learned filters slide over every byte of a text (``STRIDE`` 1). Their responses are max-pooled within overlapping chunks
 that cover the whole text; the chunks' vectors are combined by mean and maximum, and a small dense
 layer turns them into one probability. Fitting runs on a bounded sample of labelled rows,
 scoring on every whole text inside tasks.
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from evifuse.llm.shingles import utf8_buffers
 
 WIDTH = 8  # bytes of a filter
-STRIDE = 4
+STRIDE = 1
 FILTERS = 24
 HIDDEN = 16
 BLOCK = 128  # bytes; two neighbouring blocks are a chunk, so chunks overlap by half
@@ -33,7 +33,7 @@ BATCH = 48
 RATE = 3e-3
 DECAY = 1e-4
 # Bytes scored at a time.
-SCORE_BYTES = 1 << 20
+SCORE_BYTES = 1 << 18
 
 
 @dataclass
