@@ -163,26 +163,34 @@ def weighted_similarity(a: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> floa
     return float(both / total) if total else 0.0
 
 
-def best_passage(words: np.ndarray, starts: np.ndarray, item: int, index: Index, threshold: float) -> tuple[int, float] | None:
-    """(start, similarity) of the most similar passage of the item's length near ``starts``, if it is similar enough."""
+def best_passage(words: np.ndarray, starts: np.ndarray, item: int, index: Index, threshold: float, any_will_do: bool = False) -> tuple[int, float] | None:
+    """(start, similarity) of the most similar passage of the item's length, if it is similar enough; the first if equal.
+
+    A similar passage has an equal tile, so its start is one of ``starts`` or off by no more than the edits before the tile.
+    All of these are compared, but for a passage that is equal already, and if ``any_will_do``, one of ``starts`` that is similar enough.
+    """
     n, weights = index.lengths[item], index.shingles[item]
     k, slack = min(SHINGLE, n), n // 9 + 1
     last = max(0, len(words) - n)
 
-    def score(places: set[int]) -> tuple[int, float] | None:
-        best = None
+    def score(places: set[int], best: tuple[int, float] | None) -> tuple[int, float] | None:
         for s in sorted(places):
             x = weighted_similarity(weights, shingle_run(words[s:s + n], k))
-            if x >= threshold - 1e-9 and (best is None or x > best[1]):
+            if x >= threshold - 1e-9 and (best is None or (x, -s) > (best[1], -best[0])):
                 best = (s, x)
+                if x == 1:
+                    break
         return best
 
     places = {min(max(int(s), 0), last) for s in starts}
-    return score(places) or score({min(max(s + d, 0), last) for s in places for d in range(-slack, slack + 1)} - places)
+    best = score(places, None)
+    if best and (best[1] == 1 or any_will_do):
+        return best
+    return score({min(max(s + d, 0), last) for s in places for d in range(-slack, slack + 1)} - places, best)
 
 
-def find_matches(texts: pa.Array, index: Index, threshold: float) -> list[tuple[int, int, int, int, float]]:
-    """(row, item, start, words, similarity) of the best passage of every item that a row holds."""
+def find_matches(texts: pa.Array, index: Index, threshold: float, any_will_do: bool = False) -> list[tuple[int, int, int, int, float]]:
+    """(row, item, start, words, similarity) of the best passage (or any) of every item that a row holds."""
     words, at = word_hashes(pc.utf8_lower(texts))
     if not len(words) or not index.anchors:
         return []
@@ -205,7 +213,7 @@ def find_matches(texts: pa.Array, index: Index, threshold: float) -> list[tuple[
                         hits.setdefault((r, i), set()).add(s)
     out = []
     for (r, i), starts in sorted(hits.items()):
-        if best := best_passage(words[at[r]:at[r + 1]], np.array(sorted(starts)), i, index, threshold):
+        if best := best_passage(words[at[r]:at[r + 1]], np.array(sorted(starts)), i, index, threshold, any_will_do):
             out.append((r, i, best[0], min(index.lengths[i], int(at[r + 1] - at[r])), best[1]))
     return out
 
@@ -275,7 +283,7 @@ def drop_contaminated(
                 for lo in range(0, b.num_rows, ROWS):
                     part = b.slice(lo, ROWS)
                     keep = np.ones(part.num_rows, bool)
-                    keep[[r for r, *_ in find_matches(part.column(name), sent.value, threshold)]] = False
+                    keep[[r for r, *_ in find_matches(part.column(name), sent.value, threshold, any_will_do=True)]] = False
                     yield part.filter(pa.array(keep)).select(columns)
 
         docs = docs.withColumn(name, F.col(text_col).cast("string")).mapInArrow(run, docs.schema)

@@ -18,20 +18,22 @@ def bag(w, k):
 
 
 def brute(docs, items, threshold=0.8):
-    out = set()
+    """{(document, item): (start, similarity)} of the most similar passages, the first if equal."""
+    out = {}
     for i, t in items:
         iw = [x for x in words(t) if x]
         n, k = len(iw), min(5, len(iw))
         want = bag(iw, k) if n else None
         for doc, text in docs:
             w = [x for x in words(text) if x]
-            for s in range(max(1, len(w) - n + 1)) if n and w else ():
+            at = [j for j in range(len(w) - k + 1) if n and tuple(w[j:j + k]) in want]
+            for s in range(max(0, at[0] - n), min(max(1, len(w) - n + 1), at[-1] + 1)) if at else ():
                 if w[s:s + n] and len(w[s:s + n]) >= k:
                     have = bag(w[s:s + n], k)
                     both = sum((have & want).values())
-                    if both and both / (sum(have.values()) + sum(want.values()) - both) >= threshold - 1e-9:
-                        out.add((doc, i))
-                        break
+                    x = both / (sum(have.values()) + sum(want.values()) - both)
+                    if both and x >= threshold - 1e-9 and x > out.get((doc, i), (0, 0))[1]:
+                        out[doc, i] = (s, x)
     return out
 
 
@@ -39,7 +41,7 @@ def test_query_matches_brute_force(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     rows = QUERIES["op6_benchmark_decontamination"](spark, sf).collect()
-    got = {(r["doc_id"], r["item_id"]) for r in rows}
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["similarity"]) for r in rows}
     shared = {x for _, t in items for x in bag(words(t), 5)}
     some = [(i, t) for i, t in docs if shared & set(bag(words(t), 5))]
     assert got and len(rows) == len(got) and got == brute(some, items)
@@ -58,10 +60,20 @@ def test_edited_passages(spark):
         if rng.random() < 0.4:
             w = w[rng.randrange(3):]
         docs.append((n, " ".join(rng.choices(vocabulary, k=rng.randrange(80)) + w + rng.choices(vocabulary, k=rng.randrange(80))).upper()))
-    got = {(r["doc_id"], r["item_id"]) for r in d.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    rows = d.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["similarity"]) for r in rows}
     assert got == brute(docs, items)
 
 
+def test_the_first_of_two_equally_similar_passages(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    near = item.replace("w29", "other")
+    docs = [(1, f"a b {near} c {near} d"), (2, f"{near} x {item} y {item}")]
+    rows = d.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(7, item)], "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["start"], r["similarity"]) for r in rows} == brute(docs, [(7, item)])
+    assert sorted(r["start"] for r in rows) == [1, 31]  # a word before and the last word after cost the same
+
+
 def test_all_fingerprints_within_the_radius_are_found():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**64, 300, dtype=np.uint64)
