@@ -7,6 +7,7 @@ rank within its length.
 """
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -14,6 +15,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,16 @@ from evifuse.session import cut
 CAPACITY = 4096
 # Entries of each generation of a worker's cache of word ids. Results don't depend on it.
 CACHE_ENTRIES = 500_000
+# Characters of text whose words are looked up at once.
+GROUP_CHARS = 4 << 20
+# Pre-tokens that are encoded as one text.
+JOINED_PARTS = 2_000
+# The pre-tokenizer pattern that WordIds can follow itself, and the same on words of plain letters in lower case, ASCII digits
+# and ASCII signs (no special string among them).
+PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u024f"
+PLAIN_WORD = re.compile(f"[!-@\\[-~{LETTERS}]+")
+PLAIN_PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^0-9{LETTERS}]+")
 # Letters whose lower case Python and the tokenizers might not agree on.
 NOT_PLAIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
 # Rows of one length that one window group may rank, on average.
@@ -34,9 +46,9 @@ class WordIds(dict):
     """Token ids of words as little-endian unsigned 32-bit bytes, encoded by the library in batches.
 
     White space ends every pre-token of these tokenizers and is dropped, so the ids of a text are those
-    of its space-separated parts. A full stop or comma after a plain letter is a pre-token of its own. Letters are
-    lower-cased by the tokenizer; where that can't depend on context or on special strings it is done
-    first, so that more words are alike. Two generations keep what is in use within a fixed size.
+    of its space-separated parts. A plain word is cut into its pre-tokens (a run of letters, a digit, a run of signs), which
+    repeat more than words do. Letters are lower-cased by the tokenizer; where that can't depend on context or on special
+    strings it is done first, so that more words are alike. Two generations keep what is in use within a fixed size.
     """
 
     def __init__(self, path: str):
@@ -47,6 +59,12 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         normalizer = self.tokenizer.normalizer
         self.lowers = normalizer is not None and normalizer.normalize_str("A") == "a"
+        with open(path, encoding="utf-8") as f:
+            parts = (json.load(f).get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.cuts = self.lowers and parts[0].get("pattern", {}).get("Regex") == PRETOKENS
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
@@ -57,36 +75,72 @@ class WordIds(dict):
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in found)]
 
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of strings that are one pre-token each: many are encoded as one text, and its ids cut behind every
+        token that ends a word."""
+        out: list[bytes] = []
+        texts = [parts[at:at + JOINED_PARTS] for at in range(0, len(parts), JOINED_PARTS)]
+        found = self.tokenizer.encode_batch_fast([" ".join(x) for x in texts], add_special_tokens=False)
+        for given, ids in zip(texts, (np.array(x.ids, np.uint32) for x in found), strict=True):
+            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            if len(ends) != len(given):
+                out += self.encode(given)
+                continue
+            raw = ids.astype("<u4").tobytes()
+            out += [raw[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
+        return out
+
     def learn(self, words: set[str]) -> None:
         if len(self) + len(words) > CACHE_ENTRIES:
             self.old = dict(self)
             self.clear()
         old = self.old.get
-        new = []
+        new: list[str] = []
         for w in words:
             if (ids := old(w)) is None:
                 new.append(w)
             else:
                 self[w] = ids
-        stems = {w: w[:-1] if len(w) > 1 and w[-1] in ".," and w[-2].isalpha() and not NOT_PLAIN.match(w[-2]) else w for w in new}
-        need = [x for x in {*stems.values(), ".", ","} if x not in self]
-        self.update(zip(need, self.encode(need), strict=True))
-        for w, stem in stems.items():
-            if stem is not w:
-                self[w] = self[stem] + self[w[-1]]
+        if not self.cuts:
+            self.update(zip(new, self.encode(new), strict=True))
+            return
+        plain = PLAIN_WORD.fullmatch
+        whole = [w for w in new if not plain(w) or "<|" in w or w != w.lower()]
+        self.update(zip(whole, self.encode(whole), strict=True))
+        letters, mixed = [], []
+        for w in new:
+            if w not in self:
+                (letters if w.isalpha() else mixed).append(w)
+        cut = [PLAIN_PART.findall(w) for w in mixed]
+        need = list({x for found in cut for x in found}.difference(self).union(letters))
+        self.update(zip(need, self.encode_parts(need), strict=True))
+        for w, found in zip(mixed, cut, strict=True):
+            if len(found) > 1:
+                self[w] = b"".join([self[x] for x in found])
 
     def texts(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text; nulls are empty."""
-        for at in range(0, len(texts), 200):
-            words = []
-            for t in texts[at:at + 200]:
-                t = (t or "").replace("\n", " ")
-                if self.lowers and "<|" not in t and not NOT_PLAIN.search(t):
-                    t = t.lower()
-                words.append(t.split(" "))
-            self.learn(set().union(*words).difference(self))
-            for w in words:
-                yield b"".join(map(self.__getitem__, w))
+        words: list[list[str]] = []
+        held = 0
+        for t in texts:
+            t = (t or "").replace("\n", " ")
+            if self.lowers and "<|" not in t and not NOT_PLAIN.search(t):
+                t = t.lower()
+            words.append(t.split(" "))
+            held += len(t)
+            if held > GROUP_CHARS:
+                yield from self.joined(words)
+                words, held = [], 0
+        yield from self.joined(words)
+
+    def joined(self, words: list[list[str]]) -> Iterator[bytes]:
+        """Ids of texts given as words: one look-up for each word, then what is new is learned together."""
+        ids = [list(map(self.get, w)) for w in words]
+        gaps = [n for n, found in enumerate(ids) if None in found]
+        self.learn({x for n in gaps for x, i in zip(words[n], ids[n], strict=True) if i is None})
+        for n in gaps:
+            ids[n] = [self[x] if i is None else i for x, i in zip(words[n], ids[n], strict=True)]
+        yield from map(b"".join, ids)
 
 
 _ids: dict[str, WordIds] = {}
