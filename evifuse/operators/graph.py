@@ -213,22 +213,36 @@ def degrees(edges: DataFrame) -> DataFrame:
     )
 
 
+def ranked_nodes(edges: DataFrame, scored: DataFrame) -> DataFrame:
+    """Every node with its degree and tier."""
+    return degrees(edges).join(scored.select("entity_id", "risk_tier"), "entity_id", "full").select(
+        "entity_id",
+        F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree"),
+        F.coalesce("risk_tier", F.lit("LOW")).alias("risk_tier"),
+    )
+
+
+# A node is worth drawing if it is connected, or flagged MEDIUM and above.
+WORTH_DRAWING = "degree > 0 or risk_tier in ('CRITICAL', 'HIGH', 'MEDIUM')"
+
+
 def visible_nodes(edges: DataFrame, scored: DataFrame, max_nodes: int | None = None) -> DataFrame:
     """Nodes worth drawing: connected, or flagged MEDIUM and above.
 
     A cap keeps the worst tiers and, inside a tier, the best connected.
     """
-    d = degrees(edges).join(scored.select("entity_id", "risk_tier"), "entity_id", "full").select(
-        "entity_id",
-        F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree"),
-        F.coalesce("risk_tier", F.lit("LOW")).alias("risk_tier"),
-    )
-    v = d.where((F.col("degree") > 0) | F.col("risk_tier").isin("CRITICAL", "HIGH", "MEDIUM"))
+    v = ranked_nodes(edges, scored).where(WORTH_DRAWING)
     if max_nodes is None:
         return v
     return v.orderBy(tier_rank(F.col("risk_tier")), F.desc("degree"), "entity_id").limit(max_nodes)
 
 
+def visible_counts(edges: DataFrame, scored: DataFrame, max_nodes: int) -> DataFrame:
+    """One row: all nodes, those worth drawing, the isolated ones left out, and whether a cap of ``max_nodes`` cuts the view."""
+    both = ranked_nodes(edges, scored).agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.expr(WORTH_DRAWING)).alias("visible"))
+    return both.select("nodes", "visible", (F.col("nodes") - F.col("visible")).alias("hidden_isolated"), (F.col("visible") > max_nodes).alias("truncated"))
+
+
 def graph_meta(classed: DataFrame) -> DataFrame:
     """Counts, total value and the ranges a filter can offer; one row."""
     money = F.col("edge_type") == "transaction"

@@ -41,10 +41,10 @@ def split_hot(
     the order's values.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_hot")).where(F.col("_hot") > min_rows)
-    hot = cut(counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_hot"), "hot-keys")
-    total = hot.agg(F.sum("_hot")).first()[0]
+    total = counts.agg(F.sum("_hot")).first()[0]
     if not total:
         return df, None
+    hot = cut(counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_hot"), "hot-keys")
     marked = df.join(hot, same_keys(keys), "left").drop(*[f"_k_{k}" for k in keys])
     dealt = marked.where("_hot is not null").drop("_hot").repartitionByRange(max(1, -(-total // slice_rows)), *keys, *order)
     return marked.where("_hot is null").drop("_hot"), cut(dealt.withColumn("_slice", F.spark_partition_id()), "slices")

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evifuse.functions.fields import institution
-from evifuse.operators.graph import direct_counterparties, money_flow_totals, value_in_out
+from evifuse.operators.graph import direct_counterparties, largest_transfers, money_flow_totals, value_in_out
 from evifuse.operators.keyed import top_per_key
 from evifuse.operators.scoring import TIERS, tier_rank
 
@@ -141,9 +141,10 @@ def dossiers(
     """
     direction = F.when(F.col("event_type") == "transaction", F.when(F.col("amount") < 0, "out").otherwise("in"))
     ev = top_per_key(events.where("us is not null"), ["entity_id"], [F.asc("us"), F.asc("raw_row_ref")], max_events, "pos")
+    channel = F.col("channel") if "channel" in events.columns else F.lit(None).cast("string")
     shown = ev.groupBy("entity_id").agg(
         F.array_sort(
-            F.collect_list(F.struct("pos", "us", "event_type", direction.alias("direction"), "amount", "counterparty", "location", "source_file", "raw_row_ref"))
+            F.collect_list(F.struct("pos", "us", "event_type", direction.alias("direction"), "amount", channel.alias("channel"), "counterparty", "location", "source_file", "raw_row_ref"))
         ).alias("events")
     )
     total = events.groupBy("entity_id").agg(F.count(F.lit(1)).alias("total_events"))
@@ -318,7 +319,7 @@ def run_digest(scored, events, entities, firings, edges, chains) -> dict[str, Da
         "rule_firings": firings.groupBy("rule_id").agg(F.count(F.lit(1)).alias("firings")),
         "entities": ranked_flagged(scored).join(entities, "entity_id", "left").join(value_in_out(edges), "entity_id", "left"),
         "entity_findings": firings,
-        "top_transfers": top_transfers(edges),
+        "top_transfers": largest_transfers(edges, scored),
         "entities_omitted": omitted_flagged(scored),
         "ml_only": only_anomalous(scored),
         "layering_chains": chains,

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -23,7 +24,9 @@ ID_TYPES = ("phone", "account", "vpa", "imei", "ip")
 LOCAL_EDGES = 2_000_000
 # (characters of a group, groups of a window), widest first: a grid serves phrases of their sum less one and more.
 GRIDS = ((6, 11), (4, 5), (4, 1), (3, 1), (2, 1), (1, 1))
-SAMPLE_CHARS = 1 << 20
+SAMPLE_CHARS = 1 << 16
+# Anchors that tasks get to leave out other samples before the join, at most (8 bytes each).
+SENT_ANCHORS = 1_000_000
 
 
 def kyc_from_events(bank: DataFrame, cdr: DataFrame, ipdr: DataFrame) -> DataFrame:
@@ -318,47 +321,73 @@ def lookup_entities(wanted: DataFrame, members: DataFrame) -> DataFrame:
     return wanted.join(ids.distinct(), "key", "left")
 
 
-def sampled_groups(text: str, size: int, window: int) -> np.ndarray:
-    """Hashes of the groups of ``size`` characters that are smallest in some run of ``window`` consecutive groups."""
-    if len(text) < size + window - 1:
-        return np.zeros(0, np.uint64)
-    out = []
-    step = SAMPLE_CHARS
-    for at in range(0, len(text) - size - window + 2, step):
-        codes = np.frombuffer(text[at:at + step + size + window - 2].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def sampled_groups(texts: list[str], size: int, window: int, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the groups of ``size`` characters that are smallest in some run of ``window`` consecutive
+    groups of a text; of the hashes in sorted ``known`` only, if given."""
+    whole, span = "".join(texts), size + window - 1
+    lengths = np.array([len(t) for t in texts], np.int64)
+    text_at, ends = np.repeat(np.arange(len(texts)), lengths), np.cumsum(lengths)
+    owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for at in range(0, len(whole) - span + 1, SAMPLE_CHARS):
+        codes = np.frombuffer(whole[at:at + SAMPLE_CHARS + span - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         n = len(codes) - size + 1
-        h = np.full(n, 0x9E3779B97F4A7C15 + size, np.uint64)
-        for k in range(size):
-            h = (h ^ codes[k:k + n]) * np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(32)
-        low = h[:n - window + 1].copy()
-        for k in range(1, window):
-            np.minimum(low, h[k:k + n - window + 1], out=low)
-        out.append(np.unique(low))
-    return np.unique(np.concatenate(out))
-
-
-def anchors(rows: DataFrame, key: str, grids: list[int] | None = None) -> DataFrame:
+        h = codes[:n] + np.uint64(size)
+        for k in range(1, size):
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h += codes[k:k + n]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        low, wide = h, 1
+        while 2 * wide <= window:
+            low = np.minimum(low[:-wide], low[wide:])
+            wide *= 2
+        if wide < window:
+            low = np.minimum(low[:wide - window], low[window - wide:])
+        owner = text_at[at:at + len(low)]
+        inside = np.arange(at, at + len(low)) + span <= ends[owner]  # no window over the end of its text
+        low, owner = low[inside], owner[inside]
+        # Neighbouring windows mostly share their smallest group.
+        keep = np.concatenate([[True], (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])])[:len(low)]
+        if known is not None:
+            place = np.searchsorted(known, low)
+            place[place == len(known)] = 0
+            keep &= known[place] == low if len(known) else False
+        owners.append(owner[keep])
+        found.append(low[keep])
+    return np.concatenate(owners), np.concatenate(found)
+
+
+def anchors(rows: DataFrame, key: str, grids: tuple[set[int], set[int]] | None = None, known: Broadcast | None = None) -> DataFrame:
     """(key, grid, anchor): sampled character groups of the second column of ``rows``.
 
-    A phrase, when ``grids`` is None, is sampled on the widest grid that it is long enough for, a text on each of the given
-    ones. A text that holds the phrase holds its windows of that grid whole, so it has the phrase's samples, too.
+    A phrase, when ``grids`` is None, is sampled on the widest grid that it is long enough for, a text on each of the
+    first of ``grids``, and on the second if it has an @; of its samples only those in ``known`` are kept, if that is given. A text that holds the phrase holds its windows
+    of that grid whole, so it has the phrase's samples, too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            owner, grid, found = [], [], []
-            for n, text in enumerate(b.column(1).to_pylist()):
-                fits = [g for g, (size, window) in enumerate(GRIDS) if len(text or "") >= size + window - 1]
-                for g in fits[:1] if grids is None else sorted(set(fits) & set(grids)):
-                    h = sampled_groups(text, *GRIDS[g])
-                    owner.append(np.full(len(h), n))
-                    grid.append(np.full(len(h), g, np.int32))
-                    found.append(h.view(np.int64))
-            if owner:
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(grid)), pa.array(np.concatenate(found))], names=[key, "grid", "anchor"]
-                )
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for g, (size, window) in enumerate(GRIDS):
+                if grids is None:
+                    above = GRIDS[g - 1][0] + GRIDS[g - 1][1] - 1 if g else None
+                    mine = [n for n, t in enumerate(texts) if size + window - 1 <= len(t) and (above is None or len(t) < above)]
+                else:
+                    mine = [n for n, t in enumerate(texts) if size + window - 1 <= len(t) and (g in grids[0] or g in grids[1] and "@" in t)]
+                at = 0
+                while at < len(mine):
+                    end, chars = at, 0
+                    while end < len(mine) and (end == at or chars + len(texts[mine[end]]) <= SAMPLE_CHARS):
+                        chars += len(texts[mine[end]])
+                        end += 1
+                    owner, found = sampled_groups([texts[n] for n in mine[at:end]], size, window, None if known is None else known.value)
+                    if len(found):
+                        rows = pa.array(np.array(mine[at:end])[owner])
+                        yield pa.RecordBatch.from_arrays(
+                            [b.column(0).take(rows), pa.array(np.full(len(found), g, np.int32)), pa.array(found.view(np.int64))], names=[key, "grid", "anchor"]
+                        )
+                    at = end
 
     kind = rows.schema[0].dataType.simpleString()
     return rows.mapInArrow(run, f"{key} {kind}, grid int, anchor bigint")
@@ -389,7 +418,9 @@ def mention_links(texts: DataFrame, members: DataFrame, names: DataFrame, limit:
         "text_id", "entity_id", F.lit("id").alias("how"), F.struct(F.lit(1).alias("a"), F.col("pos").alias("b"), F.lit("").alias("c")).alias("ord")
     )
     squeezed = F.regexp_replace("text", r"[\s\-()+]", "")
-    runs = texts.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all(squeezed, F.lit(r"([0-9]{6,})"), F.lit(1)))).alias("run"))
+    long_run = F.col("text").rlike(r"(?:[0-9][\s\-()+]*){6}")
+    runs = texts.where(long_run).select("text_id", F.explode(F.array_distinct(F.regexp_extract_all(squeezed, F.lit(r"([0-9]{6,})"), F.lit(1)))).alias("run"))
+    runs = cut(runs, "runs")
     numbers = members.where(F.col("id_type").isin("phone", "account", "imei", "vpa")).select(
         "entity_id", digits(F.col("identifier")).alias("run")
     ).where("run <> ''")
@@ -414,9 +445,16 @@ def mention_links(texts: DataFrame, members: DataFrame, names: DataFrame, limit:
     shared = parts.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"))
     anchor = parts.join(shared, "anchor").groupBy("phrase").agg(F.min_by(F.struct("anchor", "grid"), F.struct("_n", "anchor")).alias("a"))
     anchor = cut(anchor.select("phrase", "a.*"), "anchors")
-    grids = anchor.agg(F.collect_set("grid")).first()[0]  # four at most
-    inside = anchors(texts.select("text_id", lowered.alias("_t")), "text_id", grids)
-    maybe = inside.select("text_id", "anchor").join(anchor.select("phrase", "anchor"), "anchor").select("text_id", "phrase")
+    # The few grids of phrases without an @, and of those with one: no other text can hold these.
+    plain, handles, n = anchor.agg(
+        F.collect_set(F.when(~F.col("phrase").contains("@"), F.col("grid"))), F.collect_set(F.when(F.col("phrase").contains("@"), F.col("grid"))), F.count(F.lit(1))
+    ).first()
+    known = None
+    if n <= SENT_ANCHORS:  # beyond that the join alone finds them
+        hashes = anchor.select("anchor").toArrow()["anchor"].to_numpy()
+        known = texts.sparkSession.sparkContext.broadcast(np.unique(hashes.view(np.uint64)))
+    inside = anchors(texts.select("text_id", lowered.alias("_t")), "text_id", (set(plain), set(handles)), known)
+    maybe = inside.select("text_id", "anchor").distinct().join(anchor.select("phrase", "anchor"), "anchor").select("text_id", "phrase")
     hits = (
         cut(maybe, "maybe").join(texts.select("text_id", lowered.alias("_t")), "text_id")
         .where(F.col("_t").contains(F.col("phrase")))

@@ -635,99 +635,89 @@ def best_chains(
     """The reported path of each origin, as ``best_paths(layering_paths(...))`` gives it, without listing paths.
 
     Transfers that may follow each other are joined once. From every origin the states (origin, transfer, depth) are
-    reached forwards, and backwards each gets the best rank that a walk through it can have: a bound, since walks
-    may visit an entity twice. Then each origin follows the earliest next transfer whose bound is the best rank of all.
-    If that ends at the rank, it is the answer: nothing ranks higher, and no path of this rank starts
-    earlier. Only an origin whose walk would visit an entity twice is searched with several paths for a
-    state (``_exact_chains``). Rows are states and the transfers between them, however many paths there are.
+    reached forwards; backwards, each keeps the highest rank that a walk through it can have, and of such walks the
+    earliest. Walks may visit an entity twice, so this is a bound; an origin whose best walk visits none twice has
+    its answer, since nothing ranks higher and no path of this rank starts earlier. Only the other origins are
+    searched with several paths for a state (``_exact_chains``). Rows are states and the transfers between them, however
+    many paths there are.
     """
     span, low, high = int(max_hours * HOUR), 1 - max_skim, 1 - min_skim
     hops = cut(edges.where("amt > 0 and src <> dst").withColumn("e", F.monotonically_increasing_id()), "hops")
     fronts = hops.select("e", F.col("dst").alias("cur"), "us", "amt")
-    links = cut(
-        _band_join(fronts, hops, span, low, high).select("e", F.col("n_e").alias("f"), F.col("n_dst").alias("end")), "links"
+    hop = F.struct("us", "ref", "dst", "amt")
+    links = _band_join(fronts, hops, span, low, high).select(
+        "e", F.col("n_e").alias("f"), F.struct(*[F.col(f"n_{c}").alias(c) for c in ("us", "ref", "dst", "amt")]).alias("hop")
     )
-    # states[d]: (origin, e, end); steps[d]: (origin, e, f, end) from states[d] to states[d + 1]
-    states = [hops.where(F.col("amt") >= min_amount).select(F.col("src").alias("origin"), "e", F.col("dst").alias("end"))]
+    links = cut(links, "links")
+    first = hops.where(F.col("amt") >= min_amount).select(F.col("src").alias("origin"), "e", hop.alias("hop"))
+    # steps[d]: (origin, e, f, hop of f) from the states of depth d + 1 to those of depth d + 2
     steps: list[DataFrame] = []
+    states = [first.select("origin", "e", F.col("hop.dst").alias("end"))]
     while len(states) < max_depth:
-        step = cut(states[-1].where("end <> origin").drop("end").join(links, "e").select("origin", "e", "f", "end"), "steps")
+        step = cut(states[-1].where("end <> origin").drop("end").join(links, "e").select("origin", "e", "f", "hop"), "steps")
         if step.isEmpty():
             break
         steps.append(step)
-        states.append(cut(step.select("origin", F.col("f").alias("e"), "end").distinct(), "states"))
-    bounds: list[DataFrame] = []
+        states.append(step.select("origin", F.col("f").alias("e"), F.col("hop.dst").alias("end")).distinct())
+    tail = None
     for depth in range(len(states), 0, -1):
-        own = F.when(F.lit(depth + 1 >= min_entities), F.when(F.col("end") == F.col("origin"), _CYCLE).otherwise(0) + depth)
-        bound = states[depth - 1].withColumn("own", own)
-        if bounds:
-            later = bounds[0].select("origin", F.col("e").alias("f"), "bound")
-            ahead = steps[depth - 1].join(later, ["origin", "f"]).groupBy("origin", "e").agg(F.max("bound").alias("ahead"))
-            bound = bound.join(ahead, ["origin", "e"], "left").withColumn("bound", F.greatest("own", "ahead"))
-        else:
-            bound = bound.withColumn("bound", F.col("own"))
-        bounds.insert(0, cut(bound.select("origin", "e", "own", "bound").where("bound is not null"), "bounds"))
-    goals = cut(bounds[0].groupBy("origin").agg(F.max("bound").alias("goal")), "goals")
-    facts = hops.select("e", "us", "ref", "amt", "dst")
-    found, front = [], None
-    for depth, bound in enumerate(bounds):
-        if front is None:
-            grown = bound.join(goals, "origin").where("bound = goal").join(facts, "e").select(
-                "*", F.array("origin", "dst").alias("path"), F.array(F.struct("us", "ref")).alias("hops"), F.array("amt").alias("amounts")
+        walks = states[depth - 1].select("origin", "e", F.struct(
+            (-_chain_rank(depth, F.col("end"), min_entities)).alias("low"), F.array().cast("array<struct<us:bigint,ref:bigint,dst:string,amt:double>>").alias("tail"),
+        ).alias("walk")).where("walk.low is not null")
+        if tail is not None:
+            longer = F.struct(F.col("walk.low").alias("low"), F.concat(F.array("hop"), "walk.tail").alias("tail"))
+            walks = walks.unionByName(
+                steps[depth - 1].join(tail.withColumnRenamed("e", "f"), ["origin", "f"]).select("origin", "e", longer.alias("walk"))
             )
-        else:
-            grown = (
-                front.join(steps[depth - 1].drop("end"), ["origin", "e"]).drop("e").withColumnRenamed("f", "e")
-                .join(bound, ["origin", "e"]).where("bound = goal").join(facts, "e")
-                .where((F.col("dst") == F.col("origin")) | ~F.array_contains("path", F.col("dst")))
-            )
-            grown = _longer(grown)
-        first = F.struct("us", "ref", "dst")
-        kept = ["goal", "own", "e", "path", "hops", "amounts"]
-        best = cut(grown.groupBy("origin").agg(F.min_by(F.struct(*kept), first).alias("b")).select("origin", "b.*"), "chains")
-        found.append(best.where("own = goal"))
-        front = best.where("own < goal or own is null").drop("own")
-    done = cut(reduce(DataFrame.unionByName, found).drop("own", "e"), "chains")
-    rest = cut(goals.join(done.select("origin"), "origin", "left_anti").select("origin"), "unsettled")
-    if not rest.isEmpty():
-        done = done.drop("goal").unionByName(_exact_chains(rest, states, steps, bounds, facts, max_depth, min_entities))
-    return done.select("origin", "path", "hops", "amounts", (F.element_at("path", -1) == F.col("origin")).alias("cycle"))
-
-
-def _longer(grown: DataFrame) -> DataFrame:
-    """Paths with the transfer (us, ref, amt, dst) beside them put at their end."""
-    return (
-        grown.withColumn("path", F.concat("path", F.array("dst"))).withColumn("hops", F.concat("hops", F.array(F.struct("us", "ref"))))
-        .withColumn("amounts", F.concat("amounts", F.array("amt")))
+        tail = walks.groupBy("origin", "e").agg(F.min("walk").alias("walk"))
+    best = first.join(tail, ["origin", "e"]).groupBy("origin").agg(
+        F.min(F.struct(F.col("walk.low").alias("low"), F.concat(F.array("hop"), "walk.tail").alias("hops"))).alias("walk")
     )
+    path = F.concat(F.array("origin"), F.col("walk.hops.dst"))
+    best = best.select(
+        "origin", path.alias("path"), F.transform("walk.hops", lambda h: F.struct(h["us"].alias("us"), h["ref"].alias("ref"))).alias("hops"),
+        F.col("walk.hops.amt").alias("amounts"),
+    )
+    best = cut(best.withColumn("cycle", F.element_at("path", -1) == F.col("origin")), "chains")
+    simple = F.size(F.array_distinct("path")) == F.size("path") - F.col("cycle").cast("int")
+    unsettled = best.where(~simple).select("origin")
+    if unsettled.isEmpty():
+        return best
+    exact = _exact_chains(cut(unsettled, "unsettled"), first, steps, max_depth, min_entities)
+    return best.where(simple).unionByName(exact.withColumn("cycle", F.element_at("path", -1) == F.col("origin")))
 
 
-def _exact_chains(
-    origins: DataFrame, states: list[DataFrame], steps: list[DataFrame], bounds: list[DataFrame], facts: DataFrame, max_depth: int,
-    min_entities: int,
-) -> DataFrame:
+def _chain_rank(depth: int, end: Column, min_entities: int) -> Column:
+    """Rank of a path of ``depth`` transfers to ``end``; null if it has too few entities."""
+    return F.when(F.lit(depth + 1 >= min_entities), F.when(end == F.col("origin"), _CYCLE).otherwise(0) + depth)
+
+
+def _exact_chains(origins: DataFrame, first: DataFrame, steps: list[DataFrame], max_depth: int, min_entities: int) -> DataFrame:
     """Best simple path of each origin: (origin, path, hops, amounts).
 
     Of the paths into a state only representatives go on: a path is dropped if every continuation that it allows is
     allowed by an earlier one, too. A continuation has few entities, so a state keeps few paths.
     """
-    front = (
-        states[0].join(origins, "origin").join(facts, "e")
-        .select("origin", "e", F.array("origin", "dst").alias("path"), F.array(F.struct("us", "ref")).alias("hops"), F.array("amt").alias("amounts"))
+    at = lambda h: F.struct(h["us"].alias("us"), h["ref"].alias("ref"))
+    front = first.join(origins, "origin").select(
+        "origin", "e", F.array("origin", "hop.dst").alias("path"), F.array(at(F.col("hop"))).alias("hops"), F.array("hop.amt").alias("amounts")
     )
     best = None
-    for depth, bound in enumerate(bounds):
-        if depth:
-            front = front.join(steps[depth - 1].drop("end"), ["origin", "e"]).drop("e").withColumnRenamed("f", "e").join(facts, "e")
-            front = _longer(front.where((F.col("dst") == F.col("origin")) | ~F.array_contains("path", F.col("dst"))))
-        front = cut(front.join(bound, ["origin", "e"]).select("origin", "e", "path", "hops", "amounts", "own", "bound"), "front")
-        ended = front.where("own is not null").select("origin", "path", "hops", "amounts", F.col("own").alias("rank"))
+    for depth in range(1, len(steps) + 2):
+        if depth > 1:
+            front = front.join(steps[depth - 2], ["origin", "e"]).where((F.col("hop.dst") == F.col("origin")) | ~F.array_contains("path", F.col("hop.dst")))
+            front = front.select(
+                "origin", F.col("f").alias("e"), F.concat("path", F.array("hop.dst")).alias("path"), F.concat("hops", F.array(at(F.col("hop")))).alias("hops"),
+                F.concat("amounts", F.array("hop.amt")).alias("amounts"),
+            )
+        front = cut(front, "front")
+        end = F.element_at("path", -1)
+        ended = front.select("origin", "path", "hops", "amounts", _chain_rank(depth, end, min_entities).alias("rank")).where("rank is not null")
         ended = ended if best is None else ended.unionByName(best)
         order = F.struct(-F.col("rank"), "hops", "path")
         best = ended.groupBy("origin").agg(F.min_by(F.struct("path", "hops", "amounts", "rank"), order).alias("b")).select("origin", "b.*")
         best = cut(best, "best")
-        left = front.join(best.select("origin", "rank"), "origin", "left").where("rank is null or bound > rank").where("own is null or own < bound")
-        front = _representatives(left.select("origin", "e", "path", "hops", "amounts"), max_depth - depth - 1)
+        front = _representatives(front.where(end != F.col("origin")), max_depth - depth)
     return best.drop("rank")
 
 

@@ -146,6 +146,7 @@ def linked_calls_before(
     key = ["entity_id", "party"]
     heard = calls.select(*key, "us", F.struct("us", F.col("raw_row_ref").alias("ref")).alias("_c"))
     stacked = links.withColumn("_side", F.lit(1)).unionByName(heard.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    stacked = cut(stacked, "links")  # read twice
     cold, hot = split_hot(stacked, key, ["us"], min_rows, slice_rows)
     base = Window.partitionBy(*key)
     up = base.orderBy(F.asc("us"))

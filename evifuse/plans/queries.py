@@ -571,7 +571,7 @@ def entity_lookup(spark, sf):
 def _text_entities(spark, sf):
     """Benchmark items as named entities, with handles and numbers written in the documents."""
     d = cw.table(spark, sf, "documents")
-    handles = d.select(F.explode(F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9._]+@[A-Za-z0-9]+)"), F.lit(1))).alias("identifier")).distinct()
+    handles = d.where(F.contains("text", F.lit("@"))).select(F.explode(F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9._]+@[A-Za-z0-9]+)"), F.lit(1))).alias("identifier")).distinct()
     numbers = d.select(F.explode(F.regexp_extract_all("text", F.lit(r"\b([0-9]{6,})\b"), F.lit(1))).alias("identifier")).distinct()
     ids = handles.withColumn("id_type", F.lit("vpa")).unionByName(numbers.withColumn("id_type", F.lit("account")))
     owner = F.concat(F.lit("ENT_"), F.substring(F.sha2("identifier", 256), 1, 12))

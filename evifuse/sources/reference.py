@@ -50,8 +50,9 @@ def builtin_towers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "key string, lat double, lon double, label string, city string")
 
 
-def tower_master(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """Tower places by upper-cased tower or cell id; rows of the file override the built-in ones."""
+def tower_master(spark: SparkSession, path: str | None = None, folder: str | None = None) -> DataFrame:
+    """Tower places by upper-cased tower or cell id; rows of the file override the built-in ones. A list in several
+    files with the header of ``path`` is read from ``folder``."""
     base = builtin_towers(spark).withColumn("_rank", F.lit(1))
     if path is None:
         return base.drop("_rank")
@@ -62,7 +63,7 @@ def tower_master(spark: SparkSession, path: str | None = None) -> DataFrame:
         hit = next((by[n] for n in names if n in by), None)
         return F.lit(None).cast("string") if hit is None else present(F.col(f"`{hit}`"))
 
-    raw = spark.read.option("header", True).option("sep", sep).csv(path)
+    raw = spark.read.option("header", True).option("sep", sep).csv(folder or path)
     place = raw.select(
         col("latitude", "lat").try_cast("double").alias("lat"),
         col("longitude", "lon", "long").try_cast("double").alias("lon"),
