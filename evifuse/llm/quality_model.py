@@ -58,8 +58,9 @@ class Network:
 
 
 def blocks_of(raw: np.ndarray) -> np.ndarray:
-    """Bytes of a text in whole blocks, padded with 0; a zero byte in it counts as 1. An empty text is one block."""
-    out = np.zeros(max(1, -(-len(raw) // BLOCK)) * BLOCK, np.uint8)
+    """Bytes of a text in whole blocks, padded with 0; a zero byte in it counts as 1. An empty text is one block. There is
+    padding for a filter at the last byte, so that no filter reads into the next text."""
+    out = np.zeros(-(-(max(len(raw), 1) + WIDTH - 1) // BLOCK) * BLOCK, np.uint8)
     out[:len(raw)] = np.maximum(raw, 1)
     return out
 

@@ -36,6 +36,39 @@ def test_gradients_match_differences():
             assert abs((up - down) / 2e-5 - g[at]) < 2e-4, (k, at)
 
 
+def plain_score(net, text):
+    """Forward pass in loops, one text alone."""
+    data = [max(b, 1) for b in text]
+    n_blocks = -(-(max(len(data), 1) + m.WIDTH - 1) // m.BLOCK)
+    tops = []
+    for block in range(n_blocks):
+        top = [0.0] * m.FILTERS
+        for at in range(block * m.BLOCK, min((block + 1) * m.BLOCK, len(data))):
+            for f in range(m.FILTERS):
+                z = float(net.bias[f])
+                for w in range(m.WIDTH):
+                    if at + w < len(data):
+                        z += float(net.table[w, data[at + w], f])
+                top[f] = max(top[f], z)
+        tops.append(top)
+    chunks = [[max(a, b) for a, b in zip(tops[k], tops[min(k + 1, n_blocks - 1)], strict=True)] for k in range(n_blocks)]
+    doc = [sum(c[f] for c in chunks) / n_blocks for f in range(m.FILTERS)] + [max(c[f] for c in chunks) for f in range(m.FILTERS)]
+    doc += [min(len(data) / (2 * m.BLOCK), 1), np.log1p(len(data)) / 8]
+    hidden = [np.tanh(sum(x * float(net.dense[i, j]) for i, x in enumerate(doc)) + float(net.dense_bias[j])) for j in range(m.HIDDEN)]
+    return 1 / (1 + np.exp(-(sum(h * float(net.out[j]) for j, h in enumerate(hidden)) + float(net.out_bias[0]))))
+
+
+def test_scores_match_a_forward_pass_in_loops(monkeypatch):
+    rng = np.random.Generator(np.random.PCG64(9))
+    net = m.Network.start(4)
+    texts = [rng.integers(0, 256, n).astype(np.uint8) for n in (0, 1, 5, 120, 121, 122, 127, 128, 129, 255, 256, 400, 1000)]
+    want = [plain_score(net, t.tolist()) for t in texts]
+    assert np.allclose(m.scores(net, texts), want, atol=1e-5)
+    assert np.allclose(m.scores(net, texts[::-1])[::-1], want, atol=1e-5)  # neighbours don't matter
+    monkeypatch.setattr(m, "SCORE_BYTES", 2 * m.BLOCK)
+    assert np.allclose(m.scores(net, texts), want, atol=1e-5)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     rows = {r["doc_id"]: r for r in QUERIES["op1_quality_classifier"](spark, sf).collect()}

@@ -111,3 +111,23 @@ def test_parts_are_bounded_whatever_the_turns(spark):
         text = "".join(r["text"] for r in sorted(rows, key=lambda r: r["part"]) if r["conv_id"] == conv)
         want = [x for c, t, _, x in sorted(turns, key=lambda r: (r[1] or 0, r[3])) if c == conv]
         assert [x.split("<|end|>")[0] for x in text.split("<|start|>assistant\n")[1:]] == want
+
+
+def test_very_long_urls_and_turns(spark):
+    got = verdicts(spark, ["https://a.net/fr/" + "x/" * 500_000, "https://" + "h." * 100_000 + "org/p", "z" * 1_000_000])
+    assert (got[0]["host"], len(got[0]["path"]), got[0]["rule"], got[0]["verdict"]) == ("a.net", 1_000_004, "net/fr/", "block")
+    assert len(got[1]["host"]) == 200_003 and got[1]["path"] == "/p" and got[1]["verdict"] == "allow" and got[2]["host"] == ""
+    long = "word " * 400_000
+    rows = [("c", 1, "ann", long + "b"), ("c", 1, "ann", long + "a"), ("c", 2, "bob", "short")]
+    (ann,) = chat.rotate_perspectives(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")).where("speaker = 'ann'").collect()
+    learned = [ann["text"][s["start"]:s["start"] + s["length"]] for s in ann["spans"]]
+    assert sorted(learned) == [long + "a<|end|>", long + "b<|end|>"] and ann["n_chars"] == len(ann["text"])
+
+
+def test_a_bound_at_the_limit_allows(spark):
+    pages = spark.createDataFrame([(n, f"https://h{n % 4}.org/{n}") for n in range(40)], "page_id bigint, url string")
+    outcomes = spark.createDataFrame([(n, int(n % 4 == 0)) for n in range(40)], "page_id bigint, bad int")
+    bound = {r["host"]: r["bad_bound"] for r in url_filters.filter_urls(pages, outcomes).collect()}["h0.org"]
+    for margin, verdict in ((bound - 0.25, "allow"), (bound - 0.25 - 1e-9, "block")):
+        got = {r["host"]: r["verdict"] for r in url_filters.filter_urls(pages, outcomes, margin=margin).collect()}
+        assert got["h0.org"] == verdict and got["h1.org"] == "allow"
