@@ -1,6 +1,9 @@
 """Scorecard of detections against labelled truth."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ TYPOLOGIES = (
     ("IDR-1", "Identity Fan-out / SIM Swap"),
     ("LOC-1", "Geo-Improbable Location"),
 )
+# Entries and their sharing pairs that choose in one task.
+SLICE_ROWS = 50_000
 
 
 def overlap_pairs(truth_ids: DataFrame, members: DataFrame) -> DataFrame:
@@ -31,68 +36,75 @@ def overlap_pairs(truth_ids: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def match_truth(
-    truth: DataFrame, truth_ids: DataFrame, members: DataFrame, scored: DataFrame
+    truth: DataFrame, truth_ids: DataFrame, members: DataFrame, scored: DataFrame, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """(truth_id, entity_id): each truth entry with its detected entity, none used twice.
 
     Entries choose in order of ``truth.seq``: the entity with the largest overlap, or, when
     no sharing entity is left, the one with the expected rule and the most rules.
-    Instead of going one by one, all entries propose to their best choice at once, an
-    entity keeps the earliest proposer, and the others go on to their next choice. With
-    one common order this ends in exactly the one-by-one result.
-
-    Entries out of sharing entities make one proposal a round (``_next_by_rule``), so a round has no more rows than
-    entries and sharing pairs.
-    """
-    t = cut(truth.select("truth_id", "seq", "typology"), "truth")
-    size = t.count()
-    shared = overlap_pairs(truth_ids, members).select(
-        "truth_id", "entity_id", F.lit(0).alias("stage"), (-F.col("overlap")).cast("bigint").alias("pref")
-    )
-    pairs = cut(shared.join(t.select("truth_id", "seq"), "truth_id"), "pairs")
-    out_of_choices = t.limit(0)
-    ranked = None
-    while True:  # every round settles a proposal or finds that an entry has no choice left
-        best = F.min_by("entity_id", F.struct("stage", "pref", "entity_id"))
-        top = cut(pairs.groupBy("truth_id", "seq").agg(best.alias("entity_id")), "proposals")
-        proposals, wanted = top.agg(F.count(F.lit(1)), F.count_distinct("entity_id")).first()
-        if proposals > wanted:
-            # An entity only ever moves to an earlier entry: all later ones may forget it.
-            held = top.groupBy("entity_id").agg(F.min("seq").alias("_held"))
-            left = pairs.join(held, "entity_id", "left").where("_held is null or seq <= _held")
-            pairs = cut(left.drop("_held"), "pairs")
-            continue
-        idle = cut(
-            t.join(top.select("truth_id"), "truth_id", "left_anti").join(out_of_choices, "truth_id", "left_anti"), "idle"
-        )
-        if idle.isEmpty():
-            return top.select("truth_id", "entity_id")
-        if ranked is None:
-            # An entry can lose at most one entity to each other entry: the best ``size`` of a rule are enough.
-            typed = t.select(F.col("typology").alias("rule_id")).distinct()
-            by_rule = scored.select("entity_id", "n_rules", F.explode("rules_fired").alias("rule_id")).join(
-                typed, "rule_id", "left_semi"
-            )
-            ranked = cut(top_per_key(by_rule, ["rule_id"], [F.desc("n_rules"), F.asc("entity_id")], max(size, 1), "_k"), "ranked")
-        more = cut(_next_by_rule(idle, ranked, top), "by-rule")
-        pairs = cut(pairs.unionByName(more), "pairs")
-        out_of_choices = cut(out_of_choices.unionByName(idle.join(more, "truth_id", "left_anti")), "out-of-choices")
-
-
-def _next_by_rule(idle: DataFrame, ranked: DataFrame, top: DataFrame) -> DataFrame:
-    """The next proposal of each waiting entry: the n-th of a rule to the n-th entity that the rule's first may have.
-
-    What an entry may have, every earlier one of its rule may have, too, and each of them takes something better. So
-    the n-th ends no higher than the n-th of the first one's list. An entry beyond its end gets nothing.
+    What an entry may choose depends on all earlier ones, so ranges of entries, dealt by ``seq`` into slices of about
+    ``slice_rows`` entries and sharing pairs, choose one after the other (``_choose``). A slice of n entries sees what earlier
+    slices left: its own pairs and the best n of each rule, as an entry can lose at most one entity to each other entry.
     """
-    waiting = latest(idle, ["typology"], ["seq"], counts={"_n": F.lit(1)})
-    first = idle.groupBy(F.col("typology").alias("rule_id")).agg(F.min("seq").alias("_first"))
-    held = top.select("entity_id", F.col("seq").alias("_held"))
-    free = ranked.join(first, "rule_id").join(held, "entity_id", "left").where("_held is null or _held > _first")
-    numbered = latest(free.select("rule_id", "entity_id", "_k"), ["rule_id"], ["_k"], counts={"_n": F.lit(1)})
-    return waiting.join(numbered.withColumnRenamed("rule_id", "typology"), ["typology", "_n"]).select(
-        "truth_id", "entity_id", F.lit(1).alias("stage"), F.col("_k").alias("pref"), "seq"
+    t = truth.select("truth_id", "seq", F.col("typology").alias("rule_id"))
+    shared = overlap_pairs(truth_ids, members).join(t, "truth_id").select(
+        *t.columns, F.lit(0).alias("stage"), (-F.col("overlap")).cast("bigint").alias("pref"), "entity_id"
     )
+    last = t.select("*", F.lit(1).alias("stage"), F.lit(None).cast("bigint").alias("pref"), F.lit(None).cast("string").alias("entity_id"))
+    choices = cut(shared.unionByName(last), "pairs")
+    slices = -(-choices.count() // slice_rows)
+    if slices > 1:  # ranges of seq: all rows of an entry share a slice
+        choices = cut(choices.repartitionByRange(slices, "seq").withColumn("_slice", F.spark_partition_id()), "pairs")
+    else:
+        choices = choices.withColumn("_slice", F.lit(0))
+    sizes = dict(choices.where("stage = 1").groupBy("_slice").agg(F.count(F.lit(1))).collect())
+    by_rule = scored.select("entity_id", (-F.col("n_rules")).alias("_n"), F.explode("rules_fired").alias("rule_id"))
+    by_rule = by_rule.join(t.select("rule_id").distinct(), "rule_id", "left_semi")
+    ranked = latest(by_rule, ["rule_id"], ["_n", "entity_id"], counts={"pref": F.lit(1)})
+    ranked = cut(ranked.select("rule_id", "entity_id", "pref"), "ranked")
+    picks = cut(choices.limit(0).select("truth_id", "entity_id"), "picks")
+    settled = 0
+    for n in sorted(sizes):
+        gone = picks.select("entity_id")
+        # Of a rule's first ``settled`` + size, earlier slices took at most ``settled``.
+        free = ranked.where(F.col("pref") <= settled + sizes[n]).join(gone, "entity_id", "left_anti")
+        free = top_per_key(free, ["rule_id"], [F.asc("pref")], sizes[n], "_k").drop("_k")
+        mine = choices.where(F.col("_slice") == n).drop("_slice").join(gone, "entity_id", "left_anti")
+        rows = mine.unionByName(free, allowMissingColumns=True).select("seq", "truth_id", "stage", "pref", "rule_id", "entity_id")
+        rows = rows.repartition(1).sortWithinPartitions(F.asc_nulls_first("seq"), "truth_id", "stage", "pref", "entity_id")
+        found = cut(rows.select("truth_id", "rule_id", "entity_id").mapInArrow(_choose, picks.schema), "proposals")
+        picks = cut(picks.unionByName(found), "picks") if settled else found
+        settled += sizes[n]
+    return picks
+
+
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(truth_id, entity_id) of a slice whose rows come in order: first, without ``truth_id``, the free entities of each
+    rule; then each entry's sharing entities, and last its row without ``entity_id``, where it turns to its rule."""
+    free: dict[str, list[str]] = {}
+    begun: dict[str, int] = {}
+    taken: set[str] = set()
+    settled = None
+    for b in batches:
+        picks: list[tuple[str, str]] = []
+        for entry, rule, entity in zip(*(c.to_pylist() for c in b.columns)):
+            if entry is None:
+                free.setdefault(rule, []).append(entity)
+                continue
+            if entry == settled:
+                continue
+            if entity is None:
+                options, at = free.get(rule, []), begun.get(rule, 0)
+                while at < len(options) and options[at] in taken:
+                    at += 1
+                begun[rule] = at
+                entity = options[at] if at < len(options) else None
+            if entity is not None and entity not in taken:
+                taken.add(entity)
+                picks.append((entry, entity))
+                settled = entry
+        names = ["truth_id", "entity_id"]
+        yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in picks], pa.string()) for c in range(2)], names=names)
 
 
 def truth_status(truth: DataFrame, matches: DataFrame, scored: DataFrame) -> DataFrame:

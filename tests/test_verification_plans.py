@@ -71,6 +71,26 @@ def test_match_equals_one_by_one(spark, seed):
     assert {r["truth_id"]: r["entity_id"] for r in got.collect()} == greedy(truth, ids, members, scored)
 
 
+@pytest.mark.parametrize("slice_rows", (7, 50_000))
+def test_displaced_entries_need_few_jobs(spark, monkeypatch, slice_rows):
+    """Each entry by rule takes the own entity of a later one: few rounds of jobs, slices or not, and the one-by-one result."""
+    n = 40
+    rnd = random.Random(5)
+    truth = [(f"T{k:02}", 2 * k, rnd.choice(["STR-1", "LAY-1", "MUL-1"])) for k in range(n)]
+    ids = [(f"T{k:02}", f"i{k // 2 if k % 7 == 6 else k}") for k in range(n) if k]
+    members = [(f"E{k:02}", f"i{k}", "phone") for k in range(n)]
+    scored = [(f"E{k:02}", "LOW", 3 - k % 2, rnd.sample(["STR-1", "LAY-1", "MUL-1"], 3 - k % 2)) for k in range(n - 5)]
+    names, cut = [], V.cut
+    monkeypatch.setattr(V, "cut", lambda df, name="cut", by=None: names.append(name) or cut(df, name, by))
+    got = V.match_truth(
+        spark.createDataFrame(truth, "truth_id string, seq bigint, typology string"), spark.createDataFrame(ids, "truth_id string, identifier string"),
+        spark.createDataFrame(members, "entity_id string, identifier string, id_type string"),
+        spark.createDataFrame(scored, "entity_id string, risk_tier string, n_rules bigint, rules_fired array<string>"), **({"slice_rows": 7} if slice_rows == 7 else {}),
+    )
+    assert {r["truth_id"]: r["entity_id"] for r in got.collect()} == greedy(truth, ids, members, scored)
+    assert len(names) <= 4 + 2 * -(-(n + len(ids)) // slice_rows)
+
+
 def test_scorecard(spark):
     truth = spark.createDataFrame([("T1", 0, "STR-1"), ("T2", 1, "LAY-1"), ("T3", 2, "MUL-1"), ("T4", 3, "MUL-1")], "truth_id string, seq bigint, typology string")
     match = spark.createDataFrame([("T1", "A"), ("T2", "B"), ("T3", "C")], "truth_id string, entity_id string")
