@@ -66,6 +66,7 @@ def bundle_lines(scored: DataFrame, entities: DataFrame, firings: DataFrame, evi
 def write_bundle_lines(lines: DataFrame, path: str) -> None:
     """JSON lines, a folder per tier; documents follow each other in order, and a long one goes on in the next file."""
     keys = ["risk_tier", "entity_id", "section", "a", "b", "c"]
+    lines = cut(lines, "lines")  # ranges are sampled first, which would make every line twice
     lines.repartitionByRange(*keys).sortWithinPartitions(*keys).select("risk_tier", "line").write.mode("overwrite").partitionBy("risk_tier").text(path)
 
 

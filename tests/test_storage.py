@@ -64,3 +64,18 @@ def test_upsert_rewrites_only_what_it_touches(spark, tmp_path):
     assert len(got) == 200 and got["p3"] == "s2" and got["p7"] == "s1" and got["p9"] == "s1"
     storage.upsert_registry(rows([], 3), path, parts=16)
     assert files(path) == after
+
+
+def test_bundle_lines_are_made_once(spark, tmp_path):
+    """Ranges of lines are sampled from written lines: each line is made a single time."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def line(k):
+        made.add(1)
+        return f"line {k}"
+
+    keys = F.lit("HIGH").alias("risk_tier"), F.lpad(F.col("id").cast("string"), 3, "0").alias("entity_id"), F.lit(0).alias("section")
+    lines = spark.range(40).select(*keys, F.lit("").alias("a"), F.lit(0).alias("b"), F.lit("").alias("c"), line.asNondeterministic()("id").alias("line"))
+    storage.write_bundle_lines(lines, str(tmp_path / "lines"))
+    assert spark.read.text(str(tmp_path / "lines")).count() == 40 and made.value == 40
