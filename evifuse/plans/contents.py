@@ -54,7 +54,7 @@ def entity_lists(spark, sf):
 def map_all_identifiers(spark, sf):
     """Events resolved through numbers, accounts and handles."""
     known = resolution.identifier_index(_validated(spark, sf))
-    return resolution.apply_mapping(cw.events(spark, sf), known).select("raw_row_ref", "entity_id")
+    return resolution.apply_mapping(cw.stored(spark, sf), known).select("raw_row_ref", "entity_id")
 
 
 # ------------------------------------------------------------------- rules and scores
@@ -79,7 +79,7 @@ def rule_severity_map(spark, sf):
 )
 def idr_evidence(spark, sf):
     """All evidence of the identity rule but the printed time gap."""
-    return rules.idr1(cw.events(spark, sf), cw.members(spark, sf)).evidence.where("token not like 'time_gap:%'").select("entity_id", "token")
+    return rules.idr1(cw.stored(spark, sf), cw.members(spark, sf)).evidence.where("token not like 'time_gap:%'").select("entity_id", "token")
 
 
 _EMBEDDED = (
@@ -96,7 +96,7 @@ _EMBEDDED = (
 def tcs2_embedded_evidence(spark, sf):
     """Evidence of the limb that finds a called number inside the payee; no owner is known."""
     none = cw.id_map(spark, sf).where("identifier is null")
-    return rules.tcs2(cw.events(spark, sf), none, 1440).evidence.select("entity_id", "token")
+    return rules.tcs2(cw.stored(spark, sf), none, 1440).evidence.select("entity_id", "token")
 
 
 # -------------------------------------------------------------------------- documents
@@ -111,7 +111,7 @@ def dossier_events(spark, sf):
     """The events that dossiers show, with the payment channel."""
     kinds = F.array(*[F.lit(c) for c in ("UPI", "IMPS", "NEFT")])
     k = F.regexp_extract("counterparty", "^(?:ACC_|9?0*)([0-9]+)", 1).cast("bigint")
-    e = cw.events(spark, sf).withColumn("channel", F.when(F.col("event_type") == "transaction", kinds[(k % 3).cast("int")]))
+    e = cw.stored(spark, sf).withColumn("channel", F.when(F.col("event_type") == "transaction", kinds[(k % 3).cast("int")]))
     d = reports.dossiers(cw.scored(spark, sf), cw.entities(spark, sf), cw.edges(spark, sf), e, cw.firings(spark, sf), cw.evidence(spark, sf))
     x = d.select("entity_id", F.explode("events").alias("x")).select("entity_id", "x.*")
     return x.withColumn("amount", F.round("amount", 4)).withColumn("pos", F.col("pos").cast("bigint")).select(
@@ -127,7 +127,7 @@ def dossier_events(spark, sf):
 )
 def bundle_documents(spark, sf):
     """Bundles written as sorted lines and read back; evidence of one rule is compared."""
-    e, s = cw.events(spark, sf), cw.scored(spark, sf)
+    e, s = cw.stored(spark, sf), cw.scored(spark, sf)
     lines = storage.bundle_lines(
         s, cw.entities(spark, sf), cw.firings(spark, sf), cw.evidence(spark, sf), graph.direct_counterparties(cw.edges(spark, sf), s), e.drop("ts")
     )
@@ -150,7 +150,7 @@ def bundle_documents(spark, sf):
 )
 def entity_trace_rows(spark, sf):
     """Raw rows of every trace bundle."""
-    _, _, raw = reports.trace_bundle(cw.scored(spark, sf), cw.entities(spark, sf), cw.firings(spark, sf), cw.evidence(spark, sf), cw.events(spark, sf))
+    _, _, raw = reports.trace_bundle(cw.scored(spark, sf), cw.entities(spark, sf), cw.firings(spark, sf), cw.evidence(spark, sf), cw.stored(spark, sf))
     return raw.withColumn("amount", F.round("amount", 4))
 
 
@@ -166,7 +166,7 @@ def entity_trace_rows(spark, sf):
 def run_digest(spark, sf):
     """The digest of a run, its tables stacked."""
     s = cw.scored(spark, sf)
-    parts = reports.run_digest(s, cw.events(spark, sf), cw.entities(spark, sf), cw.firings(spark, sf), cw.edges(spark, sf), cw.best_chains(spark, sf))
+    parts = reports.run_digest(s, cw.stored(spark, sf), cw.entities(spark, sf), cw.firings(spark, sf), cw.edges(spark, sf), cw.best_chains(spark, sf))
     show = {
         "rule_firings": ("rule_id", F.col("firings")), "entity_findings": (F.concat_ws(" ", "entity_id", "rule_id"), F.col("severity")),
         "entities": ("entity_id", F.concat_ws(" ", "risk_tier", "n_accounts")), "top_transfers": (F.concat_ws(">", "src", "dst"), F.col("count")),

@@ -124,3 +124,12 @@ def test_mentions(spark):
         1: ["ENT_0043"], 2: ["ENT_0043"], 3: ["ENT_0007", "ENT_0008"], 4: ["ENT_0008"], 6: ["ENT_0007"], 7: ["ENT_0008"],
         8: ["ENT_0007", "ENT_0008", "ENT_0043"],
     }
+
+
+def test_ownership_takes_one_pass_per_kind(spark):
+    """Each kind of event is read once, whatever it tells."""
+    cols = "entity_ref string, imei string, _public_ip string"
+    bank, cdr, ipdr = (spark.createDataFrame(r, cols) for r in ([("A", None, None)], [("1", "d", None), ("1", "nan", None)], [("1", None, "9.9"), (" ", None, "8.8")]))
+    d = R.kyc_from_events(bank, cdr, ipdr)
+    assert {tuple(r) for r in d.select("entry", "id_type", "identifier").collect()} == {("A", "account", "A"), ("1", "phone", "1"), ("1", "imei", "d"), ("1", "ip", "9.9")}
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 3

@@ -157,3 +157,10 @@ def test_source_does_not_gather_or_cut_locally():
         assert not re.search(r"localCheckpoint|crossJoin|\.collect\(\)|\.rdd\b|F\.udf\(", text), p
         if p.name != "scoring.py":
             assert "toPandas" not in text, p
+
+
+@pytest.mark.parametrize("name", ("apply_mapping", "dossier_events", "institution_flagged", "str_schedule"))
+def test_given_events_are_read_once(spark, sf, name):
+    """Queries of many passes read the run's written event table, not the texts of the given one again."""
+    files = QUERIES[name](spark, sf).inputFiles()
+    assert files and not [f for f in files if f.startswith(f"file://{sf}/events.parquet")]
