@@ -126,6 +126,20 @@ def test_mentions(spark):
     }
 
 
+def test_component_steps_send_nothing_to_the_driver(spark, monkeypatch):
+    plans, cut = [], R.cut
+
+    def planned(df, name="cut", by=None):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, name, by)
+
+    monkeypatch.setattr(R, "cut", planned)
+    rows = [(f"n{k:02}", f"n{k + 1:02}") for k in range(30) if k % 10 < 9]
+    got = {r["identifier"]: r["component"] for r in R.components(spark.createDataFrame(rows, "src string, dst string")).collect()}
+    assert got == {f"n{k:02}": f"n{k // 10 * 10:02}" for k in range(30)}
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
+
+
 def test_ownership_takes_one_pass_per_kind(spark):
     """Each kind of event is read once, whatever it tells."""
     cols = "entity_ref string, imei string, _public_ip string"
