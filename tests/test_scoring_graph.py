@@ -33,6 +33,14 @@ def test_combine_keeps_signals_apart(spark):
     assert [r[0] for r in reports.only_anomalous(scoring.combine_scores(firing(spark, [("A", "STR-1", "HIGH")]), flags, everyone)).collect()] == ["B"]
 
 
+def test_only_anomalous_lists_every_entity(spark):
+    flags = spark.createDataFrame([(f"E{n:02}", 0.9, n % 4 > 0) for n in range(60, 0, -1)], "entity_id string, score double, ml_anomaly boolean")
+    fired = firing(spark, [(f"E{n:02}", "STR-1", "HIGH") for n in range(1, 61, 5)])
+    want = [f"E{n:02}" for n in range(1, 61) if n % 4 > 0 and n % 5 != 1]
+    assert len(want) > 15
+    assert [r[0] for r in reports.only_anomalous(scoring.combine_scores(fired, flags)).collect()] == want
+
+
 def test_isolation_forest_properties(spark):
     rows = [(f"e{n}", 1.0 + n % 7 * 0.1, 5.0 + n % 5 * 0.2, 1.0 + n % 3 * 0.05, float(n % 4), 2.0) for n in range(400)] + [("odd", 90.0, 900.0, 40.0, 300.0, 200.0)]
     d = spark.createDataFrame(rows, "entity_id string, " + ", ".join(f"{c} double" for c in scoring.FEATURES))
